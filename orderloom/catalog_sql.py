@@ -1 +1,622 @@
-ORACLE = {}
+"""SQL counterparts of the registered queries, for an independent engine on the same tables.
+
+They are written the plain way (joins that repeat rows, COUNT DISTINCT, ROW_NUMBER), not the way the Spark
+plans are, so that they check the rewrites as well.
+"""
+
+from __future__ import annotations
+
+ORACLE: dict[str, str] = {}
+
+# --- the silver tables -------------------------------------------------------------------------------------
+
+PLACES = """places AS (
+    SELECT n_nationkey, n_name AS city, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+CUSTOMERS = """customers AS (
+    SELECT c_custkey AS customer_id, c_custkey AS customer_unique_id, c_nationkey AS customer_zip_code_prefix,
+           city AS customer_city, state AS customer_state
+    FROM customer JOIN places ON c_nationkey = n_nationkey)"""
+
+SELLERS = """sellers AS (
+    SELECT s_suppkey AS seller_id, s_nationkey AS seller_zip_code_prefix, city AS seller_city, state AS seller_state
+    FROM supplier JOIN places ON s_nationkey = n_nationkey)"""
+
+PRODUCTS = """products AS (
+    SELECT p_partkey AS product_id, p_type AS product_category_name, p_size AS product_photos_qty,
+           CAST(p_size AS DOUBLE) AS product_weight_g, CAST(p_size AS DOUBLE) AS product_length_cm,
+           CAST(p_size AS DOUBLE) AS product_height_cm, CAST(p_size AS DOUBLE) AS product_width_cm
+    FROM part)"""
+
+STATUS = "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' WHEN 'P' THEN 'processing' END"
+
+ORDERS = f"""ords AS (
+    SELECT o_orderkey AS order_id, o_custkey AS customer_id, {STATUS} AS order_status,
+           o_orderdate AS order_purchase_timestamp, o_orderdate + INTERVAL 1 DAY AS order_approved_at,
+           first_ship AS order_delivered_carrier_date, last_ship AS order_delivered_customer_date,
+           o_orderdate + INTERVAL 90 DAY AS order_estimated_delivery_date
+    FROM orders LEFT JOIN (
+        SELECT l_orderkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_orderkey
+    ) ships ON l_orderkey = o_orderkey)"""
+
+LINES = """lines AS (
+    SELECT * EXCLUDE (rn) FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY l_orderkey, l_linenumber
+            ORDER BY l_extendedprice DESC NULLS LAST, l_partkey, l_suppkey, l_shipdate, l_quantity, l_tax, l_returnflag
+        ) AS rn FROM lineitem) ranked
+    WHERE rn = 1)"""
+
+ITEMS = f"""{LINES}, items AS (
+    SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id,
+           l_shipdate AS shipping_limit_date, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+           CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS freight_value
+    FROM lines)"""
+
+PAYMENTS = """payments AS (
+    SELECT l_orderkey AS order_id, l_linenumber AS payment_sequential, l_returnflag AS payment_type,
+           CAST(l_quantity AS INTEGER) AS payment_installments, CAST(l_extendedprice AS DECIMAL(18,2)) AS payment_value
+    FROM lines)"""
+
+REVIEWS = """reviews AS (
+    SELECT o_orderkey AS review_id, o_orderkey AS order_id, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS review_score
+    FROM orders)"""
+
+VALUE = "CAST(price AS DECIMAL(18,4)) + freight_value"
+
+PRIMARY_PAYMENTS = """primary_payments AS (
+    SELECT order_id, payment_type, payment_installments FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY order_id ORDER BY payment_value DESC NULLS FIRST, payment_sequential) AS rn FROM payments) p
+    WHERE rn = 1)"""
+
+PRIMARY_SELLERS = """primary_sellers AS (
+    SELECT order_id, seller_id, seller_city, seller_state FROM (
+        SELECT order_id, i.seller_id, seller_city, seller_state, row_number() OVER (
+            PARTITION BY order_id ORDER BY price DESC NULLS FIRST, order_item_id) AS rn
+        FROM items i JOIN sellers s ON i.seller_id = s.seller_id) t
+    WHERE rn = 1)"""
+
+
+def days(later: str, earlier: str) -> str:
+    """Whole days cut toward zero."""
+    micros = f"(epoch_us({later}) - epoch_us({earlier}))"
+    return f"CAST(trunc({micros} / 86400000000.0) AS INTEGER)"
+
+
+def money(expression: str) -> str:
+    return f"CAST({expression} AS DOUBLE)"
+
+
+FACT_SALES = f"""sales AS (
+    SELECT concat(i.order_id, '-', i.order_item_id) AS order_item_key, i.order_id, o.order_status,
+           o.order_purchase_timestamp, i.product_id, p.product_category_name, p.product_weight_g, p.product_length_cm,
+           p.product_height_cm, p.product_width_cm, i.seller_id, s.seller_city, s.seller_state, o.customer_id,
+           c.customer_city, c.customer_state, pp.payment_type, pp.payment_installments, i.price, i.freight_value,
+           {VALUE} AS total_value
+    FROM items i JOIN ords o ON i.order_id = o.order_id
+    LEFT JOIN products p ON i.product_id = p.product_id
+    LEFT JOIN sellers s ON i.seller_id = s.seller_id
+    LEFT JOIN customers c ON o.customer_id = c.customer_id
+    LEFT JOIN primary_payments pp ON o.order_id = pp.order_id)"""
+
+ALL_FOR_SALES = ", ".join(
+    [PLACES, CUSTOMERS, SELLERS, PRODUCTS, ORDERS, ITEMS, PAYMENTS, PRIMARY_PAYMENTS, FACT_SALES]
+)
+
+FULFILLMENT = f"""fulfillment AS (
+    SELECT o.order_id, c.customer_unique_id, c.customer_city, c.customer_state, ps.seller_id, ps.seller_city,
+           ps.seller_state, o.order_status, o.order_purchase_timestamp, o.order_approved_at,
+           o.order_delivered_carrier_date, o.order_delivered_customer_date, o.order_estimated_delivery_date,
+           {days("o.order_delivered_customer_date", "o.order_purchase_timestamp")} AS delivery_days_actual,
+           {days("o.order_estimated_delivery_date", "o.order_purchase_timestamp")} AS delivery_days_estimated,
+           {days("o.order_delivered_carrier_date", "o.order_approved_at")} AS processing_days,
+           o.order_delivered_customer_date > o.order_estimated_delivery_date AS is_late_delivery,
+           r.review_score
+    FROM ords o JOIN customers c ON o.customer_id = c.customer_id
+    LEFT JOIN (SELECT order_id, CAST(round(avg(review_score)) AS INTEGER) AS review_score FROM reviews GROUP BY order_id) r
+        ON o.order_id = r.order_id
+    LEFT JOIN primary_sellers ps ON o.order_id = ps.order_id)"""
+
+ALL_FOR_FULFILLMENT = ", ".join(
+    [PLACES, CUSTOMERS, SELLERS, ORDERS, ITEMS, REVIEWS, PRIMARY_SELLERS, FULFILLMENT]
+)
+
+MONTHLY = f"""monthly AS (
+    SELECT strftime(date_trunc('month', order_purchase_timestamp), '%Y-%m-%d') AS month_start_date,
+           {money(f"sum({VALUE})")} AS total_revenue,
+           count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_id) AS total_customers,
+           {money(f"sum({VALUE})")} / count({VALUE}) AS avg_order_value
+    FROM sold GROUP BY 1)"""
+
+SOLD = """sold AS (
+    SELECT i.*, o.customer_id, o.order_status, o.order_purchase_timestamp
+    FROM items i JOIN ords o ON i.order_id = o.order_id)"""
+
+SOLD_WITH_CATEGORY = f"""{SOLD}, categorised AS (
+    SELECT s.*, p.p_type AS product_category_name FROM sold s LEFT JOIN part p ON s.product_id = p.p_partkey)"""
+
+# --- gold models -------------------------------------------------------------------------------------------
+
+ORACLE["fact_sales_items"] = f"""WITH {ALL_FOR_SALES}
+SELECT * REPLACE ({money("price")} AS price, {money("freight_value")} AS freight_value, {money("total_value")} AS total_value)
+FROM sales"""
+
+ORACLE["fact_order_fulfillment"] = f"WITH {ALL_FOR_FULFILLMENT} SELECT * FROM fulfillment"
+
+CUSTOMER_MART = f"""customer_mart AS (
+    SELECT c.customer_unique_id, max(c.customer_city) AS customer_city, max(c.customer_state) AS customer_state,
+           min(o.order_purchase_timestamp) AS first_purchase_at, max(o.order_purchase_timestamp) AS latest_purchase_at,
+           count(DISTINCT o.order_id) AS total_orders, count(i.order_id) AS total_items_bought,
+           {money(f"sum({VALUE})")} AS total_lifetime_value,
+           {money(f"sum({VALUE})")} / count({VALUE}) AS avg_order_value,
+           count(DISTINCT o.order_id) > 1 AS is_repeat_customer
+    FROM customers c JOIN ords o ON c.customer_id = o.customer_id JOIN items i ON o.order_id = i.order_id
+    GROUP BY c.customer_unique_id)"""
+
+ALL_FOR_CUSTOMERS = ", ".join([PLACES, CUSTOMERS, ORDERS, ITEMS, CUSTOMER_MART])
+
+ORACLE["mart_customer_behavior"] = f"WITH {ALL_FOR_CUSTOMERS} SELECT * FROM customer_mart"
+
+ORACLE["mart_monthly_performance"] = f"WITH {ORDERS}, {ITEMS}, {SOLD}, {MONTHLY} SELECT * FROM monthly"
+
+ORACLE["mart_seller_performance"] = f"""WITH {PLACES}, {SELLERS}, {ORDERS}, {ITEMS}, {REVIEWS},
+metrics AS (
+    SELECT i.seller_id, {money("sum(i.price)")} AS total_revenue, count(DISTINCT i.order_id) AS total_orders,
+           count(*) AS total_items_sold, {money("sum(i.price)")} / count(i.price) AS avg_item_price,
+           min(o.order_purchase_timestamp) AS active_since
+    FROM items i JOIN ords o ON i.order_id = o.order_id WHERE o.order_status = 'delivered' GROUP BY 1),
+scores AS (
+    SELECT i.seller_id, CAST(sum(r.review_score) AS DOUBLE) / count(r.review_score) AS avg_review_score
+    FROM items i JOIN reviews r ON i.order_id = r.order_id GROUP BY 1),
+shipping AS (
+    SELECT i.seller_id, CAST(count(*) FILTER (
+               WHERE o.order_delivered_customer_date > o.order_estimated_delivery_date) AS DOUBLE) / count(*) AS late_delivery_rate
+    FROM items i JOIN ords o ON i.order_id = o.order_id
+    WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NULL
+      AND o.order_estimated_delivery_date IS NOT NULL GROUP BY 1)
+SELECT s.seller_id, s.seller_city, s.seller_state, coalesce(m.total_revenue, 0) AS total_revenue,
+       coalesce(m.total_orders, 0) AS total_orders, coalesce(m.total_items_sold, 0) AS total_items_sold,
+       coalesce(m.avg_item_price, 0) AS avg_item_price, coalesce(r.avg_review_score, 0) AS avg_review_score,
+       coalesce(h.late_delivery_rate, 0) AS late_delivery_rate, m.active_since
+FROM sellers s LEFT JOIN metrics m ON s.seller_id = m.seller_id LEFT JOIN scores r ON s.seller_id = r.seller_id
+LEFT JOIN shipping h ON s.seller_id = h.seller_id"""
+
+ORACLE["mart_product_performance"] = f"""WITH {PRODUCTS}, {ORDERS}, {ITEMS}, {REVIEWS},
+metrics AS (
+    SELECT i.product_id, {money("sum(i.price)")} AS total_revenue, count(*) AS total_units_sold,
+           {money("sum(i.price)")} / count(i.price) AS avg_price
+    FROM items i JOIN ords o ON i.order_id = o.order_id WHERE o.order_status = 'delivered' GROUP BY 1),
+scores AS (
+    SELECT i.product_id, CAST(sum(r.review_score) AS DOUBLE) / count(r.review_score) AS avg_review_score
+    FROM items i JOIN reviews r ON i.order_id = r.order_id GROUP BY 1)
+SELECT p.product_id, p.product_category_name, coalesce(m.total_revenue, 0) AS total_revenue,
+       coalesce(m.total_units_sold, 0) AS total_units_sold, coalesce(m.avg_price, 0) AS avg_price,
+       coalesce(r.avg_review_score, 0) AS avg_review_score, p.product_photos_qty AS total_photos, p.product_weight_g
+FROM products p LEFT JOIN metrics m ON p.product_id = m.product_id LEFT JOIN scores r ON p.product_id = r.product_id"""
+
+# --- silver and master models --------------------------------------------------------------------------------
+
+PLACE_MAP = """place_map AS (
+    SELECT lower(city) AS raw_city, upper(city[1]) || lower(replace(city, '_', ' ')[2:]) AS canonical_city,
+           upper(state) AS state
+    FROM places WHERE state <> 'ASIA')"""
+
+ORACLE["master_geography"] = f"""WITH {PLACES}, raw AS (
+    SELECT concat('Sao Nation_', split_part(city, '_', 2)) AS city, upper(state) AS state,
+           CAST(c_acctbal AS DECIMAL(12,2)) AS balance
+    FROM customer JOIN places ON c_nationkey = n_nationkey)
+SELECT city, state, CAST(sum(CAST(balance * 0.01 AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_lat,
+       CAST(-sum(CAST(balance * 0.01 AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_lng
+FROM raw GROUP BY city, state"""
+
+ORACLE["silver_customers"] = f"""WITH {PLACES}, {PLACE_MAP}
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(c_custkey AS VARCHAR) AS customer_unique_id,
+       c_nationkey AS customer_zip_code_prefix, coalesce(m.canonical_city, lower(p.city)) AS customer_city,
+       coalesce(m.state, upper(p.state)) AS customer_state
+FROM customer JOIN places p ON c_nationkey = n_nationkey
+LEFT JOIN place_map m ON m.raw_city = lower(p.city) AND m.state = upper(p.state)"""
+
+ORACLE["silver_sellers"] = f"""WITH {PLACES}, {PLACE_MAP}
+SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, s_nationkey AS seller_zip_code_prefix,
+       coalesce(m.canonical_city, lower(p.city)) AS seller_city, coalesce(m.state, upper(p.state)) AS seller_state
+FROM supplier JOIN places p ON s_nationkey = n_nationkey
+LEFT JOIN place_map m ON m.raw_city = lower(p.city) AND m.state = upper(p.state)"""
+
+ORACLE["silver_products"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS product_id,
+       CASE WHEN p_type = 'PROMO' THEN p_type ELSE lower(p_type) || '_goods' END AS product_category_name,
+       CAST(length(p_name) AS INTEGER) AS product_name_length,
+       CAST(length(p_brand) + 1 AS INTEGER) AS product_description_length, p_size AS product_photos_qty,
+       CAST(p_size AS DOUBLE) AS product_weight_g, CAST(p_size AS DOUBLE) AS product_length_cm,
+       CAST(p_size AS DOUBLE) AS product_height_cm, CAST(p_size AS DOUBLE) AS product_width_cm
+FROM part"""
+
+ORACLE["silver_orders"] = f"""WITH {ORDERS}
+SELECT * REPLACE (CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id) FROM ords"""
+
+ORACLE["silver_order_items"] = f"""WITH {ITEMS}
+SELECT CAST(order_id AS VARCHAR) AS order_id, order_item_id, CAST(product_id AS VARCHAR) AS product_id,
+       CAST(seller_id AS VARCHAR) AS seller_id, shipping_limit_date, {money("price")} AS price,
+       {money("freight_value")} AS freight_value
+FROM items"""
+
+ORACLE["silver_order_payments"] = f"""WITH {LINES}, {PAYMENTS}
+SELECT CAST(order_id AS VARCHAR) AS order_id, payment_sequential, lower(payment_type) AS payment_type,
+       payment_installments, {money("payment_value")} AS payment_value
+FROM payments"""
+
+ORACLE["silver_order_reviews"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CAST(o_orderkey AS VARCHAR) AS order_id,
+       CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS review_score,
+       CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS review_comment_title,
+       concat('said "', o_orderpriority, '",', chr(10), 'status ', o_orderstatus) AS review_comment_message,
+       o_orderdate AS review_creation_date, CAST(NULL AS TIMESTAMP) AS review_answer_timestamp
+FROM orders"""
+
+ORACLE["csv_round_trip"] = ORACLE["silver_order_reviews"]
+
+ORACLE["rejected_rows"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
+       CASE WHEN o_orderstatus = 'F' THEN 'payment_installments' ELSE 'payment_installments,price' END AS bad_columns
+FROM orders"""
+
+# --- merge and dedupe ----------------------------------------------------------------------------------------
+
+TWO_LOADS = """first_load AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'),
+second_load AS (
+    SELECT o_orderkey, o_custkey + 1 AS o_custkey, 'new ' || o_orderstatus AS o_orderstatus,
+           o_totalprice * 2 AS o_totalprice, 'new ' || o_orderpriority AS o_orderpriority
+    FROM orders WHERE o_orderstatus <> 'F')"""
+
+ORACLE["merge_upsert"] = f"""WITH {TWO_LOADS}
+SELECT coalesce(f.o_orderkey, s.o_orderkey) AS order_id,
+       CASE WHEN f.o_orderkey IS NOT NULL THEN f.o_custkey ELSE s.o_custkey END AS customer_id,
+       CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_orderstatus ELSE f.o_orderstatus END AS order_status,
+       CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_totalprice ELSE f.o_totalprice END AS total_price,
+       CASE WHEN f.o_orderkey IS NOT NULL THEN f.o_orderpriority ELSE s.o_orderpriority END AS priority
+FROM first_load f FULL OUTER JOIN second_load s ON f.o_orderkey = s.o_orderkey"""
+
+ORACLE["merge_upsert_all_columns"] = f"""WITH {TWO_LOADS}
+SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS order_status, o_totalprice AS total_price,
+       o_orderpriority AS priority FROM second_load
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM first_load
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM second_load)"""
+
+ORACLE["refresh_monthly_mart"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD}, {MONTHLY},
+first_average AS (
+    SELECT strftime(date_trunc('month', order_purchase_timestamp), '%Y-%m-%d') AS month_start_date,
+           {money(f"sum({VALUE})")} / count({VALUE}) AS avg_order_value
+    FROM sold WHERE order_status = 'delivered' GROUP BY 1)
+SELECT m.month_start_date, m.total_revenue, m.total_orders, m.total_customers,
+       coalesce(f.avg_order_value, m.avg_order_value) AS avg_order_value
+FROM monthly m LEFT JOIN first_average f ON m.month_start_date = f.month_start_date"""
+
+ORACLE["dedupe_first"] = f"WITH {LINES} SELECT * FROM lines"
+
+ORACLE["primary_payments"] = f"WITH {LINES}, {PAYMENTS}, {PRIMARY_PAYMENTS} SELECT * FROM primary_payments"
+
+ORACLE["primary_sellers"] = f"WITH {PLACES}, {SELLERS}, {ITEMS}, {PRIMARY_SELLERS} SELECT * FROM primary_sellers"
+
+ORACLE["lookup_names"] = f"""WITH {PLACES}
+SELECT c_custkey, coalesce(
+    (SELECT city FROM places WHERE n_nationkey = c_nationkey AND state <> 'ASIA'), '#' || c_nationkey) AS nation_name
+FROM customer"""
+
+ORACLE["customer_match_count"] = """
+SELECT count(*) AS rows, count(*) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS matched_rows
+FROM orders"""
+
+# --- business questions --------------------------------------------------------------------------------------
+
+ORACLE["total_revenue"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD}
+SELECT {money(f"sum({VALUE})")} AS total_revenue FROM sold"""
+
+_VOLUME = f"""WITH {ORDERS}, {ITEMS}, {SOLD_WITH_CATEGORY}
+SELECT product_category_name, count(*) AS sales_volume FROM categorised
+GROUP BY 1 ORDER BY sales_volume DESC, product_category_name LIMIT """
+ORACLE["top_category"] = _VOLUME + "1"
+ORACLE["top_categories_by_sales"] = _VOLUME + "5"
+
+ORACLE["category_revenue"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD_WITH_CATEGORY}
+SELECT product_category_name, {money(f"sum({VALUE})")} AS revenue FROM categorised
+GROUP BY 1 ORDER BY revenue DESC, product_category_name LIMIT 10"""
+
+ORACLE["top_states"] = f"""WITH {ALL_FOR_CUSTOMERS}
+SELECT customer_state, count(DISTINCT customer_unique_id) AS customer_count FROM customer_mart
+GROUP BY 1 ORDER BY customer_count DESC, customer_state LIMIT 7"""
+
+ORACLE["monthly_growth"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD}, {MONTHLY},
+trend AS (
+    SELECT month_start_date, total_revenue, lag(total_revenue) OVER (ORDER BY month_start_date) AS previous_revenue,
+           lag(revenue) OVER (ORDER BY month_start_date) AS previous, revenue
+    FROM monthly JOIN (
+        SELECT strftime(date_trunc('month', order_purchase_timestamp), '%Y-%m-%d') AS month_start_date,
+               sum({VALUE}) AS revenue FROM sold GROUP BY 1) exact USING (month_start_date))
+SELECT month_start_date, total_revenue, previous_revenue,
+       CASE WHEN previous_revenue <> 0 THEN {money("revenue - previous")} / previous_revenue END AS growth_rate
+FROM trend"""
+
+ORACLE["delivery_delays"] = f"""WITH {ALL_FOR_FULFILLMENT}
+SELECT customer_state, strftime(date_trunc('month', order_purchase_timestamp), '%Y-%m-%d') AS purchase_month,
+       count(*) AS orders, count(delivery_days_actual) AS deliveries,
+       count(*) FILTER (WHERE is_late_delivery) AS late_deliveries,
+       CAST(count(*) FILTER (WHERE is_late_delivery) AS DOUBLE) / nullif(count(delivery_days_actual), 0) AS late_rate,
+       CAST(sum(delivery_days_actual) AS DOUBLE) / nullif(count(delivery_days_actual), 0) AS avg_delivery_days,
+       CAST(sum(delivery_days_actual - delivery_days_estimated) AS DOUBLE)
+           / nullif(count(delivery_days_actual - delivery_days_estimated), 0) AS avg_days_over_estimate
+FROM fulfillment GROUP BY 1, 2"""
+
+ORACLE["review_by_state"] = f"""WITH {ALL_FOR_FULFILLMENT}
+SELECT customer_state, CAST(sum(review_score) AS DOUBLE) / count(review_score) AS avg_review_score,
+       count(review_score) AS reviewed_orders
+FROM fulfillment GROUP BY 1"""
+
+# --- quality -------------------------------------------------------------------------------------------------
+
+ORACLE["warehouse_checks"] = f"""WITH {ORDERS}, {ITEMS}, {PAYMENTS}, {SOLD}, checks AS (
+    SELECT 'orders_no_null_ids' AS validation_name, 'silver' AS layer_name,
+           (SELECT count(*) FROM ords WHERE order_id IS NULL) AS issue_count
+    UNION ALL SELECT 'orders_unique_ids', 'silver',
+           (SELECT count(*) FROM (SELECT order_id FROM ords GROUP BY 1 HAVING count(*) > 1) d)
+    UNION ALL SELECT 'payment_values_positive', 'silver', (SELECT count(*) FROM payments WHERE payment_value < 0)
+    UNION ALL SELECT 'sales_integrity_silver_gold', 'gold',
+           CASE WHEN abs((SELECT sum({VALUE}) FROM items) - (SELECT sum({VALUE}) FROM sold)) < 0.01 THEN 0 ELSE 1 END)
+SELECT validation_name, layer_name, issue_count = 0 AS passed, CAST(issue_count AS BIGINT) AS issue_count FROM checks"""
+
+_COLUMN_TESTS = f"""WITH in_credit AS (SELECT c_custkey AS customer_id FROM customer WHERE c_acctbal > 0),
+keys AS (SELECT concat(l_orderkey, '-', l_linenumber) AS order_item_key FROM lineitem),
+checks AS (
+    SELECT 'unique_customer_id' AS validation_name, 'silver' AS layer_name,
+           (SELECT count(*) FROM (SELECT customer_id FROM in_credit GROUP BY 1 HAVING count(*) > 1) d) AS issue_count
+    UNION ALL SELECT 'not_null_customer_id', 'silver', (SELECT count(*) FROM in_credit WHERE customer_id IS NULL)
+    UNION ALL SELECT 'unique_order_id', 'silver',
+           (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) d)
+    UNION ALL SELECT 'not_null_order_id', 'silver', (SELECT count(*) FROM orders WHERE o_orderkey IS NULL)
+    UNION ALL SELECT 'relationship_customer_id', 'silver',
+           (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT customer_id FROM in_credit))
+    UNION ALL SELECT 'unique_order_item_key', 'gold',
+           (SELECT count(*) FROM (SELECT order_item_key FROM keys GROUP BY 1 HAVING count(*) > 1) d)
+    UNION ALL SELECT 'not_null_order_item_key', 'gold', (SELECT count(*) FROM keys WHERE order_item_key IS NULL))
+"""
+ORACLE["column_tests"] = f"""{_COLUMN_TESTS}
+SELECT validation_name, layer_name, issue_count = 0 AS passed, issue_count FROM checks"""
+ORACLE["issue_total"] = f"{_COLUMN_TESTS} SELECT CAST(sum(issue_count) AS BIGINT) AS issue_count FROM checks"
+
+ORACLE["row_checks"] = """WITH checks AS (
+    SELECT 'discount_above_five_percent' AS validation_name, count(*) FILTER (WHERE l_discount > 0.05::DOUBLE) AS issue_count FROM lineitem
+    UNION ALL SELECT 'price_missing', count(*) FILTER (WHERE l_extendedprice IS NULL) FROM lineitem
+    UNION ALL SELECT 'quantity_not_positive', count(*) FILTER (WHERE l_quantity <= 0) FROM lineitem
+    UNION ALL SELECT 'untaxed', count(*) FILTER (WHERE l_tax = 0) FROM lineitem)
+SELECT validation_name, 'bronze' AS layer_name, issue_count = 0 AS passed, issue_count FROM checks"""
+
+ORACLE["row_count_checks"] = """WITH expected(table_name, expected, actual) AS (
+    SELECT 'customers', 99441, count(*) FROM customer UNION ALL SELECT 'orders', 99441, count(*) FROM orders
+    UNION ALL SELECT 'order_items', 112650, count(*) FROM lineitem UNION ALL SELECT 'products', 32951, count(*) FROM part
+    UNION ALL SELECT 'sellers', 3095, count(*) FROM supplier)
+SELECT table_name, 'row_count' AS "check", CAST(expected AS BIGINT) AS expected, actual, actual = expected AS passed
+FROM expected"""
+
+ORACLE["yearly_counts"] = """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS actual FROM orders GROUP BY 1"""
+
+ORACLE["yearly_count_checks"] = f"""WITH {ORDERS}
+SELECT 'orders' AS table_name, concat('year_', s.y, '_count') AS "check", s.n AS expected, coalesce(o.n, 0) AS actual,
+       coalesce(o.n, 0) = s.n AS passed
+FROM (SELECT year(order_delivered_customer_date) AS y, count(*) AS n FROM ords
+      WHERE order_delivered_customer_date IS NOT NULL GROUP BY 1) s
+LEFT JOIN (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) o ON s.y = o.y"""
+
+ORACLE["growth_gate"] = """WITH new AS (
+    SELECT CAST(year(l_shipdate) AS VARCHAR) AS table_name, count(*) AS n FROM lineitem GROUP BY 1),
+expected AS (
+    SELECT CAST(year(o_orderdate) AS VARCHAR) AS table_name, count(*) AS n
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT new.table_name, new.n AS new_rows, expected.n AS expected_rows,
+       CASE WHEN expected.table_name IS NULL OR new.table_name >= '2000' OR new.n > expected.n THEN 'accept'
+            WHEN new.n < expected.n THEN 'warn_keep' ELSE 'keep' END AS decision
+FROM new LEFT JOIN expected USING (table_name)"""
+
+ORACLE["renew_expectations"] = f"""WITH {ORDERS}
+SELECT order_status AS table_name,
+       CASE WHEN order_status = 'shipped' THEN count(*) ELSE count(order_delivered_customer_date) END AS row_count,
+       CASE WHEN order_status = 'shipped' THEN '1.1.9' ELSE '1.1.10' END AS version
+FROM ords GROUP BY order_status"""
+
+# --- profiling -----------------------------------------------------------------------------------------------
+
+ORACLE["value_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type"
+
+ORACLE["distinct_counts"] = """
+SELECT 'l_orderkey' AS column_name, count(DISTINCT l_orderkey) AS n_distinct FROM lineitem
+UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey) FROM lineitem
+UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey) FROM lineitem
+UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber) FROM lineitem
+UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem"""
+
+ORACLE["column_profile"] = "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER (WHERE {c} IS NULL) AS null_count,
+    CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders"""
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+)
+
+_SEQUENCES = """SELECT {key} AS k, count(*) = max({seq}) AND count(DISTINCT {seq}) = max({seq}) AND min({seq}) = 1
+    AND count(*) = count({seq}) AS is_contiguous FROM {table} GROUP BY 1"""
+
+ORACLE["sequence_verdicts"] = f"""
+SELECT is_contiguous, count(*) AS orders
+FROM ({_SEQUENCES.format(key="l_orderkey", seq="l_linenumber", table="lineitem")}) v GROUP BY 1"""
+
+ORACLE["sequence_gaps"] = f"""WITH {LINES}, {PAYMENTS}
+SELECT order_id, payment_sequential, payment_type, payment_installments, {money("payment_value")} AS payment_value
+FROM payments WHERE order_id IN (
+    SELECT k FROM ({_SEQUENCES.format(key="order_id", seq="payment_sequential", table="payments")}) v WHERE NOT is_contiguous)"""
+
+ORACLE["repeated_payment_type"] = f"""WITH {LINES}, {PAYMENTS}
+SELECT order_id, payment_sequential, payment_type, payment_installments, {money("payment_value")} AS payment_value
+FROM payments WHERE order_id IN (
+    SELECT order_id FROM payments GROUP BY 1 HAVING count(*) FILTER (WHERE payment_type = 'A') > 1)"""
+
+ORACLE["order_violations"] = f"""WITH {ORDERS}
+SELECT 'approved_before_purchase' AS rule, count(*) FILTER (WHERE order_approved_at < order_purchase_timestamp) AS violations FROM ords
+UNION ALL SELECT 'carrier_before_approved', count(*) FILTER (WHERE order_delivered_carrier_date < order_approved_at) FROM ords
+UNION ALL SELECT 'delivered_before_carrier', count(*) FILTER (WHERE order_delivered_customer_date < order_delivered_carrier_date) FROM ords
+UNION ALL SELECT 'estimated_before_purchase', count(*) FILTER (WHERE order_estimated_delivery_date < order_purchase_timestamp) FROM ords
+UNION ALL SELECT 'delivered_after_estimated', count(*) FILTER (WHERE order_delivered_customer_date > order_estimated_delivery_date) FROM ords"""
+
+
+def _describe(source: str, decimals: int) -> str:
+    stats = {
+        "count": "CAST(count(x) AS DOUBLE)",
+        "mean": "avg(x)",
+        "std": "stddev_samp(x)",
+        "min": "min(x)",
+        "25%": "quantile_cont(x, 0.25)",
+        "50%": "quantile_cont(x, 0.5)",
+        "75%": "quantile_cont(x, 0.75)",
+        "max": "max(x)",
+    }
+    return "\nUNION ALL ".join(
+        f"SELECT '{name}' AS stat, round({f}, {decimals}) AS value FROM {source}" for name, f in stats.items()
+    )
+
+
+ORACLE["interval_summary"] = f"""WITH {ORDERS}, gaps AS (
+    SELECT (epoch_us(order_approved_at) - epoch_us(order_delivered_carrier_date)) / 1000000.0 AS x FROM ords
+    WHERE order_delivered_carrier_date < order_approved_at)
+{_describe("gaps", 2)}"""
+
+ORACLE["event_value_summary"] = f"""WITH vals AS (SELECT value AS x FROM events)
+{_describe("vals", 6)}"""
+
+ORACLE["surplus_rows"] = """
+SELECT CAST(count(*) - (SELECT count(*) FROM (
+    SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem) d) AS BIGINT) AS surplus_rows
+FROM lineitem"""
+
+ORACLE["surplus_documents"] = """
+SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents) d) AS BIGINT) AS surplus_rows
+FROM documents"""
+
+ORACLE["duplicated_rows"] = """
+SELECT * FROM lineitem WHERE (l_orderkey, l_linenumber) IN (
+    SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"""
+
+ORACLE["parse_report"] = """
+SELECT 'order_purchase_timestamp' AS column_name, 0::BIGINT AS before_na, 0::BIGINT AS after_na, 0::BIGINT AS new_invalid
+UNION ALL SELECT 'order_approved_at', count(*) FILTER (WHERE o_orderstatus = 'P'),
+       count(*) FILTER (WHERE o_orderstatus IN ('P', 'O')), count(*) FILTER (WHERE o_orderstatus = 'O') FROM orders
+UNION ALL SELECT 'order_estimated_delivery_date', 0, count(*) FILTER (WHERE o_orderstatus = 'P'),
+       count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders"""
+
+ORACLE["fuzzy_top_k"] = """
+SELECT name, 1.0::DOUBLE - CAST(levenshtein(name, 'hot gear') AS DOUBLE) / greatest(length(name), 8) AS similarity
+FROM (SELECT DISTINCT p_name AS name FROM part) names
+ORDER BY similarity DESC, name LIMIT 20"""
+
+# --- functions -----------------------------------------------------------------------------------------------
+
+ORACLE["event_gap_days"] = f"""WITH gaps AS (
+    SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_ts FROM events)
+SELECT event_id, {days("ts", "previous_ts")} AS days_since, {days("previous_ts", "ts")} AS days_until,
+       CAST(round((epoch_us(ts) - epoch_us(previous_ts)) / 1000.0) AS BIGINT) AS ms_since
+FROM gaps"""
+
+ORACLE["surrogate_keys"] = """
+SELECT o_orderkey, md5(concat(o_orderkey, '|', coalesce(nullif(o_orderstatus, 'P'), ''), '|', o_orderpriority)) AS order_sk,
+       CAST(o_orderkey AS VARCHAR) || '-' || nullif(o_orderstatus, 'P') AS order_text_key
+FROM orders"""
+
+ORACLE["text_functions"] = """WITH padded AS (
+    SELECT doc_id, lang, concat('  ', CASE WHEN lang = 'es' THEN '' ELSE text END, ' ') AS t FROM documents)
+SELECT doc_id, md5(nullif(trim(t, ' '), '')) AS blank_to_null_md5, md5(lower(trim(t, ' '))) AS normalized_md5,
+       upper(lang) AS lang_code
+FROM padded"""
+
+ORACLE["numeric_casts"] = """
+SELECT CAST(l_quantity AS INTEGER) AS quantity,
+       CAST(CASE WHEN l_linenumber < 4 THEN l_linenumber - 5 ELSE l_linenumber - 3 END AS INTEGER) AS rounded_half,
+       count(*) AS n, CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS tax
+FROM lineitem GROUP BY 1, 2"""
+
+ORACLE["safe_arithmetic"] = """WITH v AS (
+    SELECT l_returnflag, l_linestatus, l_tax, l_quantity, CASE WHEN l_linenumber <> 7 THEN l_discount END AS d FROM lineitem)
+SELECT l_returnflag, l_linestatus, count(*) FILTER (WHERE d <> 0) AS growth_known,
+       max((l_tax - d) / nullif(d, 0)) AS growth_max, count(l_quantity / nullif(d, 0)) AS ratio_known,
+       max(l_quantity / nullif(d, 0)) AS ratio_max,
+       count(*) FILTER (WHERE abs(CAST(l_tax AS DECIMAL(4,2)) - CAST(d AS DECIMAL(4,2))) < 0.01) AS near
+FROM v GROUP BY 1, 2"""
+
+ORACLE["place_names"] = r"""WITH cleaned AS (
+    SELECT doc_id, trim(translate(lower(split_part(split_part(text, '-', 1), '(', 1)), 'áàâãéêíóôõúç', 'aaaaeeiooouc'), ' ') AS t
+    FROM documents)
+SELECT doc_id, md5(array_to_string(
+    list_transform(regexp_extract_all(t, '[\p{L}\p{N}]+|[^\p{L}\p{N}]'), lambda w: CASE WHEN w[1] = 'ß' THEN w[1] ELSE upper(w[1]) END || w[2:]), '')) AS place_md5
+FROM cleaned"""
+
+ORACLE["token_estimates"] = "SELECT conv_id, turn, length(text) // 4 AS tokens FROM conversations"
+
+ORACLE["sanitized_values"] = """
+SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup', 'view') THEN value END AS value FROM events"""
+
+# --- result shaping and ad-hoc SQL -----------------------------------------------------------------------------
+
+ORACLE["pivot_sum"] = """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS ship_year, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'A'), 0) AS A,
+       coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'N'), 0) AS N,
+       coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0) AS R
+FROM lineitem GROUP BY 1"""
+
+ORACLE["multi_series"] = """WITH t AS (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders)
+SELECT o_orderpriority, CAST(coalesce(sum(p) FILTER (WHERE o_orderstatus = 'F'), 0) AS DOUBLE) AS F,
+       CAST(coalesce(sum(p) FILTER (WHERE o_orderstatus = 'O'), 0) AS DOUBLE) AS O,
+       CAST(coalesce(sum(p) FILTER (WHERE o_orderstatus = 'P'), 0) AS DOUBLE) AS P
+FROM t GROUP BY 1"""
+
+ORACLE["bounded_sql"] = f"""WITH {ALL_FOR_SALES}
+SELECT customer_state, product_category_name, payment_type, count(*) AS items, {money("sum(total_value)")} AS revenue
+FROM sales WHERE order_status = 'delivered' GROUP BY 1, 2, 3
+ORDER BY revenue DESC, customer_state, product_category_name, payment_type LIMIT 50"""
+
+ORACLE["sample_rows"] = "SELECT * FROM customer ORDER BY c_custkey LIMIT 5"
+
+ORACLE["request_log"] = """
+SELECT role AS status, count(*) AS requests, CAST(sum(length(text) // 4) AS BIGINT) AS total_tokens,
+       CAST(sum(length(text) // 4) AS DOUBLE) / count(*) AS avg_tokens, max(length(text) // 4) AS max_tokens
+FROM conversations GROUP BY 1"""
+
+ORACLE["latest_runs"] = """
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value,
+       min(ts) AS started_at,
+       CASE WHEN arg_max(event_type, (ts, event_id)) IN ('purchase', 'error') THEN max(ts) END AS finished_at
+FROM events GROUP BY user_id"""
+
+# --- landing, streaming, build ---------------------------------------------------------------------------------
+
+ORACLE["landed_customers"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id, nullif(c_mktsegment, 'BUILDING') AS market_segment, c_name,
+       true AS has_file, true AS has_checksum, true AS has_time, 'run-1' AS _ingestion_run_id
+FROM customer"""
+
+ORACLE["incremental_ingest"] = f"""WITH {ORDERS}
+SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id,
+       CASE WHEN order_status = 'delivered' THEN order_status ELSE 're' || order_status END AS order_status,
+       order_purchase_timestamp, order_delivered_customer_date, order_estimated_delivery_date
+FROM ords"""
+
+ORACLE["warehouse_build"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD}
+SELECT 'master.geography' AS table_name, count(DISTINCT c_nationkey) AS row_count FROM customer
+UNION ALL SELECT 'silver.customers', count(*) FROM customer
+UNION ALL SELECT 'silver.products', count(*) FROM part
+UNION ALL SELECT 'silver.sellers', count(*) FROM supplier
+UNION ALL SELECT 'silver.orders', count(*) FROM orders
+UNION ALL SELECT 'silver.order_items', count(*) FROM items
+UNION ALL SELECT 'silver.order_payments', count(*) FROM lines
+UNION ALL SELECT 'silver.order_reviews', count(*) FROM orders
+UNION ALL SELECT 'gold.fact_sales_items', count(*) FROM sold
+UNION ALL SELECT 'gold.fact_order_fulfillment', count(*) FROM orders
+UNION ALL SELECT 'gold.mart_customer_behavior', count(DISTINCT customer_id) FROM sold
+UNION ALL SELECT 'gold.mart_monthly_performance', count(DISTINCT date_trunc('month', order_purchase_timestamp)) FROM sold
+UNION ALL SELECT 'gold.mart_seller_performance', count(*) FROM supplier
+UNION ALL SELECT 'gold.mart_product_performance', count(*) FROM part"""

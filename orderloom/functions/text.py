@@ -38,11 +38,15 @@ def title_case(c: ColumnLike) -> Column:
 
     Spark's ``initcap`` only looks at spaces, so ``d'oeste`` would keep its small o.
     """
+
+    def capitalise(word: Column) -> Column:
+        first = word.substr(1, 1)
+        upper = F.upper(first)
+        # A letter without a one-letter capital (ß) stays as it is.
+        return F.concat(F.when(F.length(upper) <= 1, upper).otherwise(first), word.substr(F.lit(2), F.length(word)))
+
     words = F.split(F.lower(as_column(c)), r"(?<=[^\p{L}\p{N}])")
-    capitalised = F.transform(
-        words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
-    )
-    return F.array_join(capitalised, "")
+    return F.array_join(F.transform(words, capitalise), "")
 
 
 def clean_place(c: ColumnLike) -> Column:
