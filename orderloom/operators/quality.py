@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderloom.sources.rows import small_frame
+
 RESULT_SCHEMA = "validation_name string, layer_name string, passed boolean, issue_count bigint"
 REVENUE_TOLERANCE = "0.01"
 
@@ -82,8 +84,8 @@ def check_reconcile(
 def check_columns(df: DataFrame, required: Sequence[str], layer: str, name: str) -> DataFrame:
     """The issue count is the number of required columns the table lacks."""
     missing = len(set(required) - set(df.columns))
-    rows = [(name, layer, missing == 0, missing)]
-    return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+    row = {"validation_name": name, "layer_name": layer, "passed": missing == 0, "issue_count": missing}
+    return small_frame(df.sparkSession, [row], RESULT_SCHEMA)
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -182,6 +184,8 @@ def renew_expectations(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def expectations_frame(spark: SparkSession, rows: Mapping[str, int], version: str) -> DataFrame:
-    return spark.createDataFrame(
-        [(name, n, version) for name, n in rows.items()], "table_name string, row_count bigint, version string"
+    return small_frame(
+        spark,
+        [{"table_name": name, "row_count": n, "version": version} for name, n in rows.items()],
+        "table_name string, row_count bigint, version string",
     )

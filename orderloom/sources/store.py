@@ -11,10 +11,11 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderloom.sources.rows import append_part, read_parts, small_frame
+
 VERSION_SCHEMA = "layer string, table_name string, version bigint, path string, mark bigint, published_at timestamp"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -38,11 +39,7 @@ class TableStore:
         self._log_path = f"{self.root}/_table_versions"
 
     def _log(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], VERSION_SCHEMA)
-        try:
-            return self.spark.read.schema(VERSION_SCHEMA).parquet(self._log_path)
-        except AnalysisException:
-            return empty
+        return read_parts(self.spark, self._log_path, VERSION_SCHEMA)
 
     def tables(self) -> DataFrame:
         """The current version of every table."""
@@ -75,6 +72,13 @@ class TableStore:
         version = 1 if current is None else current["version"] + 1
         path = f"{self.root}/{layer}/{table}/v{version:06d}-{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-        row = self.spark.createDataFrame([(layer, table, version, path, mark, datetime.now(timezone.utc))], VERSION_SCHEMA)
-        row.coalesce(1).write.mode("append").parquet(self._log_path)
+        row = {
+            "layer": layer,
+            "table_name": table,
+            "version": version,
+            "path": path,
+            "mark": mark,
+            "published_at": datetime.now(timezone.utc),
+        }
+        append_part(small_frame(self.spark, [row], VERSION_SCHEMA), self._log_path)
         return self.spark.read.parquet(path)
