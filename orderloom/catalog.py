@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +83,13 @@ def mart_customer_behavior(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def mart_monthly_performance(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    return gold.mart_monthly_from_items(s.order_items, s.order_heads)
+
+
+@query
+def mart_monthly_from_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The monthly mart as the warehouse build computes it, from the rows of the sales fact."""
     s = Silver(spark, folder)
     return gold.mart_monthly_performance(gold.sold_items(s.order_items, s.order_heads))
 
@@ -206,10 +212,10 @@ def merge_upsert_all_columns(spark: SparkSession, folder: str) -> DataFrame:
 def refresh_monthly_mart(spark: SparkSession, folder: str) -> DataFrame:
     """The monthly mart of delivered items, merged again with all items: the average keeps its first value."""
     s = Silver(spark, folder)
-    sales = gold.sold_items(s.order_items, s.order_heads)
     spec = S.MART_MONTHLY
-    before = spec.conform(gold.mart_monthly_performance(sales.filter(F.col("order_status") == gold.DELIVERED)))
-    after = spec.conform(gold.mart_monthly_performance(sales))
+    delivered = s.order_heads.filter(F.col("order_status") == gold.DELIVERED)
+    before = spec.conform(gold.mart_monthly_from_items(s.order_items, delivered))
+    after = spec.conform(gold.mart_monthly_from_items(s.order_items, s.order_heads))
     return merge.merge_upsert(before, after, spec.keys, spec.update_cols, source_is_unique=True)
 
 
@@ -296,23 +302,19 @@ def top_states(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def monthly_growth(spark: SparkSession, folder: str) -> DataFrame:
     s = Silver(spark, folder)
-    return business.revenue_trend(gold.mart_monthly_performance(gold.sold_items(s.order_items, s.order_heads)))
+    return business.revenue_trend(gold.mart_monthly_from_items(s.order_items, s.order_heads))
 
 
 @query
 def delivery_delays(spark: SparkSession, folder: str) -> DataFrame:
     s = Silver(spark, folder)
-    return business.delivery_delays(
-        gold.fact_order_fulfillment(s.orders, s.customers, s.order_reviews, s.order_items, s.sellers)
-    )
+    return business.delivery_delays(gold.fulfillment_heads(s.orders, s.customers, s.order_reviews))
 
 
 @query
 def review_by_state(spark: SparkSession, folder: str) -> DataFrame:
     s = Silver(spark, folder)
-    return business.review_by_state(
-        gold.fact_order_fulfillment(s.orders, s.customers, s.order_reviews, s.order_items, s.sellers)
-    )
+    return business.review_by_state(gold.fulfillment_heads(s.orders, s.customers, s.order_reviews))
 
 
 # --- quality -----------------------------------------------------------------------------------------------
@@ -546,15 +548,19 @@ def fuzzy_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def event_gap_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole days and whole milliseconds since the user's previous event, both ways round."""
+    """Whole days and milliseconds since the user's first purchase, both ways round; NULL without a purchase."""
     events = Silver(spark, folder).raw("events")
-    previous = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    gaps = events.select("event_id", "user_id", "ts", previous.alias("previous_ts"))
+    bought = (
+        events.filter(F.col("event_type") == "purchase")
+        .groupBy(F.col("user_id").alias("buyer"))
+        .agg(F.min("ts").alias("bought_at"))
+    )
+    gaps = events.join(bought, F.col("user_id") == F.col("buyer"), "left")
     return gaps.select(
         "event_id",
-        days_between("ts", "previous_ts").alias("days_since"),
-        days_between("previous_ts", "ts").alias("days_until"),
-        F.round(seconds_between("ts", "previous_ts") * 1000).cast("long").alias("ms_since"),
+        days_between("ts", "bought_at").alias("days_since"),
+        days_between("bought_at", "ts").alias("days_until"),
+        F.round(seconds_between("ts", "bought_at") * 1000).cast("long").alias("ms_since"),
     )
 
 

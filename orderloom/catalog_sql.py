@@ -160,6 +160,8 @@ ORACLE["mart_customer_behavior"] = f"WITH {ALL_FOR_CUSTOMERS} SELECT * FROM cust
 
 ORACLE["mart_monthly_performance"] = f"WITH {ORDERS}, {ITEMS}, {SOLD}, {MONTHLY} SELECT * FROM monthly"
 
+ORACLE["mart_monthly_from_sales"] = ORACLE["mart_monthly_performance"]
+
 ORACLE["mart_seller_performance"] = f"""WITH {PLACES}, {SELLERS}, {ORDERS}, {ITEMS}, {REVIEWS},
 metrics AS (
     SELECT i.seller_id, {money("sum(i.price)")} AS total_revenue, count(DISTINCT i.order_id) AS total_orders,
@@ -518,9 +520,9 @@ ORDER BY similarity DESC, name LIMIT 20"""
 # --- functions -----------------------------------------------------------------------------------------------
 
 ORACLE["event_gap_days"] = f"""WITH gaps AS (
-    SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_ts FROM events)
-SELECT event_id, {days("ts", "previous_ts")} AS days_since, {days("previous_ts", "ts")} AS days_until,
-       CAST(round((epoch_us(ts) - epoch_us(previous_ts)) / 1000.0) AS BIGINT) AS ms_since
+    SELECT event_id, ts, min(ts) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS bought_at FROM events)
+SELECT event_id, {days("ts", "bought_at")} AS days_since, {days("bought_at", "ts")} AS days_until,
+       CAST(round((epoch_us(ts) - epoch_us(bought_at)) / 1000.0) AS BIGINT) AS ms_since
 FROM gaps"""
 
 ORACLE["surrogate_keys"] = """

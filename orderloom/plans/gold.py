@@ -4,7 +4,9 @@ Rules that keep the plans good at scale:
 
 * anything that only needs one row per order (payments, reviews, item totals) is reduced to one row per
   order before it is joined, so no join repeats rows and an order with very many items collapses map-side;
-* items are shuffled on the order key once; the order-grain columns are joined together first;
+* items are shuffled on the order key once. The columns of an order are joined together first, and shuffled
+  by order again before they meet the items: only a join with an exchange on either side can be split by
+  adaptive execution, and one order may hold very many items;
 * distinct counts of orders become plain counts on data that already has one row per order;
 * dimensions carry no broadcast hint: Spark broadcasts one whose size is below its threshold, and
   otherwise sort-merges with adaptive skew splitting on the fact side.
@@ -107,22 +109,35 @@ def fact_sales_items(
     )
 
 
-def fact_order_fulfillment(
-    orders: DataFrame, customers: DataFrame, reviews: DataFrame, items: DataFrame, sellers: DataFrame
-) -> DataFrame:
-    """One row per order with a known customer: main seller, delivery times, review."""
+def fulfillment_heads(orders: DataFrame, customers: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Orders with a known customer, their delivery times and their review: the fulfillment fact without sellers."""
     scores = order_scores(reviews).select(
         "order_id", round_half_up_int(exact_avg("score_sum", "score_count")).alias("review_score")
     )
     buyers = customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state")
-    wide = (
+    purchase, delivered = F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
+    estimated = F.col("order_estimated_delivery_date")
+    return (
         orders.join(scores, "order_id", "left")
-        .join(primary_sellers(items, sellers), "order_id", "left")
         .join(buyers, "customer_id")
+        .withColumns(
+            {
+                "delivery_days_actual": days_between(delivered, purchase),
+                "delivery_days_estimated": days_between(estimated, purchase),
+                "processing_days": days_between("order_delivered_carrier_date", "order_approved_at"),
+                "is_late_delivery": delivered > estimated,
+            }
+        )
     )
-    purchase, delivered = F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
-    estimated = F.col("order_estimated_delivery_date")
-    return wide.select(
+
+
+def fact_order_fulfillment(
+    orders: DataFrame, customers: DataFrame, reviews: DataFrame, items: DataFrame, sellers: DataFrame
+) -> DataFrame:
+    """One row per order with a known customer: main seller, delivery times, review."""
+    # The sellers join on order_id comes first: orders are then already laid out by order for the reviews.
+    with_seller = orders.join(primary_sellers(items, sellers), "order_id", "left")
+    return fulfillment_heads(with_seller, customers, reviews).select(
         "order_id",
         "customer_unique_id",
         "customer_city",
@@ -136,23 +151,27 @@ def fact_order_fulfillment(
         "order_delivered_carrier_date",
         "order_delivered_customer_date",
         "order_estimated_delivery_date",
-        days_between(delivered, purchase).alias("delivery_days_actual"),
-        days_between(estimated, purchase).alias("delivery_days_estimated"),
-        days_between("order_delivered_carrier_date", "order_approved_at").alias("processing_days"),
-        (delivered > estimated).alias("is_late_delivery"),
+        "delivery_days_actual",
+        "delivery_days_estimated",
+        "processing_days",
+        "is_late_delivery",
         "review_score",
     )
 
 
-def mart_customer_behavior(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per buyer with at least one item."""
+def order_totals(items: DataFrame) -> DataFrame:
+    """Items and their value per order."""
     value = F.col("price") + F.col("freight_value")
-    per_order = items.groupBy("order_id").agg(
+    return items.groupBy("order_id").agg(
         F.count("*").alias("n_items"), F.sum(value).alias("value_sum"), F.count(value).alias("value_count")
     )
+
+
+def mart_customer_behavior(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per buyer with at least one item."""
     bought = (
         orders.select("order_id", "customer_id", "order_purchase_timestamp")
-        .join(per_order, "order_id")
+        .join(order_totals(items), "order_id")
         .join(
             customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state"), "customer_id"
         )
@@ -183,30 +202,44 @@ def mart_customer_behavior(customers: DataFrame, orders: DataFrame, items: DataF
 
 
 def mart_monthly_performance(sales: DataFrame) -> DataFrame:
-    """One row per purchase month, from the sales fact (or anything with its five columns), all statuses.
+    """One row per purchase month, from the sales fact (or anything with its five columns), all statuses."""
+    value = F.col("price") + F.col("freight_value")
+    per_order = sales.groupBy("order_purchase_timestamp", "customer_id", "order_id").agg(
+        F.sum(value).alias("value_sum"), F.count(value).alias("value_count")
+    )
+    return _months(per_order)
+
+
+def mart_monthly_from_items(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """The same mart without a sales fact: items are summed per order before they meet their order."""
+    heads = orders.select("order_id", "customer_id", "order_purchase_timestamp")
+    return _months(order_totals(items).join(heads, "order_id"))
+
 
-    Three steps of ever fewer rows (order, buyer and month, month) instead of two COUNT DISTINCTs, which
-    would make Spark copy every item once per distinct column before the shuffle.
+def _months(per_order: DataFrame) -> DataFrame:
+    """Months from one row per order, in two steps of ever fewer rows (buyer and month, month).
+
+    Two COUNT DISTINCTs would make Spark copy every row once per distinct column before the shuffle.
     """
-    value = F.col("price") + F.col("freight_value")
-    per_order = sales.groupBy(
-        month_bucket("order_purchase_timestamp").alias("month_start_date"), "customer_id", "order_id"
-    ).agg(F.sum(value).alias("revenue"), F.count(value).alias("n_values"))
-    per_customer = per_order.groupBy("month_start_date", "customer_id").agg(
-        F.sum("revenue").alias("revenue"), F.sum("n_values").alias("n_values"), F.count("order_id").alias("n_orders")
+    per_customer = per_order.groupBy(
+        month_bucket("order_purchase_timestamp").alias("month_start_date"), "customer_id"
+    ).agg(
+        F.sum("value_sum").alias("value_sum"),
+        F.sum("value_count").alias("value_count"),
+        F.count("order_id").alias("n_orders"),
     )
     per_month = per_customer.groupBy("month_start_date").agg(
-        F.sum("revenue").alias("total_revenue"),
+        F.sum("value_sum").alias("total_revenue"),
         F.sum("n_orders").alias("total_orders"),
         F.count("customer_id").alias("total_customers"),
-        F.sum("n_values").alias("n_values"),
+        F.sum("value_count").alias("value_count"),
     )
     return per_month.select(
         "month_start_date",
         "total_revenue",
         "total_orders",
         "total_customers",
-        exact_avg("total_revenue", "n_values").alias("avg_order_value"),
+        exact_avg("total_revenue", "value_count").alias("avg_order_value"),
     )
 
 
