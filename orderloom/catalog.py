@@ -30,7 +30,10 @@ from orderloom.functions import (
     token_estimate,
 )
 from orderloom.operators import dedupe, lookup, merge, profile, quality, results
-from orderloom.plans import build, checks, gold, queries as business, silver
+from orderloom.operators.quantiles import describe_values, global_rank
+from orderloom.plans import build, checks, gold, silver
+from orderloom.plans import order_facts as facts
+from orderloom.plans import queries as business
 from orderloom.sources import bronze, registry, runlog, standins
 from orderloom.sources.standins import Silver
 from orderloom.sources.store import TableStore, scratch_folder
@@ -498,8 +501,6 @@ def interval_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def event_value_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The same summary over the event values, whose quantiles fall between two values."""
-    from orderloom.operators.quantiles import describe_values
-
     summary = describe_values(Silver(spark, folder).raw("events"), "value", 10.0)
     return summary.select("stat", F.round("value", 6).alias("value"))
 
@@ -695,6 +696,116 @@ def latest_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# --- order item features and their marts ---------------------------------------------------------------------
+
+
+def _all_sales(s: Silver) -> DataFrame:
+    return gold.fact_sales_items(s.order_items, s.order_heads, s.products, s.sellers, s.customers, s.order_payments)
+
+
+@query
+def order_logistics(spark: SparkSession, folder: str) -> DataFrame:
+    return facts.logistics(Silver(spark, folder).orders)
+
+
+@query
+def purchase_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Calendar features of the events, whose timestamps have a time of day."""
+    events = Silver(spark, folder).raw("events").select("event_id", "ts")
+    return facts.calendar(events, "ts").drop("ts")
+
+
+@query
+def customer_features(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    mart = gold.mart_customer_behavior(s.customers, s.order_heads, s.order_items)
+    return facts.customer_features(mart, "2001-09-01 00:00:00")
+
+
+@query
+def seller_features(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    mart = gold.mart_seller_performance(s.sellers, s.order_items, s.orders, s.order_reviews)
+    return facts.seller_features(mart, s.order_items, s.order_heads, 1_000_000.0)
+
+
+@query
+def customer_balance_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """RANK over all customers by whole hundreds of their balance (many ties)."""
+    hundreds = F.floor(F.col("c_acctbal") / 100).cast("int")
+    ranked = global_rank(Silver(spark, folder).raw("customer").withColumn("hundreds", hundreds), "hundreds", 10.0, "pos")
+    return ranked.select("c_custkey", "hundreds", "pos")
+
+
+@query
+def product_features(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    return facts.product_features(s.products, s.order_items, s.order_reviews)
+
+
+@query
+def payment_features(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    return facts.payment_features(s.order_payments, s.order_items)
+
+
+@query
+def order_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """Places lie at (key, -2 x key) degrees; distances in whole metres, as trigonometry differs in the last bits."""
+    s = Silver(spark, folder)
+    places = s.places.filter(F.col("state") != "ASIA").select(
+        "city",
+        "state",
+        F.col("n_nationkey").cast("double").alias("avg_lat"),
+        (F.col("n_nationkey") * -2).cast("double").alias("avg_lng"),
+    )
+    found = facts.order_distances(_all_sales(s), places)
+    return found.withColumn("distance_km", F.round("distance_km", 3))
+
+
+@query
+def sales_summary(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    return facts.sales_summary(gold.sold_items(s.order_items, s.order_heads))
+
+
+@query
+def category_performance(spark: SparkSession, folder: str) -> DataFrame:
+    return facts.category_performance(_sales_with_category(Silver(spark, folder)))
+
+
+@query
+def state_performance(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    homes = s.customers.select("customer_id", "customer_state")
+    return facts.state_performance(gold.sold_items(s.order_items, s.order_heads).join(homes, "customer_id", "left"))
+
+
+@query
+def payment_method_performance(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    return facts.payment_method_performance(_all_sales(s))
+
+
+@query
+def delivery_performance(spark: SparkSession, folder: str) -> DataFrame:
+    s = Silver(spark, folder)
+    return facts.delivery_performance(s.orders, s.customers, s.order_reviews)
+
+
+@query
+def zip_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return facts.zip_prefixes(standins.bronze_geolocation(Silver(spark, folder)))
+
+
+@query
+def quality_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues of the orders, with only the customers in credit known."""
+    s = Silver(spark, folder)
+    known = s.raw("customer").filter(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("customer_id"))
+    return facts.quality_issues(s.orders, known, s.order_payments)
+
+
 # --- landing, streaming, build -----------------------------------------------------------------------------
 
 

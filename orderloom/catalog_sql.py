@@ -594,6 +594,131 @@ SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value
        CASE WHEN arg_max(event_type, (ts, event_id)) IN ('purchase', 'error') THEN max(ts) END AS finished_at
 FROM events GROUP BY user_id"""
 
+# --- order item features and their marts -----------------------------------------------------------------------
+
+ORACLE["order_logistics"] = f"""WITH {ORDERS}, d AS (
+    SELECT order_id, {days("order_delivered_customer_date", "order_purchase_timestamp")} AS delivery_days,
+           {days("order_delivered_customer_date", "order_estimated_delivery_date")} AS delivery_delay_days,
+           {days("order_delivered_carrier_date", "order_approved_at")} AS processing_days,
+           {days("order_delivered_customer_date", "order_delivered_carrier_date")} AS handling_days,
+           {days("order_estimated_delivery_date", "order_purchase_timestamp")} AS promised,
+           order_delivered_customer_date > order_estimated_delivery_date AS is_late_delivery
+    FROM ords)
+SELECT order_id, delivery_days, delivery_delay_days, processing_days, handling_days,
+       CAST(delivery_days AS DOUBLE) / nullif(promised, 0) AS delivery_efficiency, is_late_delivery
+FROM d"""
+
+ORACLE["purchase_calendar"] = """
+SELECT event_id, CAST(year(ts) AS INTEGER) AS purchase_year, CAST(month(ts) AS INTEGER) AS purchase_month,
+       CAST(day(ts) AS INTEGER) AS purchase_day, CAST(isodow(ts) AS INTEGER) AS purchase_weekday,
+       CAST(hour(ts) AS INTEGER) AS purchase_hour, isodow(ts) >= 6 AS is_weekend,
+       strftime(ts, '%m-%d') IN ('01-01', '04-21', '05-01', '09-07', '10-12', '11-02', '11-15', '12-25') AS is_holiday,
+       CASE WHEN month(ts) IN (12, 1, 2) THEN 'summer' WHEN month(ts) <= 5 THEN 'autumn'
+            WHEN month(ts) <= 8 THEN 'winter' ELSE 'spring' END AS purchase_season
+FROM events"""
+
+ORACLE["customer_features"] = f"""WITH {ALL_FOR_CUSTOMERS}, f AS (
+    SELECT customer_unique_id, total_orders, total_lifetime_value AS total_spent,
+           {days("latest_purchase_at", "first_purchase_at")} AS lifetime_days,
+           {days("TIMESTAMP '2001-09-01 00:00:00'", "latest_purchase_at")} AS recency_days
+    FROM customer_mart)
+SELECT *, CAST(total_orders * 30 AS DOUBLE) / nullif(lifetime_days, 0) AS orders_per_30_days,
+       CASE WHEN recency_days <= 30 THEN 5 WHEN recency_days <= 90 THEN 4 WHEN recency_days <= 180 THEN 3
+            WHEN recency_days <= 365 THEN 2 ELSE 1 END AS recency_score,
+       CASE WHEN total_orders >= 10 THEN 5 WHEN total_orders >= 5 THEN 4 WHEN total_orders >= 3 THEN 3
+            WHEN total_orders >= 2 THEN 2 ELSE 1 END AS frequency_score,
+       CASE WHEN total_spent >= 1000 THEN 5 WHEN total_spent >= 500 THEN 4 WHEN total_spent >= 200 THEN 3
+            WHEN total_spent >= 100 THEN 2 ELSE 1 END AS monetary_score
+FROM f"""
+
+ORACLE["seller_features"] = f"""WITH mart AS ({ORACLE["mart_seller_performance"]}), {ORDERS}, {ITEMS}, buyers AS (
+    SELECT seller_id, count(DISTINCT customer_id) AS n FROM items i JOIN ords o ON i.order_id = o.order_id GROUP BY 1)
+SELECT m.seller_id, m.total_revenue, rank() OVER (ORDER BY m.total_revenue DESC) AS revenue_rank,
+       coalesce(b.n, 0) AS unique_customers, m.late_delivery_rate, m.avg_review_score
+FROM mart m LEFT JOIN buyers b ON m.seller_id = b.seller_id"""
+
+ORACLE["customer_balance_rank"] = """WITH h AS (SELECT c_custkey, CAST(floor(c_acctbal / 100) AS INTEGER) AS hundreds FROM customer)
+SELECT c_custkey, hundreds, rank() OVER (ORDER BY hundreds DESC) AS pos FROM h"""
+
+ORACLE["product_features"] = f"""WITH {ITEMS}, {REVIEWS}, freight AS (
+    SELECT product_id, {money("sum(freight_value)")} AS f, count(freight_value) AS n, {money("sum(price)")} AS p
+    FROM items GROUP BY 1),
+low AS (
+    SELECT i.product_id, CAST(count(*) FILTER (WHERE review_score <= 2) AS DOUBLE) / count(review_score) AS risk
+    FROM items i JOIN reviews r ON i.order_id = r.order_id GROUP BY 1)
+SELECT p_partkey AS product_id, CAST(p_size AS DOUBLE) * p_size * p_size AS volume_cm3,
+       CAST(p_size AS DOUBLE) / nullif(CAST(p_size AS DOUBLE) * p_size * p_size, 0) AS density_g_cm3,
+       f / n AS avg_shipping_cost, f / p AS freight_ratio, risk AS return_risk
+FROM part LEFT JOIN freight ON p_partkey = freight.product_id LEFT JOIN low ON p_partkey = low.product_id"""
+
+ORACLE["payment_features"] = f"""WITH {ITEMS}, {PAYMENTS}, total AS (
+    SELECT order_id, {money(f"sum({VALUE})")} AS v FROM items GROUP BY 1),
+paid AS (
+    SELECT order_id, count(*) AS payments, count(DISTINCT payment_type) AS payment_types,
+           max(payment_installments) AS max_installments, count(*) > 1 AS is_multi_payment,
+           {money("sum(payment_value)")} AS v
+    FROM payments GROUP BY 1)
+SELECT p.order_id, payments, payment_types, max_installments, is_multi_payment, p.v / t.v AS payment_to_order_ratio
+FROM paid p LEFT JOIN total t ON p.order_id = t.order_id"""
+
+ORACLE["order_distances"] = f"""WITH {ALL_FOR_SALES}, ends AS (
+    SELECT order_item_key, customer_state = seller_state AS is_same_state,
+           radians(c.n_nationkey) AS lat1, radians(c.n_nationkey * -2) AS lng1,
+           radians(s.n_nationkey) AS lat2, radians(s.n_nationkey * -2) AS lng2
+    FROM sales LEFT JOIN places c ON customer_city = c.city AND customer_state = c.state AND c.state <> 'ASIA'
+    LEFT JOIN places s ON seller_city = s.city AND seller_state = s.state AND s.state <> 'ASIA')
+SELECT order_item_key, is_same_state, round(2 * 6371.0088::DOUBLE * asin(sqrt(
+           pow(sin((lat2 - lat1) / 2), 2) + cos(lat1) * cos(lat2) * pow(sin((lng2 - lng1) / 2), 2))), 3) AS distance_km
+FROM ends"""
+
+
+def _sales_by(key: str, name: str, table: str, value: str = VALUE) -> str:
+    return f"""SELECT {key} AS {name}, count(DISTINCT order_id) AS orders, count(*) AS items,
+       {money(f"sum({value})")} AS revenue, {money(f"sum({value})")} / count({value}) AS avg_item_value
+FROM {table} GROUP BY 1"""
+
+
+ORACLE["sales_summary"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD}
+{_sales_by("strftime(date_trunc('month', order_purchase_timestamp), '%Y-%m-%d')", "month_start_date", "sold")}"""
+
+ORACLE["category_performance"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD_WITH_CATEGORY}
+{_sales_by("product_category_name", "product_category_name", "categorised")}"""
+
+ORACLE["state_performance"] = f"""WITH {ALL_FOR_SALES}
+{_sales_by("customer_state", "customer_state", "sales", "total_value")}"""
+
+ORACLE["payment_method_performance"] = f"""WITH {ALL_FOR_SALES}
+{_sales_by("payment_type", "payment_type", "sales", "total_value")}"""
+
+ORACLE["delivery_performance"] = f"""WITH {ALL_FOR_FULFILLMENT}
+SELECT customer_state, count(*) AS orders,
+       CAST(sum(delivery_days_actual) AS DOUBLE) / nullif(count(delivery_days_actual), 0) AS avg_delivery_days,
+       CAST(count(*) FILTER (WHERE is_late_delivery) AS DOUBLE) / nullif(count(delivery_days_actual), 0) AS late_rate,
+       CAST(sum(review_score) AS DOUBLE) / count(review_score) AS avg_review_score
+FROM fulfillment WHERE order_status = 'delivered' GROUP BY 1"""
+
+ORACLE["zip_prefixes"] = f"""WITH {PLACES}, raw AS (
+    SELECT CAST(c_nationkey AS VARCHAR) AS geolocation_zip_code_prefix,
+           concat(' ', CAST(CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 0.01 AS DECIMAL(14,4)) AS VARCHAR), '  ') AS geolocation_lat,
+           CAST(CAST(CAST(-c_acctbal AS DECIMAL(12,2)) * 0.01 AS DECIMAL(14,4)) AS VARCHAR) AS geolocation_lng,
+           concat(' São ', upper(city), ' - ', c_mktsegment) AS geolocation_city,
+           concat(lower(state), ' ') AS geolocation_state
+    FROM customer JOIN places ON c_nationkey = n_nationkey)
+SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY geolocation_zip_code_prefix
+        ORDER BY geolocation_state, geolocation_city, geolocation_lat, geolocation_lng) AS rn FROM raw) r
+WHERE rn = 1"""
+
+ORACLE["quality_issues"] = f"""WITH {ORDERS}, {LINES}, {PAYMENTS}
+SELECT 'unknown_customer' AS issue_type, 'orders' AS table_name, CAST(order_id AS VARCHAR) AS record_key FROM ords
+WHERE customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT 'delivered_before_purchase', 'orders', CAST(order_id AS VARCHAR) FROM ords
+WHERE order_delivered_customer_date < order_purchase_timestamp
+UNION ALL SELECT 'missing_id', 'orders', NULL FROM ords WHERE order_id IS NULL
+UNION ALL SELECT 'duplicate_id', 'orders', CAST(order_id AS VARCHAR) FROM ords GROUP BY order_id HAVING count(*) > 1
+UNION ALL SELECT 'negative_payment', 'order_payments', concat(order_id, '-', payment_sequential) FROM payments
+WHERE payment_value < 0"""
+
 # --- landing, streaming, build ---------------------------------------------------------------------------------
 
 ORACLE["landed_customers"] = """

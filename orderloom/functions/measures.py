@@ -74,4 +74,5 @@ def haversine_km(lat1: ColumnLike, lng1: ColumnLike, lat2: ColumnLike, lng2: Col
     half_dphi = (phi2 - phi1) / 2
     half_dlambda = (F.radians(as_column(lng2)) - F.radians(as_column(lng1))) / 2
     h = F.pow(F.sin(half_dphi), 2) + F.cos(phi1) * F.cos(phi2) * F.pow(F.sin(half_dlambda), 2)
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # Not least(h, 1): that skips NULL.
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))

@@ -85,3 +85,34 @@ def describe_values(df: DataFrame, column: str, bucket_width: float) -> DataFram
         F.format_string("%d%%", (F.col("probability") * 100).cast("int")).alias("stat"), "value"
     )
     return basics.unionByName(quartiles)
+
+
+def global_rank(df: DataFrame, metric: str, bucket_width: float, output: str) -> DataFrame:
+    """Rank of every row by a metric, highest first, equal values sharing a rank (RANK without a partition).
+
+    A window without a partition key would sort the table in one task. Here the values are counted per
+    bucket, the few bucket counts are accumulated, and positions are found inside each bucket by itself;
+    ``bucket_width`` bounds the bucket table to (max - min) / width rows. NULL metrics get no rank.
+    """
+    value = F.col(metric).cast("double")
+    # One row per value, so that a value shared by very many rows takes one row in the windows below.
+    valued = (
+        df.filter(F.col(metric).isNotNull())
+        .groupBy(F.col(metric).alias("__value"), F.floor(value / F.lit(float(bucket_width))).alias("__bucket"))
+        .agg(F.count("*").alias("__n"))
+    )
+    sized = valued.groupBy("__bucket").agg(F.sum("__n").alias("__size"))
+    higher = F.sum("__size").over(W.orderBy(F.col("__bucket").desc()).rowsBetween(W.unboundedPreceding, -1))
+    placed = sized.select(F.col("__bucket").alias("__b"), F.coalesce(higher, F.lit(0)).alias("__higher"))
+    inside = F.sum("__n").over(
+        W.partitionBy("__bucket").orderBy(F.col("__value").desc()).rowsBetween(W.unboundedPreceding, -1)
+    )
+    ranked = (
+        valued.withColumn("__inside", F.coalesce(inside, F.lit(0)))
+        .join(placed, F.col("__bucket") == F.col("__b"))
+        .select(
+            F.col("__value").alias("__ranked_value"),
+            (F.col("__higher") + F.col("__inside") + 1).cast("long").alias(output),
+        )
+    )
+    return df.join(ranked, F.col(metric) == F.col("__ranked_value"), "left").drop("__ranked_value")
