@@ -39,7 +39,8 @@ HEADLINE = (
     "sequence_gaps",
     "interval_summary",
     "distinct_counts",
-    "place_names",
+    "text_functions",
+    "seller_features",
     "pivot_sum",
     "csv_round_trip",
 )

@@ -911,9 +911,8 @@ def warehouse_build(spark: SparkSession, folder: str) -> DataFrame:
         "geography_master": standins.place_map(s),
         "product_category_mapping": standins.category_map(s),
     }
-    for table, rows in landing.items():
-        _land(spark, rows, f"{root}/landing", table)
-    build.ingest(spark, store, log, f"{root}/landing")
+    build.together([lambda t=t, rows=rows: _land(spark, rows, f"{root}/landing", t) for t, rows in landing.items()])
+    build.ingest_in_order(spark, store, log, f"{root}/landing")
     build.build_warehouse(spark, store, log)
     models = {f"{m.layer}.{m.name}": store.read(m.layer, m.name) for m in S.MODELS}
     return quality.row_counts(models).select("table_name", F.col("actual").alias("row_count"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderloom import schemas as S
-from orderloom.plans import build, silver
+from orderloom.plans import build, checks, silver
 from orderloom.sources import bronze, standins
 from orderloom.sources.registry import REGISTRY, Landing, target_layer
 from orderloom.sources.runlog import OpsLog, latest_runs
@@ -126,6 +126,24 @@ def test_ingest_of_one_source_type_and_a_failure(spark, tmp_path):
     assert sorted(r["status"] for r in log.runs().collect()) == ["failed", "success", "success"]
 
 
+def test_counts_are_validated(spark, tmp_path):
+    store, log = TableStore(spark, f"{tmp_path}/w"), OpsLog(spark, f"{tmp_path}/w")
+    columns = list(S.ORDERS.columns)
+    line = "o1,c1,delivered,2017-05-01 10:00:00,,,,"
+    put(tmp_path / "in" / "orders.csv", ",".join(columns) + f"\n{line}\n")
+    put(tmp_path / "in" / "product_category_mapping.csv", "raw_category,canonical_category\na,b\n")
+    expected = {"orders": 1, "product_category_mapping": 1}
+    loaded, outcome = build.ingest_and_validate(spark, store, log, f"{tmp_path}/in", expected, {2017: 1})
+    assert [r.table for r in loaded] == ["product_category_mapping", "orders"]
+    assert outcome.count() == 3 and outcome.filter("passed").count() == 3
+    assert build.ingest_and_validate(spark, store, log, f"{tmp_path}/in", expected, {2017: 1})[1].count() == 0
+    put(tmp_path / "in" / "orders.csv", ",".join(columns) + f"\n{line}\n{line.replace('o1', 'o2')}\n")
+    with pytest.raises(build.ValidationError, match="orders.row_count, orders.year_2017_count"):
+        build.ingest_and_validate(spark, store, log, f"{tmp_path}/in", expected, {2017: 1})
+    found = {r["layer_name"]: r["passed"] for r in checks.layer_presence(store.tables(), ("bronze", "gold")).collect()}
+    assert found == {"bronze": True, "gold": False}
+
+
 def test_stream_equals_batch_merge(spark, tmp_path):
     store, spec = TableStore(spark, f"{tmp_path}/w"), S.SELLERS
     schema = bronze.text_schema(spec.columns)

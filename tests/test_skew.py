@@ -137,3 +137,13 @@ def test_a_hot_duplicate_fails_the_merge(skewed):
     source = skewed["items"].select("order_id", "price")
     with pytest.raises(Exception, match="duplicate merge key: 0"):
         merge_upsert(source.limit(0), source, ["order_id"]).count()
+
+
+def test_adaptive_execution_splits_the_hot_order(spark, skewed):
+    if spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1":
+        pytest.skip("only where joins shuffle")
+    t = skewed
+    fact = gold.fact_sales_items(t["items"], t["orders"], t["products"], t["sellers"], t["customers"], t["payments"])
+    fact.collect()
+    plan = fact._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin(skew=true)") >= 3, plan
