@@ -549,7 +549,7 @@ def fuzzy_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def event_gap_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole days and milliseconds since the user's first purchase, both ways round; NULL without a purchase."""
+    """Whole days and microseconds since the user's first purchase, both ways round; NULL without a purchase."""
     events = Silver(spark, folder).raw("events")
     bought = (
         events.filter(F.col("event_type") == "purchase")
@@ -561,7 +561,7 @@ def event_gap_days(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         days_between("ts", "bought_at").alias("days_since"),
         days_between("bought_at", "ts").alias("days_until"),
-        F.round(seconds_between("ts", "bought_at") * 1000).cast("long").alias("ms_since"),
+        F.round(seconds_between("ts", "bought_at") * 1_000_000).cast("long").alias("us_since"),
     )
 
 

@@ -522,7 +522,7 @@ ORDER BY similarity DESC, name LIMIT 20"""
 ORACLE["event_gap_days"] = f"""WITH gaps AS (
     SELECT event_id, ts, min(ts) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS bought_at FROM events)
 SELECT event_id, {days("ts", "bought_at")} AS days_since, {days("bought_at", "ts")} AS days_until,
-       CAST(round((epoch_us(ts) - epoch_us(bought_at)) / 1000.0) AS BIGINT) AS ms_since
+       epoch_us(ts) - epoch_us(bought_at) AS us_since
 FROM gaps"""
 
 ORACLE["surrogate_keys"] = """

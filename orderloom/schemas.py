@@ -18,13 +18,18 @@ LAYERS = ("reference", "bronze", "master", "silver", "gold", "ops")
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A typed table. ``kept``: columns that keep their first value when a row is merged again."""
+    """A typed table.
+
+    ``kept``: columns that keep their first value when a row is merged again. ``sorted_by``: order of the rows
+    inside each written file, so that a filter on these columns skips row groups by their minimum and maximum.
+    """
 
     layer: str
     name: str
     keys: tuple[str, ...]
     columns: dict[str, str]
     kept: tuple[str, ...] = ()
+    sorted_by: tuple[str, ...] = ()
     comments: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -101,6 +106,7 @@ ORDERS = TableSpec(
         "order_delivered_customer_date": TS,
         "order_estimated_delivery_date": TS,
     },
+    sorted_by=("order_purchase_timestamp",),
     comments={"order_status": "created, approved, invoiced, processing, shipped, delivered, unavailable or canceled."},
 )
 ORDER_ITEMS = TableSpec(
@@ -171,6 +177,7 @@ FACT_SALES_ITEMS = TableSpec(
         "total_value": MONEY,
     },
     kept=("order_id", "product_id", "seller_id", "seller_state", "customer_id", "customer_state"),
+    sorted_by=("order_purchase_timestamp",),
     comments={
         "order_item_key": "order_id-order_item_id.",
         "payment_type": "Type of the order's largest payment.",
@@ -216,6 +223,7 @@ FACT_ORDER_FULFILLMENT = TableSpec(
         "delivery_days_estimated",
         "processing_days",
     ),
+    sorted_by=("order_purchase_timestamp",),
     comments={"seller_id": "Seller of the order's most expensive item.", "review_score": "Rounded mean of 1 to 5."},
 )
 MART_CUSTOMER = TableSpec(
