@@ -40,12 +40,9 @@ ORDERS = f"""ords AS (
     ) ships ON l_orderkey = o_orderkey)"""
 
 LINES = """lines AS (
-    SELECT * EXCLUDE (rn) FROM (
-        SELECT *, row_number() OVER (
-            PARTITION BY l_orderkey, l_linenumber
-            ORDER BY l_extendedprice DESC NULLS LAST, l_partkey, l_suppkey, l_shipdate, l_quantity, l_tax, l_returnflag
-        ) AS rn FROM lineitem) ranked
-    WHERE rn = 1)"""
+    SELECT * FROM lineitem QUALIFY 1 = row_number() OVER (
+        PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_extendedprice DESC NULLS LAST, l_partkey, l_suppkey, l_shipdate, l_quantity, l_tax, l_returnflag))"""
 
 ITEMS = f"""{LINES}, items AS (
     SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id,
@@ -65,17 +62,12 @@ REVIEWS = """reviews AS (
 VALUE = "CAST(price AS DECIMAL(18,4)) + freight_value"
 
 PRIMARY_PAYMENTS = """primary_payments AS (
-    SELECT order_id, payment_type, payment_installments FROM (
-        SELECT *, row_number() OVER (
-            PARTITION BY order_id ORDER BY payment_value DESC NULLS FIRST, payment_sequential) AS rn FROM payments) p
-    WHERE rn = 1)"""
+    SELECT order_id, payment_type, payment_installments FROM payments QUALIFY 1 = row_number() OVER (
+        PARTITION BY order_id ORDER BY payment_value DESC NULLS FIRST, payment_sequential))"""
 
 PRIMARY_SELLERS = """primary_sellers AS (
-    SELECT order_id, seller_id, seller_city, seller_state FROM (
-        SELECT order_id, i.seller_id, seller_city, seller_state, row_number() OVER (
-            PARTITION BY order_id ORDER BY price DESC NULLS FIRST, order_item_id) AS rn
-        FROM items i JOIN sellers s ON i.seller_id = s.seller_id) t
-    WHERE rn = 1)"""
+    SELECT order_id, seller_id, seller_city, seller_state FROM items JOIN sellers USING (seller_id)
+    QUALIFY 1 = row_number() OVER (PARTITION BY order_id ORDER BY price DESC NULLS FIRST, order_item_id))"""
 
 
 def days(later: str, earlier: str) -> str:
@@ -89,34 +81,28 @@ def money(expression: str) -> str:
 
 
 FACT_SALES = f"""sales AS (
-    SELECT concat(i.order_id, '-', i.order_item_id) AS order_item_key, i.order_id, o.order_status,
-           o.order_purchase_timestamp, i.product_id, p.product_category_name, p.product_weight_g, p.product_length_cm,
-           p.product_height_cm, p.product_width_cm, i.seller_id, s.seller_city, s.seller_state, o.customer_id,
-           c.customer_city, c.customer_state, pp.payment_type, pp.payment_installments, i.price, i.freight_value,
-           {VALUE} AS total_value
-    FROM items i JOIN ords o ON i.order_id = o.order_id
-    LEFT JOIN products p ON i.product_id = p.product_id
-    LEFT JOIN sellers s ON i.seller_id = s.seller_id
-    LEFT JOIN customers c ON o.customer_id = c.customer_id
-    LEFT JOIN primary_payments pp ON o.order_id = pp.order_id)"""
+    SELECT order_id || '-' || order_item_id AS order_item_key, order_id, order_status, order_purchase_timestamp,
+           product_id, product_category_name, product_weight_g, product_length_cm, product_height_cm, product_width_cm,
+           seller_id, seller_city, seller_state, customer_id, customer_city, customer_state,
+           payment_type, payment_installments, price, freight_value, {VALUE} AS total_value
+    FROM items JOIN ords USING (order_id) LEFT JOIN primary_payments USING (order_id)
+    LEFT JOIN customers USING (customer_id) LEFT JOIN products USING (product_id) LEFT JOIN sellers USING (seller_id))"""
 
 ALL_FOR_SALES = ", ".join(
     [PLACES, CUSTOMERS, SELLERS, PRODUCTS, ORDERS, ITEMS, PAYMENTS, PRIMARY_PAYMENTS, FACT_SALES]
 )
 
 FULFILLMENT = f"""fulfillment AS (
-    SELECT o.order_id, c.customer_unique_id, c.customer_city, c.customer_state, ps.seller_id, ps.seller_city,
-           ps.seller_state, o.order_status, o.order_purchase_timestamp, o.order_approved_at,
-           o.order_delivered_carrier_date, o.order_delivered_customer_date, o.order_estimated_delivery_date,
-           {days("o.order_delivered_customer_date", "o.order_purchase_timestamp")} AS delivery_days_actual,
-           {days("o.order_estimated_delivery_date", "o.order_purchase_timestamp")} AS delivery_days_estimated,
-           {days("o.order_delivered_carrier_date", "o.order_approved_at")} AS processing_days,
-           o.order_delivered_customer_date > o.order_estimated_delivery_date AS is_late_delivery,
-           r.review_score
-    FROM ords o JOIN customers c ON o.customer_id = c.customer_id
-    LEFT JOIN (SELECT order_id, CAST(round(avg(review_score)) AS INTEGER) AS review_score FROM reviews GROUP BY order_id) r
-        ON o.order_id = r.order_id
-    LEFT JOIN primary_sellers ps ON o.order_id = ps.order_id)"""
+    SELECT order_id, customer_unique_id, customer_city, customer_state, seller_id, seller_city, seller_state,
+           order_status, order_purchase_timestamp, order_approved_at, order_delivered_carrier_date,
+           order_delivered_customer_date, order_estimated_delivery_date,
+           {days("order_delivered_customer_date", "order_purchase_timestamp")} AS delivery_days_actual,
+           {days("order_estimated_delivery_date", "order_purchase_timestamp")} AS delivery_days_estimated,
+           {days("order_delivered_carrier_date", "order_approved_at")} AS processing_days,
+           order_delivered_customer_date > order_estimated_delivery_date AS is_late_delivery, score AS review_score
+    FROM ords JOIN customers USING (customer_id) LEFT JOIN primary_sellers USING (order_id)
+    LEFT JOIN (SELECT order_id, CAST(round(avg(review_score)) AS INTEGER) AS score FROM reviews GROUP BY order_id) rated
+        USING (order_id))"""
 
 ALL_FOR_FULFILLMENT = ", ".join(
     [PLACES, CUSTOMERS, SELLERS, ORDERS, ITEMS, REVIEWS, PRIMARY_SELLERS, FULFILLMENT]
@@ -130,8 +116,9 @@ MONTHLY = f"""monthly AS (
     FROM sold GROUP BY 1)"""
 
 SOLD = """sold AS (
-    SELECT i.*, o.customer_id, o.order_status, o.order_purchase_timestamp
-    FROM items i JOIN ords o ON i.order_id = o.order_id)"""
+    SELECT items.*, customer_id, order_status, order_purchase_timestamp, order_delivered_customer_date AS arrived,
+           order_estimated_delivery_date AS promised
+    FROM items JOIN ords USING (order_id))"""
 
 SOLD_WITH_CATEGORY = f"""{SOLD}, categorised AS (
     SELECT s.*, p.p_type AS product_category_name FROM sold s LEFT JOIN part p ON s.product_id = p.p_partkey)"""
@@ -145,14 +132,13 @@ FROM sales"""
 ORACLE["fact_order_fulfillment"] = f"WITH {ALL_FOR_FULFILLMENT} SELECT * FROM fulfillment"
 
 CUSTOMER_MART = f"""customer_mart AS (
-    SELECT c.customer_unique_id, max(c.customer_city) AS customer_city, max(c.customer_state) AS customer_state,
-           min(o.order_purchase_timestamp) AS first_purchase_at, max(o.order_purchase_timestamp) AS latest_purchase_at,
-           count(DISTINCT o.order_id) AS total_orders, count(i.order_id) AS total_items_bought,
+    SELECT customer_unique_id, max(customer_city) AS customer_city, max(customer_state) AS customer_state,
+           min(order_purchase_timestamp) AS first_purchase_at, max(order_purchase_timestamp) AS latest_purchase_at,
+           count(DISTINCT order_id) AS total_orders, count(*) AS total_items_bought,
            {money(f"sum({VALUE})")} AS total_lifetime_value,
            {money(f"sum({VALUE})")} / count({VALUE}) AS avg_order_value,
-           count(DISTINCT o.order_id) > 1 AS is_repeat_customer
-    FROM customers c JOIN ords o ON c.customer_id = o.customer_id JOIN items i ON o.order_id = i.order_id
-    GROUP BY c.customer_unique_id)"""
+           count(DISTINCT order_id) > 1 AS is_repeat_customer
+    FROM items JOIN ords USING (order_id) JOIN customers USING (customer_id) GROUP BY customer_unique_id)"""
 
 ALL_FOR_CUSTOMERS = ", ".join([PLACES, CUSTOMERS, ORDERS, ITEMS, CUSTOMER_MART])
 
@@ -162,40 +148,34 @@ ORACLE["mart_monthly_performance"] = f"WITH {ORDERS}, {ITEMS}, {SOLD}, {MONTHLY}
 
 ORACLE["mart_monthly_from_sales"] = ORACLE["mart_monthly_performance"]
 
-ORACLE["mart_seller_performance"] = f"""WITH {PLACES}, {SELLERS}, {ORDERS}, {ITEMS}, {REVIEWS},
-metrics AS (
-    SELECT i.seller_id, {money("sum(i.price)")} AS total_revenue, count(DISTINCT i.order_id) AS total_orders,
-           count(*) AS total_items_sold, {money("sum(i.price)")} / count(i.price) AS avg_item_price,
-           min(o.order_purchase_timestamp) AS active_since
-    FROM items i JOIN ords o ON i.order_id = o.order_id WHERE o.order_status = 'delivered' GROUP BY 1),
-scores AS (
-    SELECT i.seller_id, CAST(sum(r.review_score) AS DOUBLE) / count(r.review_score) AS avg_review_score
-    FROM items i JOIN reviews r ON i.order_id = r.order_id GROUP BY 1),
-shipping AS (
-    SELECT i.seller_id, CAST(count(*) FILTER (
-               WHERE o.order_delivered_customer_date > o.order_estimated_delivery_date) AS DOUBLE) / count(*) AS late_delivery_rate
-    FROM items i JOIN ords o ON i.order_id = o.order_id
-    WHERE o.order_status = 'delivered' AND o.order_delivered_customer_date IS NOT NULL
-      AND o.order_estimated_delivery_date IS NOT NULL GROUP BY 1)
-SELECT s.seller_id, s.seller_city, s.seller_state, coalesce(m.total_revenue, 0) AS total_revenue,
-       coalesce(m.total_orders, 0) AS total_orders, coalesce(m.total_items_sold, 0) AS total_items_sold,
-       coalesce(m.avg_item_price, 0) AS avg_item_price, coalesce(r.avg_review_score, 0) AS avg_review_score,
-       coalesce(h.late_delivery_rate, 0) AS late_delivery_rate, m.active_since
-FROM sellers s LEFT JOIN metrics m ON s.seller_id = m.seller_id LEFT JOIN scores r ON s.seller_id = r.seller_id
-LEFT JOIN shipping h ON s.seller_id = h.seller_id"""
-
-ORACLE["mart_product_performance"] = f"""WITH {PRODUCTS}, {ORDERS}, {ITEMS}, {REVIEWS},
-metrics AS (
-    SELECT i.product_id, {money("sum(i.price)")} AS total_revenue, count(*) AS total_units_sold,
-           {money("sum(i.price)")} / count(i.price) AS avg_price
-    FROM items i JOIN ords o ON i.order_id = o.order_id WHERE o.order_status = 'delivered' GROUP BY 1),
-scores AS (
-    SELECT i.product_id, CAST(sum(r.review_score) AS DOUBLE) / count(r.review_score) AS avg_review_score
-    FROM items i JOIN reviews r ON i.order_id = r.order_id GROUP BY 1)
-SELECT p.product_id, p.product_category_name, coalesce(m.total_revenue, 0) AS total_revenue,
-       coalesce(m.total_units_sold, 0) AS total_units_sold, coalesce(m.avg_price, 0) AS avg_price,
-       coalesce(r.avg_review_score, 0) AS avg_review_score, p.product_photos_qty AS total_photos, p.product_weight_g
-FROM products p LEFT JOIN metrics m ON p.product_id = m.product_id LEFT JOIN scores r ON p.product_id = r.product_id"""
+_DELIVERED = "FILTER (WHERE order_status = 'delivered')"
+_RATED = """rated AS (
+    SELECT {key}, CAST(sum(review_score) AS DOUBLE) / count(review_score) AS rating
+    FROM items JOIN reviews USING (order_id) GROUP BY {key})"""
+
+ORACLE["mart_seller_performance"] = f"""WITH {PLACES}, {SELLERS}, {ORDERS}, {ITEMS}, {REVIEWS}, {SOLD},
+{_RATED.format(key="seller_id")}, per_seller AS (
+    SELECT seller_id, {money(f"sum(price) {_DELIVERED}")} AS revenue, count(DISTINCT order_id) {_DELIVERED} AS n_orders,
+           count(*) {_DELIVERED} AS n_items, count(price) {_DELIVERED} AS n_prices,
+           min(order_purchase_timestamp) {_DELIVERED} AS since,
+           count(arrived > promised) {_DELIVERED} AS n_timed,
+           count_if(arrived > promised AND order_status = 'delivered') AS n_late
+    FROM sold GROUP BY seller_id)
+SELECT seller_id, seller_city, seller_state, ifnull(revenue, 0) AS total_revenue, ifnull(n_orders, 0) AS total_orders,
+       ifnull(n_items, 0) AS total_items_sold, ifnull(revenue / nullif(n_prices, 0), 0) AS avg_item_price,
+       ifnull(rating, 0) AS avg_review_score,
+       ifnull(CAST(n_late AS DOUBLE) / nullif(n_timed, 0), 0) AS late_delivery_rate, since AS active_since
+FROM sellers LEFT JOIN per_seller USING (seller_id) LEFT JOIN rated USING (seller_id)"""
+
+ORACLE["mart_product_performance"] = f"""WITH {PRODUCTS}, {ORDERS}, {ITEMS}, {REVIEWS}, {SOLD},
+{_RATED.format(key="product_id")}, per_product AS (
+    SELECT product_id, {money(f"sum(price) {_DELIVERED}")} AS revenue, count(*) {_DELIVERED} AS n_items,
+           count(price) {_DELIVERED} AS n_prices
+    FROM sold GROUP BY product_id)
+SELECT product_id, product_category_name, ifnull(revenue, 0) AS total_revenue, ifnull(n_items, 0) AS total_units_sold,
+       ifnull(revenue / nullif(n_prices, 0), 0) AS avg_price, ifnull(rating, 0) AS avg_review_score,
+       product_photos_qty AS total_photos, product_weight_g
+FROM products LEFT JOIN per_product USING (product_id) LEFT JOIN rated USING (product_id)"""
 
 # --- silver and master models --------------------------------------------------------------------------------
 
