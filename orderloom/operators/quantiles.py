@@ -1,32 +1,33 @@
-"""Exact quantiles and a describe() summary that no single task has to hold.
+"""Exact quantiles, a describe() summary and a global rank that no single task has to hold.
 
-``percentile`` keeps a map of every distinct value in one aggregation buffer. Here the values are
-counted per fixed-width bucket first; the ranks wanted fall into a handful of buckets, and only those
-are counted value by value.
+``percentile`` keeps a map of every distinct value in one aggregation buffer, and a window without a partition
+key sorts the table in one task. Here the input is counted per distinct value once, which collapses hot values
+map-side; Spark computes that exchange once and reads it again for every later step. The values fall into
+buckets of a fixed width, the few bucket counts are accumulated, and positions are found inside single buckets.
+
+``bucket_width`` bounds the bucket table to (max - min) / width rows; choose it so that this is some ten
+thousand rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], bucket_width: float) -> DataFrame:
-    """Quantiles with linear interpolation between neighbours: rows of (probability, value).
+def _counted_values(df: DataFrame, value: Column, bucket_width: float) -> DataFrame:
+    """(bucket, value, n): each distinct value once, NULL left out."""
+    kept = df.select(value.alias("value")).filter(F.col("value").isNotNull())
+    bucket = F.floor(F.col("value").cast("double") / F.lit(float(bucket_width)))
+    return kept.groupBy(bucket.alias("bucket"), "value").agg(F.count("*").alias("n"))
 
-    ``bucket_width`` bounds the work: the bucket table has (max - min) / width rows and is ranked by one
-    global window, so choose a width that keeps it to some ten thousand rows.
-    """
-    values = df.select(
-        F.col(column).cast("double").alias("value"),
-        F.floor(F.col(column).cast("double") / F.lit(float(bucket_width))).alias("bucket"),
-    ).filter(F.col("value").isNotNull())
 
+def _quantiles(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     # One row per bucket; the global window runs over these few rows only.
-    sized = values.groupBy("bucket").agg(F.count("*").alias("n"))
+    sized = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     total = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     placed = sized.select("bucket", "n", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total"))
@@ -47,14 +48,11 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
         "bucket", "total", "w.p", "w.side", (F.col("w.rank") - F.col("before")).alias("rank_in_bucket")
     )
 
-    # Distinct values of the wanted buckets with their positions inside the bucket.
-    counted = (
-        values.join(targets.select("bucket").distinct(), "bucket", "left_semi")
-        .groupBy("bucket", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    # Positions of the values inside the wanted buckets. Not a semi join: that would be pushed below the
+    # counting, whose result could then not be used again.
+    near = counted.join(targets.select("bucket").distinct(), "bucket")
     upto = F.sum("n").over(W.partitionBy("bucket").orderBy("value"))
-    ranged = counted.select("bucket", "value", (upto - F.col("n")).alias("first"), upto.alias("end"))
+    ranged = near.select("bucket", "value", (upto - F.col("n")).alias("first"), upto.alias("end"))
     hits = ranged.join(targets, "bucket").filter(
         (F.col("rank_in_bucket") >= F.col("first")) & (F.col("rank_in_bucket") < F.col("end"))
     )
@@ -71,17 +69,49 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     )
 
 
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], bucket_width: float) -> DataFrame:
+    """Quantiles with linear interpolation between neighbours: rows of (probability, value)."""
+    return _quantiles(_counted_values(df, F.col(column).cast("double"), bucket_width), probabilities)
+
+
+def _moments(counted: DataFrame, bucket_width: float) -> DataFrame:
+    """One row of count, mean, std, min, max.
+
+    Sums are taken of the offsets inside each bucket, and the buckets are put together around the overall
+    mean, so large values far from zero do not cancel out.
+    """
+    start = F.col("bucket") * F.lit(float(bucket_width))
+    offset = F.col("value") - start
+    per_bucket = counted.groupBy("bucket").agg(
+        F.sum("n").alias("n"),
+        F.sum(offset * F.col("n")).alias("s"),
+        F.sum(offset * offset * F.col("n")).alias("q"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    )
+    everything = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    centred = per_bucket.select(
+        "*",
+        F.sum("n").over(everything).alias("total"),
+        (F.sum(start * F.col("n") + F.col("s")).over(everything) / F.sum("n").over(everything)).alias("mean"),
+    )
+    shift = F.col("mean") - start
+    spread = F.sum(F.col("q") - 2 * shift * F.col("s") + F.col("n") * shift * shift)
+    return centred.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("count"),
+        F.max("mean").alias("mean"),
+        F.sqrt(F.try_divide(spread, F.max("total") - 1)).alias("std"),
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
+    )
+
+
 def describe_values(df: DataFrame, column: str, bucket_width: float) -> DataFrame:
-    """count, mean, std, min, 25%, 50%, 75%, max as rows of (stat, value)."""
-    x = F.col(column).cast("double")
-    basics = df.agg(
-        F.count(x).cast("double").alias("count"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    ).unpivot([], ["count", "mean", "std", "min", "max"], "stat", "value")
-    quartiles = exact_quantiles(df, column, (0.25, 0.5, 0.75), bucket_width).select(
+    """count, mean, std, min, 25%, 50%, 75%, max as rows of (stat, value); the input is read once."""
+    counted = _counted_values(df, F.col(column).cast("double"), bucket_width)
+    stats = ["count", "mean", "std", "min", "max"]
+    basics = _moments(counted, bucket_width).unpivot([], stats, "stat", "value")
+    quartiles = _quantiles(counted, (0.25, 0.5, 0.75)).select(
         F.format_string("%d%%", (F.col("probability") * 100).cast("int")).alias("stat"), "value"
     )
     return basics.unionByName(quartiles)
@@ -90,29 +120,20 @@ def describe_values(df: DataFrame, column: str, bucket_width: float) -> DataFram
 def global_rank(df: DataFrame, metric: str, bucket_width: float, output: str) -> DataFrame:
     """Rank of every row by a metric, highest first, equal values sharing a rank (RANK without a partition).
 
-    A window without a partition key would sort the table in one task. Here the values are counted per
-    bucket, the few bucket counts are accumulated, and positions are found inside each bucket by itself;
-    ``bucket_width`` bounds the bucket table to (max - min) / width rows. NULL metrics get no rank.
+    NULL metrics get no rank.
     """
-    value = F.col(metric).cast("double")
-    # One row per value, so that a value shared by very many rows takes one row in the windows below.
-    valued = (
-        df.filter(F.col(metric).isNotNull())
-        .groupBy(F.col(metric).alias("__value"), F.floor(value / F.lit(float(bucket_width))).alias("__bucket"))
-        .agg(F.count("*").alias("__n"))
-    )
-    sized = valued.groupBy("__bucket").agg(F.sum("__n").alias("__size"))
-    higher = F.sum("__size").over(W.orderBy(F.col("__bucket").desc()).rowsBetween(W.unboundedPreceding, -1))
-    placed = sized.select(F.col("__bucket").alias("__b"), F.coalesce(higher, F.lit(0)).alias("__higher"))
-    inside = F.sum("__n").over(
-        W.partitionBy("__bucket").orderBy(F.col("__value").desc()).rowsBetween(W.unboundedPreceding, -1)
+    counted = _counted_values(df, F.col(metric), bucket_width)
+    sized = counted.groupBy("bucket").agg(F.sum("n").alias("size"))
+    higher = F.sum("size").over(W.orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1))
+    placed = sized.select("bucket", F.coalesce(higher, F.lit(0)).alias("higher"))
+    inside = F.sum("n").over(
+        W.partitionBy("bucket").orderBy(F.col("value").desc()).rowsBetween(W.unboundedPreceding, -1)
     )
-    ranked = (
-        valued.withColumn("__inside", F.coalesce(inside, F.lit(0)))
-        .join(placed, F.col("__bucket") == F.col("__b"))
+    ranks = (
+        counted.withColumn("inside", F.coalesce(inside, F.lit(0)))
+        .join(placed, "bucket")
         .select(
-            F.col("__value").alias("__ranked_value"),
-            (F.col("__higher") + F.col("__inside") + 1).cast("long").alias(output),
+            F.col("value").alias("__ranked"), (F.col("higher") + F.col("inside") + 1).cast("long").alias(output)
         )
     )
-    return df.join(ranked, F.col(metric) == F.col("__ranked_value"), "left").drop("__ranked_value")
+    return df.join(ranks, F.col(metric) == F.col("__ranked"), "left").drop("__ranked")
