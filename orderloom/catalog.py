@@ -733,8 +733,8 @@ def seller_features(spark: SparkSession, folder: str) -> DataFrame:
 def customer_balance_rank(spark: SparkSession, folder: str) -> DataFrame:
     """RANK over all customers by whole hundreds of their balance (many ties)."""
     hundreds = F.floor(F.col("c_acctbal") / 100).cast("int")
-    ranked = global_rank(Silver(spark, folder).raw("customer").withColumn("hundreds", hundreds), "hundreds", 10.0, "pos")
-    return ranked.select("c_custkey", "hundreds", "pos")
+    customers = Silver(spark, folder).raw("customer").withColumn("hundreds", hundreds)
+    return global_rank(customers, "hundreds", 10.0, "pos").select("c_custkey", "hundreds", "pos")
 
 
 @query
@@ -828,7 +828,7 @@ def landed_customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customers exported as CSV with untidy headers, read back as text with their provenance."""
     raw = Silver(spark, folder).raw("customer").select(
         F.col("c_custkey").alias(" Customer ID "),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("N/A")).otherwise(F.col("c_mktsegment")).alias("Market Segment"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "N/A").otherwise(F.col("c_mktsegment")).alias("Market Segment"),
         F.col("c_name").alias("C_Name"),
     )
     path = _land(spark, raw, scratch_folder(spark, "landing"), "customers")

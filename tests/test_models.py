@@ -4,7 +4,6 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from orderloom import schemas as S
 from orderloom.functions import to_decimal, to_int
