@@ -527,7 +527,7 @@ def duplicated_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def parse_report(spark: SparkSession, folder: str) -> DataFrame:
     """Order dates as text; open orders have the date only, pending ones nothing but a dash."""
-    stamp = F.date_format("o_orderdate", profile.TIMESTAMP_FORMAT)
+    stamp = F.col("o_orderdate").cast("string")
     status = F.col("o_orderstatus")
     text = Silver(spark, folder).raw("orders").select(
         stamp.alias("order_purchase_timestamp"),

@@ -37,7 +37,10 @@ def to_ts(c: ColumnLike, fmt: str | None = None, strict: bool = True) -> Column:
     """Text to a timestamp without zone; with ``fmt`` the text must have exactly that pattern."""
     text = blank_to_null(c)
     if fmt is not None:
-        parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+        # The lenient parser is for zoned timestamps and moves a time that the session zone skips;
+        # it only tells which texts fit the pattern.
+        fits = F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
+        parsed = F.to_timestamp_ntz(F.when(fits, text), F.lit(fmt))
         if not strict:
             return parsed
         bad = text.isNotNull() & parsed.isNull()

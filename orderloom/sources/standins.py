@@ -167,7 +167,7 @@ def _padded(c: Column) -> Column:
 
 
 def _stamp(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return c.cast("string")
 
 
 def bronze_customers(s: Silver) -> DataFrame:

@@ -130,3 +130,14 @@ def test_distance(spark):
     rows = [(-23.55, -46.63, -22.91, -43.17), (1.0, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0), (0.0, 0.0, 0.0, 180.0)]
     got = values(spark, rows, "a double, b double, c double, d double", F.round(fn.haversine_km("a", "b", "c", "d")))
     assert got == [(361.0,), (0.0,), (None,), (20015.0,)]
+
+
+def test_timestamps_without_zone_ignore_the_session_zone(spark):
+    """Midnight of 1996-10-06 does not exist in this zone."""
+    text, fmt = "1996-10-06 00:00:00", "yyyy-MM-dd HH:mm:ss"
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        got = values(spark, [(text,)], "a string", *[c.cast("string") for c in (fn.to_ts("a", fmt), fn.to_ts("a"), fn.to_ts("a", fmt, strict=False))])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [(text, text, text)]
