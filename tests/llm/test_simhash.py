@@ -97,7 +97,7 @@ def test_empty_and_unnamed(spark):
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (3, 2)]
+    links = [(i, i + 1) for i in range(12)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in graphs.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 60)}
+    assert got == {i: 0 for i in range(1, 13)} | {100 + i: 100 for i in range(1, 60)}
     assert graphs.components(spark.createDataFrame([], "a long, b long")).collect() == []
