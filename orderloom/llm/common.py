@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from orderloom.sources.store import scratch_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
+# A text is known by these two hashes of its content, 96 bits in all.
+KEY = ("k1", "k2")
+# What a broadcast may hold: so many cells of some 40 bytes, 40 MB.
+BROADCAST_CELLS = 1_000_000
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -39,3 +43,17 @@ def unit_hash(*columns: Column) -> Column:
 
 def lengths_to_offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
+
+
+def text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(KEY[0]), F.hash(text).alias(KEY[1])]
+
+
+def joined_to_texts(texts: DataFrame, small: DataFrame, how: str = "inner", cells: Column | None = None) -> DataFrame:
+    """Rows with KEY and a text, joined to a written table by KEY.
+
+    The texts stay where they are if the table's cells (1 a row, if not said otherwise) are counted and few
+    enough for a broadcast; beyond that both sides are shuffled.
+    """
+    n = small.agg(F.sum(F.lit(1) if cells is None else cells)).first()[0] or 0
+    return texts.join(F.broadcast(small) if n <= BROADCAST_CELLS else small, list(KEY), how)

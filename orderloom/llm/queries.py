@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderloom.llm import simhash
+from orderloom.llm import chat, mixing, multi_index, pu_quality, repeats, secret_scan, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +27,62 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op2_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document from a model of trusted positives and unlabelled text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    network = pu_quality.train(docs, table(spark, folder, "labels"))
+    scored = pu_quality.score(docs, network)
+    return scored.select(
+        "doc_id",
+        pu_quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= pu_quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, folder, "documents")).drop("times")
+
+
+@query
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted, and read back from its formatted text."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    return chat.read_back(chat.format_chats(turns.unionByName(probe)))
+
+
+@query
+def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of every hundredth vector."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without byte strings that occur more than once."""
+    return repeats.remove_repeats(table(spark, folder, "documents"), with_bytes=False)
+
+
+@query
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as token ids, written to ORC files and read back."""
+    return token_files.through_files(table(spark, folder, "documents"))
