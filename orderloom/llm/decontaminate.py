@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import KEY, as_bytes, joined_to_texts, text_key, written
+from orderloom.llm.common import BROADCAST_CELLS, KEY, as_bytes, joined_to_texts, text_key, written
 
 WINDOW = 5
 SHARE = 0.8
@@ -79,6 +79,8 @@ class Words(dict):
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hash and kind of each word that is not mere punctuation."""
         words = text.split()
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8)
         if len(self) > KEEP_WORDS:
             self.clear()
             self.rows, self.arrays = [], ()
@@ -252,9 +254,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, matched, windows): a row for every document row and item that it holds.
 
-    Clean documents have no row. A NULL or empty text holds nothing, and an item without words is held by none;
-    items that repeat an id must agree in their number of windows to be told apart by nothing else; repeated
-    document rows have a row each; other columns are not read; empty tables give an empty result.
+    Clean documents have no row. A NULL or empty text holds nothing, and an item without words is held by none.
+    Items with one id count as one of the larger size, all their windows together; repeated document rows have a
+    row each; other columns are not read; empty tables give an empty result.
     """
     held = written(contaminated(docs, benchmark, text), "held")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -269,5 +271,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     marked = docs.withColumn("_text_or_empty", F.coalesce(F.col(text), F.lit("")))
     one, two = text_key(F.col("_text_or_empty"))
     marked = marked.withColumn("_held_k1", one).withColumn("_held_k2", two)
-    small = F.broadcast(held) if held.count() <= 1_000_000 else held
+    small = F.broadcast(held) if held.count() <= BROADCAST_CELLS else held
     return marked.join(small, ["_held_k1", "_held_k2"], "left_anti").select(*docs.columns)

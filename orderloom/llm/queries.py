@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import chat, mixing, multi_index, pu_quality, repeats, secret_scan, simhash, token_files
+from orderloom.llm import chat, decontaminate, mixing, multi_index, pu_quality, repeats, secret_scan, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +82,12 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+@query
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, and which."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as token ids, written to ORC files and read back."""

@@ -141,8 +141,8 @@ def trigram_query(pattern: str) -> Query:
 # --- index ------------------------------------------------------------------------------------------------
 
 
-def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
-    """(gram, k1, k2): which texts hold which of the trigrams, letters in either case; from columns k1, k2, grams."""
+def postings(texts: DataFrame) -> DataFrame:
+    """(gram, k1, k2): which texts hold which trigrams, from the lists of those present."""
     return texts.select(F.explode("grams").alias("gram"), *KEY).distinct()
 
 
@@ -193,11 +193,11 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 def _run_pattern(rule: Rule) -> str:
     """A pattern that is one repeated class can ask for its least length at once: its matches are whole runs."""
-    m = re_single_class(rule.pattern)
+    m = _single_class(rule.pattern)
     return f"{m}{{{rule.least},}}" if m and not rule.group and rule.least else rule.pattern
 
 
-def re_single_class(pattern: str) -> str | None:
+def _single_class(pattern: str) -> str | None:
     return pattern[:-1] if pattern.startswith("[") and pattern.endswith("]+") and pattern.count("[") == 1 else None
 
 
@@ -224,22 +224,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", d
     slim = slim.select("doc_id", "text", *text_key(F.col("text")))
     unindexed = [r for r in rules if queries[r.kind] is None]
     full = [_matches(F.col("text"), Rule(r.kind, _run_pattern(r), r.group, r.least)).alias(f"at_{r.kind}") for r in unindexed]
-    known = written(slim.select("doc_id", *KEY, _present(F.col("text"), grams).alias("grams"), *full), "trigrams")
+    present = _present(F.col("text"), grams) if grams else F.array().cast("array<string>")
+    known = written(slim.select("doc_id", *KEY, present.alias("grams"), *full), "trigrams")
 
     parts = [_spans(known.filter(F.col(f"at_{r.kind}").isNotNull()), F.lit(r.kind), f"at_{r.kind}") for r in unindexed]
-    chosen = written(candidates(postings(known, grams), queries), "candidates")
-    tried = joined_to_texts(slim.select("text", *KEY), chosen)
-    per_rule = [
-        F.when(
-            F.array_contains("kinds", r.kind),
-            F.struct(F.lit(r.kind).alias("kind"), _matches(F.col("text"), r).alias("found")),
-        )
-        for r in rules
-        if queries[r.kind] is not None
-    ]
-    tried = tried.select(*KEY, F.explode(F.array_compact(F.array(*per_rule))).alias("r")).filter("r.found IS NOT NULL")
-    tried = tried.select(*KEY, F.col("r.kind").alias("kind"), F.col("r.found").alias("found"))
-    parts.append(_spans(tried, F.col("kind"), "found"))
+    if grams:
+        chosen = written(candidates(postings(known), queries), "candidates")
+        tried = joined_to_texts(slim.select("text", *KEY), chosen)
+        per_rule = [
+            F.when(
+                F.array_contains("kinds", r.kind),
+                F.struct(F.lit(r.kind).alias("kind"), _matches(F.col("text"), r).alias("found")),
+            )
+            for r in rules
+            if queries[r.kind] is not None
+        ]
+        tried = tried.select(*KEY, F.explode(F.array_compact(F.array(*per_rule))).alias("r")).filter("r.found IS NOT NULL")
+        tried = tried.select(*KEY, F.col("r.kind").alias("kind"), F.col("r.found").alias("found"))
+        parts.append(_spans(tried, F.col("kind"), "found"))
     spans = reduce(DataFrame.unionByName, parts)
 
     place = reduce(lambda c, i: c.when(F.col("kind") == rules[i].kind, i), range(1, len(rules)), F.when(F.col("kind") == rules[0].kind, 0))
