@@ -44,7 +44,7 @@ def found(spark):
     docs = [
         (1, ITEM),
         (2, "Filler words first. " + ITEM.replace("John", "Peter").replace("Mary", "Anne").replace("12", "31").replace("5 km", "7 miles") + " More."),
-        (3, ITEM.replace("John", "Peter", 1).replace("12", "31", 1)),  # slots that disagree
+        (3, ITEM.replace("John", "Peter", 1).replace("John", "Paul").replace("12", "31", 1).replace("12", "40")),  # disagrees
         (4, ITEM.upper()),
         (5, long + ITEM.replace(" ", " \n") + long),
         (6, "nothing of it"),
