@@ -1,24 +1,51 @@
 """From raw documents to token files: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
 
-A stage's rows are written as Parquet and read again as the documents of the next one.
+A stage's rows are written as Parquet and read again as the documents of the next one. All stages but the last
+return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderloom.llm import decontaminate, mixing, pu_quality, simhash, token_files
 from orderloom.llm.common import written
-from orderloom.llm.simhash import keep_first
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return pu_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id."""
-    return keep_first(docs)
+    return simhash.keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mixed(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the ids of each document lie in the token files, read back from these."""
+    return token_files.through_files(docs)
 
 
-STAGES = [("simhash_near_dedup", simhash_near_dedup)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing_sources", mixing_sources),
+    ("token_output", token_output),
+]
 
-# Trained scores, fingerprints and tokenizers have no counterpart in SQL.
+# Trained scores, XXH64 fingerprints and tokenizers have no counterpart in SQL.
 ORACLE_SQL = None
 
 
