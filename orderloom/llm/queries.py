@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import chat, decontaminate, mixing, multi_index, pu_quality, repeats, secret_scan, simhash, token_files
+from orderloom.llm import chat, decontaminate, katz, mixing, multi_index, pu_quality, repeats, secret_scan, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,9 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as token ids, written to ORC files and read back."""
     return token_files.through_files(table(spark, folder, "documents"))
+
+
+@query
+def op10_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document by a model of nine tenths of them."""
+    return katz.score(table(spark, folder, "documents"))
