@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY = ("k1", "k2")
 # What a broadcast may hold: so many cells of some 40 bytes, 40 MB.
 BROADCAST_CELLS = 1_000_000
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -31,6 +32,19 @@ def as_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value or b""
 
 
+def stretches(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """A text in parts of about one size, each cut behind an ASCII space; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            end = max(text.rfind(s, at, end) for s in _SPACES) + 1
+            if end <= at:
+                end = min((f for s in _SPACES if (f := text.find(s, at + size)) >= 0), default=len(text) - 1) + 1
+        yield text[at:end]
+        at = end
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string")) % modulus

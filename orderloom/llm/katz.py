@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import as_bytes, crc_mod, lengths_to_offsets, written
+from orderloom.llm.common import as_bytes, crc_mod, lengths_to_offsets, stretches, written
 
 FOLDS, HELD_OUT = 10, 0
 CHUNK = 3_000_000  # tokens
@@ -92,18 +92,10 @@ _CHUNK = "chunk long, rows array<long>, train binary, sizes binary, words binary
 
 def _word_keys(text: bytes) -> Iterator[np.ndarray]:
     """Keys of the words of a text, a bounded stretch at a time."""
-    at = 0
-    while at < len(text):
-        end = at + SLICE
-        if end < len(text):
-            end = max(text.rfind(s, at, end) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
-            if end <= at:  # one very long word: as far as the next space
-                found = [f for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (f := text.find(s, at)) >= 0]
-                end = min(found, default=len(text) - 1) + 1
-        words = text[at:end].lower().split()
+    for part in stretches(text, SLICE):
+        words = part.lower().split()
         if words:
             yield np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - KEY_BITS)
-        at = end
 
 
 def _make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
