@@ -1,6 +1,7 @@
 """Column functions. All of them are built-in Spark expressions; none is a Python UDF."""
 
 from orderloom.functions.casts import (
+    parsed,
     to_decimal,
     to_int,
     to_ts,
@@ -42,6 +43,7 @@ __all__ = [
     "haversine_km",
     "month_bucket",
     "normalize_text",
+    "parsed",
     "round_half_up_int",
     "safe_divide",
     "safe_growth",

@@ -1,7 +1,7 @@
 """Text to typed values.
 
-``strict=True`` fails the job on text that does not parse (ANSI casts); ``strict=False`` gives NULL,
-so that a caller can count or set aside the rows that failed.
+``strict=True`` fails the job on text that does not parse, whatever the session's ANSI setting; ``strict=False``
+gives NULL, so that a caller can count or set aside the rows that failed.
 """
 
 from __future__ import annotations
@@ -14,23 +14,37 @@ from orderloom.functions.text import ColumnLike, blank_to_null
 WIDE_DECIMAL = "decimal(38,10)"
 
 
+def _checked(text: Column, value: Column, kind: str, strict: bool, fits: Column | None = None) -> Column:
+    """The value, or a failure where there is text but no value (or one that does not fit)."""
+    bad = text.isNotNull() & (value.isNull() if fits is None else value.isNull() | ~fits)
+    if not strict:
+        return value if fits is None else F.when(~bad, value)
+    message = F.concat(F.lit(f"not a value of type {kind}: "), text.cast("string"))
+    return F.when(bad, F.raise_error(message).cast(kind)).otherwise(value)
+
+
+def parsed(text: Column, kind: str, strict: bool = True) -> Column:
+    """Text without blanks as a value of a type."""
+    return _checked(text, text.try_cast(kind), kind, strict)
+
+
 def to_decimal(c: ColumnLike, precision: int = 18, scale: int = 4, strict: bool = True) -> Column:
+    """Text to a decimal. Text with more decimal places than the type holds does not parse: nothing is rounded."""
     text = blank_to_null(c)
-    target = f"decimal({precision},{scale})"
-    return text.cast(target) if strict else text.try_cast(target)
+    kind = f"decimal({precision},{scale})"
+    value = text.try_cast(kind)
+    return _checked(text, value, kind, strict, value == text.try_cast("decimal(38,18)"))
 
 
-def to_int(c: ColumnLike, strict: bool = True, allow_fraction: bool = True) -> Column:
+def to_int(c: ColumnLike, strict: bool = True, allow_fraction: bool = True, kind: str = "int") -> Column:
     """Text to integer through a decimal, so ``'1.0'`` parses; halves round away from zero.
 
     ``allow_fraction=False`` takes whole numbers only, as a direct cast to integer does.
     """
     text = blank_to_null(c)
     if not allow_fraction:
-        return text.cast("int") if strict else text.try_cast("int")
-    wide = text.cast(WIDE_DECIMAL) if strict else text.try_cast(WIDE_DECIMAL)
-    rounded = F.round(wide)
-    return rounded.cast("int") if strict else rounded.try_cast("int")
+        return parsed(text, kind, strict)
+    return _checked(text, F.round(text.try_cast(WIDE_DECIMAL)).try_cast(kind), kind, strict)
 
 
 def to_ts(c: ColumnLike, fmt: str | None = None, strict: bool = True) -> Column:
@@ -40,11 +54,6 @@ def to_ts(c: ColumnLike, fmt: str | None = None, strict: bool = True) -> Column:
         # The lenient parser is for zoned timestamps and moves a time that the session zone skips;
         # it only tells which texts fit the pattern.
         fits = F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
-        parsed = F.to_timestamp_ntz(F.when(fits, text), F.lit(fmt))
-        if not strict:
-            return parsed
-        bad = text.isNotNull() & parsed.isNull()
-        return F.when(bad, F.raise_error(F.concat(F.lit("not a timestamp: "), text)).cast("timestamp_ntz")).otherwise(
-            parsed
-        )
-    return text.cast("timestamp_ntz") if strict else text.try_cast("timestamp_ntz")
+        value = F.to_timestamp_ntz(F.when(fits, text), F.lit(fmt))
+        return _checked(text, value, "timestamp_ntz", strict)
+    return parsed(text, "timestamp_ntz", strict)
