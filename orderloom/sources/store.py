@@ -7,6 +7,7 @@ leaves a path that no log row names.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from datetime import datetime, timezone
@@ -16,15 +17,18 @@ from pyspark.sql import functions as F
 
 from orderloom.sources.rows import append_part, read_parts, small_frame
 
-VERSION_SCHEMA = "layer string, table_name string, version bigint, path string, mark bigint, published_at timestamp"
+VERSION_SCHEMA = "layer string, table_name string, version bigint, path string, mark bigint, marked_by string, published_at timestamp"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it; a local one only where none is named."""
+    """The folder all executors can reach, as the cluster names it; a local one only on a single machine."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"no shared folder is named: set {CHECKPOINT_DIR}")
     return tempfile.mkdtemp(prefix="orderloom-")
 
 
@@ -32,14 +36,31 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/orderloom/{purpose}-{uuid.uuid4().hex}"
 
 
+class VersionConflict(RuntimeError):
+    pass
+
+
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(file)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
         self._log_path = f"{self.root}/_table_versions"
+        self._claims = f"{self.root}/_version_claims"
 
     def _log(self) -> DataFrame:
-        return read_parts(self.spark, self._log_path, VERSION_SCHEMA)
+        # Once something was published, a log that cannot be found is lost and no empty store.
+        return read_parts(self.spark, self._log_path, VERSION_SCHEMA, not _exists(self.spark, self._claims))
 
     def tables(self) -> DataFrame:
         """The current version of every table."""
@@ -53,10 +74,11 @@ class TableStore:
     def exists(self, layer: str, table: str) -> bool:
         return self._current(layer, table) is not None
 
-    def mark(self, layer: str, table: str) -> int:
-        """The position in an input stream up to which the current version is complete (-1 at the start)."""
-        current = self._current(layer, table)
-        return -1 if current is None or current["mark"] is None else current["mark"]
+    def mark(self, layer: str, table: str, stream: str | None = None) -> int:
+        """The position in an input stream up to which the table is complete (-1 at the start)."""
+        rows = self._log().filter((F.col("layer") == layer) & (F.col("table_name") == table))
+        mark = rows.filter(F.col("marked_by").eqNullSafe(F.lit(stream))).agg(F.max("mark")).first()[0]
+        return -1 if mark is None else mark
 
     def read(self, layer: str, table: str) -> DataFrame:
         current = self._current(layer, table)
@@ -65,19 +87,33 @@ class TableStore:
         return self.spark.read.parquet(current["path"])
 
     def publish(
-        self, df: DataFrame, layer: str, table: str, partition_by: tuple[str, ...] = (), mark: int | None = None
+        self,
+        df: DataFrame,
+        layer: str,
+        table: str,
+        partition_by: tuple[str, ...] = (),
+        mark: int | None = None,
+        marked_by: str | None = None,
     ) -> DataFrame:
-        """Write ``df`` as the next version and return the written table."""
+        """Write ``df`` as the next version and return the written table.
+
+        The version is claimed by a file that can be made only once, so of two writers that began on the same
+        version the second fails. A claim without a row in the log is left by a writer that died in between.
+        """
         current = self._current(layer, table)
         version = 1 if current is None else current["version"] + 1
         path = f"{self.root}/{layer}/{table}/v{version:06d}-{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+        claim = f"{self._claims}/{layer}.{table}/v{version:06d}"
+        if not _claim(self.spark, claim):
+            raise VersionConflict(f"{layer}.{table}: version {version} was claimed by another writer ({claim})")
         row = {
             "layer": layer,
             "table_name": table,
             "version": version,
             "path": path,
             "mark": mark,
+            "marked_by": marked_by,
             "published_at": datetime.now(timezone.utc),
         }
         append_part(small_frame(self.spark, [row], VERSION_SCHEMA), self._log_path)

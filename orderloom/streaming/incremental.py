@@ -1,13 +1,14 @@
 """New landing files merged into a table, each file once.
 
-The stream writes every micro-batch to ``{changes}/batch_id=N``; replaying a batch overwrites its own
-folder. Once the available files are through, one merge brings all changes since the table's mark into the
+The stream writes every micro-batch to ``{changes}/stream=ID/batch_id=N``; replaying a batch overwrites its own
+folder. The id is the checkpoint's: under a fresh checkpoint batches count from 0 again, as another stream. Once the available files are through, one merge brings all changes since the table's mark into the
 next version of the table. So the table is rewritten once per run, not once per micro-batch, and a crash at
 any point is repaired by the next run.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -21,32 +22,37 @@ from orderloom.schemas import TableSpec
 from orderloom.sources.bronze import CSV_OPTIONS, missing_to_null
 from orderloom.sources.store import TableStore
 
-BATCH = "batch_id"
+STREAM, BATCH, STAGED_AT = "stream", "batch_id", "staged_at"
 
 
 def landing_stream(
     spark: SparkSession, folder: str, schema: T.StructType, multi_line: bool = False, files_per_batch: int = 1000
 ) -> DataFrame:
-    """All-text rows of CSV files as they arrive in a folder."""
+    """All-text rows of CSV files as they arrive in a folder, with ``_source_file``.
+
+    A file whose header differs from the schema's names fails the stream: columns are never taken by position.
+    """
     rows = (
         spark.readStream.schema(schema)
         .options(**CSV_OPTIONS)
         .option("multiLine", multi_line)
+        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
     )
-    return rows.select(*[missing_to_null(c).alias(c) for c in rows.columns])
+    return rows.select(*[missing_to_null(c).alias(c) for c in rows.columns], F.col("_metadata.file_path").alias("_source_file"))
 
 
 def stage_changes(
     stream: DataFrame, clean: Callable[[DataFrame], DataFrame], spec: TableSpec, order: Sequence[Column], folder: str
 ) -> None:
     """Run the stream over what is available; each batch leaves its cleaned rows, one per key."""
-    changes = f"{folder}/changes"
+    changes, started, stream_id = f"{folder}/changes", threading.Event(), []
 
     def write_batch(rows: DataFrame, batch_id: int) -> None:
-        once = dedupe_first(spec.conform(clean(rows)), spec.keys, list(order))
-        once.write.mode("overwrite").parquet(f"{changes}/{BATCH}={batch_id}")
+        started.wait()
+        once = dedupe_first(spec.conform(clean(rows)), spec.keys, list(order)).withColumn(STAGED_AT, F.current_timestamp())
+        once.write.mode("overwrite").parquet(f"{changes}/{STREAM}={stream_id[0]}/{BATCH}={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write_batch)
@@ -54,29 +60,38 @@ def stage_changes(
         .trigger(availableNow=True)
         .start()
     )
+    stream_id.append(query.id)
+    started.set()
     query.awaitTermination()
 
 
 def merge_changes(spark: SparkSession, store: TableStore, spec: TableSpec, folder: str) -> bool:
-    """Merge the staged changes after the table's mark into its next version; False if there are none.
+    """Merge the staged changes after the table's marks into its next versions; False if there are none.
 
-    Of several changes to one key the newest batch wins.
+    Of several changes to one key the newest batch wins. Streams that staged something, of which there is one for
+    each checkpoint the folder has had, are merged one after the other in the order in which they staged last.
     """
-    mark = store.mark(spec.layer, spec.name)
     try:
-        staged = spark.read.parquet(f"{folder}/changes").filter(F.col(BATCH) > mark)
-    except AnalysisException:
-        return False
-    newest = staged.agg(F.max(BATCH)).first()[0]
-    if newest is None:
+        staged = spark.read.parquet(f"{folder}/changes")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
-    last = dedupe_first(staged, spec.keys, [F.col(BATCH).desc()]).select(*spec.columns)
-    if store.exists(spec.layer, spec.name):
-        last = merge_upsert(
-            store.read(spec.layer, spec.name), last, spec.keys, spec.update_cols, source_is_unique=True
-        )
-    store.publish(last, spec.layer, spec.name, mark=int(newest))
-    return True
+    streams = staged.groupBy(STREAM).agg(F.max(BATCH).alias("newest"), F.max(STAGED_AT).alias("at")).orderBy("at").collect()
+    merged = False
+    for row in streams:
+        mark = store.mark(spec.layer, spec.name, row[STREAM])
+        if row["newest"] <= mark:
+            continue
+        own = staged.filter((F.col(STREAM) == row[STREAM]) & (F.col(BATCH) > mark))
+        last = dedupe_first(own, spec.keys, [F.col(BATCH).desc()]).select(*spec.columns)
+        if store.exists(spec.layer, spec.name):
+            last = merge_upsert(
+                store.read(spec.layer, spec.name), last, spec.keys, spec.update_cols, source_is_unique=True
+            )
+        store.publish(last, spec.layer, spec.name, mark=int(row["newest"]), marked_by=row[STREAM])
+        merged = True
+    return merged
 
 
 def incremental_ingest(

@@ -10,7 +10,7 @@ from orderloom.plans import build, checks, silver
 from orderloom.sources import bronze, standins
 from orderloom.sources.registry import REGISTRY, Landing, target_layer
 from orderloom.sources.runlog import OpsLog, latest_runs
-from orderloom.sources.store import TableStore, shared_folder
+from orderloom.sources.store import TableStore, VersionConflict, shared_folder
 from orderloom.streaming import incremental
 
 
@@ -28,15 +28,93 @@ def test_landing_text(spark, tmp_path):
     assert [tuple(r)[:2] for r in got.collect()] == [("1", 'two\nlines with "quotes"'), ("2", None), (None, "plain")]
 
 
-def test_checksums_small_and_large(spark, tmp_path):
-    a, b = put(tmp_path / "l" / "a.csv", "x\n1\n2\n"), put(tmp_path / "l" / "b.csv", "x\n1\n3\n")
-    got = {r["file_name"]: r for r in bronze.file_checksums(spark, str(tmp_path / "l")).collect()}
-    assert got["l/a.csv"]["checksum"] == hashlib.sha256(open(a, "rb").read()).hexdigest()
-    by_line = {r["file_name"]: r["checksum"] for r in bronze.file_checksums(spark, str(tmp_path / "l"), whole_file_bytes=1).collect()}
-    assert all(c.startswith("lines:") for c in by_line.values()) and by_line["l/a.csv"] != by_line["l/b.csv"]
-    put(tmp_path / "m" / "a.csv", "x\n1\n2\n")
-    other = bronze.file_checksums(spark, str(tmp_path / "m"), whole_file_bytes=1).first()
-    assert other["checksum"] == by_line["l/a.csv"] and b
+def test_checksums(spark, tmp_path):
+    put(tmp_path / "l" / "a" / "t" / "p.csv", "x\n1\n2\n")
+    put(tmp_path / "l" / "b" / "t" / "p.csv", "x\n1\n3\n")
+    put(tmp_path / "l" / "c d+e" / "p.csv", "x\n2\n1\n")
+    folder = str(tmp_path / "l")
+    files = bronze.landing_files(spark, folder)
+    got = {r["file_name"]: r for r in bronze.file_checksums(spark, folder, files).collect()}
+    assert set(got) == {"a/t/p.csv", "b/t/p.csv", "c d+e/p.csv"}
+    assert got["a/t/p.csv"]["checksum"] != got["b/t/p.csv"]["checksum"] == got["b/t/p.csv"]["checksum"]
+    assert got["a/t/p.csv"]["checksum"] == got["c d+e/p.csv"]["checksum"]  # the order of lines does not count
+    sums = [sum(int(hashlib.md5(v.encode()).hexdigest()[i : i + 15], 16) for v in ("x", "1", "2")) for i in (0, 16)]
+    assert got["a/t/p.csv"]["checksum"] == hashlib.md5("|".join(map(str, [3, *sums])).encode()).hexdigest()
+    assert got["a/t/p.csv"]["header"] == "x"
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path):
+    store, log, landing = TableStore(spark, f"{tmp_path}/w"), OpsLog(spark, f"{tmp_path}/w"), tmp_path / "in"
+    put(landing / "day1" / "sellers" / "p.csv", "seller_id,zip,city,state\ns1,1,a,SP\n")
+    put(landing / "day2" / "sellers" / "p.csv", "state,city,zip,seller_id\nRJ,b,2,s2\n")
+    put(landing / "day2" / "sellers" / "q.csv", "seller_id,city\ns3,c\n")
+    build.ingest(spark, store, log, str(landing))
+    rows = {r["seller_id"]: r for r in store.read("bronze", "sellers").collect()}
+    assert {k: (r["zip"], r["city"], r["state"]) for k, r in rows.items()} == {
+        "s1": ("1", "a", "SP"), "s2": ("2", "b", "RJ"), "s3": (None, "c", None)
+    }
+    assert rows["s2"]["_source_file"] == "day2/sellers/p.csv"
+    assert {r["source_file"]: r["inserted_rows"] for r in log.runs().collect()} == {
+        "day1/sellers/p.csv": 1, "day2/sellers/p.csv": 1, "day2/sellers/q.csv": 1
+    }
+    put(landing / "day3" / "sellers" / "r.csv", "seller_id,surprise\ns4,x\n")
+    with pytest.raises(ValueError, match="surprise"):
+        build.ingest(spark, store, log, str(landing))
+
+
+def test_keys_are_checked_on_the_first_load(spark, tmp_path):
+    store, log = TableStore(spark, f"{tmp_path}/w"), OpsLog(spark, f"{tmp_path}/w")
+    put(tmp_path / "in" / "sellers.csv", "seller_id,seller_city\ns1,a\ns1,b\n")
+    with pytest.raises(Exception, match="duplicate merge key"):
+        build.ingest(spark, store, log, f"{tmp_path}/in")
+    assert not store.exists("bronze", "sellers")
+
+
+def test_a_table_without_key_holds_all_its_files_whenever_they_came(spark, tmp_path):
+    store, log, landing = TableStore(spark, f"{tmp_path}/w"), OpsLog(spark, f"{tmp_path}/w"), tmp_path / "in"
+    put(landing / "geolocation" / "a.csv", "geolocation_city\nx\n")
+    build.ingest(spark, store, log, str(landing))
+    put(landing / "geolocation" / "b.csv", "geolocation_city\ny\n")
+    build.ingest(spark, store, log, str(landing))
+    assert sorted(r[0] for r in store.read("reference", "geolocation").select("geolocation_city").collect()) == ["x", "y"]
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path))
+    store.publish(spark.range(3), "gold", "t")
+    monkeypatch.setattr(store, "_current", lambda layer, table, at=store._current("gold", "t"): at)
+    store.publish(spark.range(4), "gold", "t")
+    with pytest.raises(VersionConflict):
+        store.publish(spark.range(5), "gold", "t")
+
+
+def test_a_lost_log_is_no_empty_store(spark, tmp_path):
+    store = TableStore(spark, f"{tmp_path}/w")
+    store.publish(spark.range(3), "gold", "t")
+    store._log_path = f"{tmp_path}/elsewhere"
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.exists("gold", "t")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
 
 
 def test_table_names(spark):
@@ -100,7 +178,7 @@ def test_ingest_skips_merges_and_replaces(spark, tmp_path):
     got = {r.table: (r.files, r.inserted_rows) for r in build.ingest(spark, store, log, str(landing))}
     assert got == {"sellers": (1, 2), "geolocation": (1, 2)}
     row = store.read("bronze", "sellers").first()
-    assert len(row["_source_checksum"]) == 64 and row["_source_file"] == "in/olist_sellers_dataset.csv"
+    assert len(row["_source_checksum"]) == 32 and row["_source_file"] == "olist_sellers_dataset.csv"
     assert build.ingest(spark, store, log, str(landing)) == []
 
     put(landing / "olist_sellers_dataset.csv", header + "s2,2,changed,SP\ns3,3,c,SP\n")
@@ -173,6 +251,27 @@ def test_stream_equals_batch_merge(spark, tmp_path):
     assert store.read("silver", "sellers").count() == 4
 
 
+def test_a_fresh_checkpoint_loses_nothing_and_a_strange_header_fails(spark, tmp_path):
+    store, spec = TableStore(spark, f"{tmp_path}/w"), S.SELLERS
+    schema = bronze.text_schema(spec.columns)
+    no_places = spark.createDataFrame([], "raw_city string, canonical_city string, state string")
+    header = ",".join(spec.columns) + "\n"
+
+    def run(checkpoint):
+        stream = incremental.landing_stream(spark, f"{tmp_path}/in", schema)
+        incremental.stage_changes(stream, lambda df: silver.sellers(df, no_places), spec, [F.col("seller_city").asc()], f"{tmp_path}/{checkpoint}")
+        return incremental.merge_changes(spark, store, spec, f"{tmp_path}/{checkpoint}")
+
+    put(tmp_path / "in" / "a.csv", header + "s1,1,a,SP\n")
+    assert run("one")
+    put(tmp_path / "in" / "b.csv", header + "s2,2,b,SP\n")
+    assert run("two")  # batches count from 0 again
+    assert store.read("silver", "sellers").count() == 2
+    put(tmp_path / "in" / "c.csv", ",".join(reversed(list(spec.columns))) + "\nSP,c,3,s3\n")
+    with pytest.raises(Exception):
+        run("two")
+
+
 def test_build_twice_gives_the_same_tables(spark, tmp_path, folder):
     s = standins.Silver(spark, folder)
     landing = {
