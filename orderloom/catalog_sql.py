@@ -240,8 +240,9 @@ ORACLE["csv_round_trip"] = ORACLE["silver_order_reviews"]
 
 ORACLE["rejected_rows"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
-       CASE WHEN o_orderstatus = 'F' THEN 'payment_installments' ELSE 'payment_installments,price' END AS bad_columns
-FROM orders"""
+       concat_ws(',', CASE WHEN o_orderstatus = 'P' THEN 'payment_installments' END,
+                 CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 2 = 0 OR o_orderkey % 7 = 0 THEN 'price' END) AS bad_columns
+FROM orders WHERE o_orderstatus = 'P' OR o_orderstatus <> 'F' AND o_orderkey % 2 = 0 OR o_orderkey % 7 = 0"""
 
 # --- merge and dedupe ----------------------------------------------------------------------------------------
 
@@ -287,7 +288,7 @@ SELECT c_custkey, coalesce(
 FROM customer"""
 
 ORACLE["customer_match_count"] = """
-SELECT count(*) AS rows, count(*) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) AS matched_rows
+SELECT count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 10 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)) AS matched_rows
 FROM orders"""
 
 # --- business questions --------------------------------------------------------------------------------------
@@ -347,17 +348,17 @@ ORACLE["warehouse_checks"] = f"""WITH {ORDERS}, {ITEMS}, {PAYMENTS}, {SOLD}, che
            CASE WHEN abs((SELECT sum({VALUE}) FROM items) - (SELECT sum({VALUE}) FROM sold)) < 0.01 THEN 0 ELSE 1 END)
 SELECT validation_name, layer_name, issue_count = 0 AS passed, CAST(issue_count AS BIGINT) AS issue_count FROM checks"""
 
-_COLUMN_TESTS = f"""WITH in_credit AS (SELECT c_custkey AS customer_id FROM customer WHERE c_acctbal > 0),
+_COLUMN_TESTS = f"""WITH known AS (SELECT c_custkey AS customer_id FROM customer),
 keys AS (SELECT concat(l_orderkey, '-', l_linenumber) AS order_item_key FROM lineitem),
 checks AS (
     SELECT 'unique_customer_id' AS validation_name, 'silver' AS layer_name,
-           (SELECT count(*) FROM (SELECT customer_id FROM in_credit GROUP BY 1 HAVING count(*) > 1) d) AS issue_count
-    UNION ALL SELECT 'not_null_customer_id', 'silver', (SELECT count(*) FROM in_credit WHERE customer_id IS NULL)
+           (SELECT count(*) FROM (SELECT customer_id FROM known GROUP BY 1 HAVING count(*) > 1) d) AS issue_count
+    UNION ALL SELECT 'not_null_customer_id', 'silver', (SELECT count(*) FROM known WHERE customer_id IS NULL)
     UNION ALL SELECT 'unique_order_id', 'silver',
            (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) d)
     UNION ALL SELECT 'not_null_order_id', 'silver', (SELECT count(*) FROM orders WHERE o_orderkey IS NULL)
     UNION ALL SELECT 'relationship_customer_id', 'silver',
-           (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT customer_id FROM in_credit))
+           (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND (o_orderkey % 10 = 0 OR o_custkey NOT IN (SELECT customer_id FROM known)))
     UNION ALL SELECT 'unique_order_item_key', 'gold',
            (SELECT count(*) FROM (SELECT order_item_key FROM keys GROUP BY 1 HAVING count(*) > 1) d)
     UNION ALL SELECT 'not_null_order_item_key', 'gold', (SELECT count(*) FROM keys WHERE order_item_key IS NULL))
@@ -376,8 +377,12 @@ SELECT validation_name, 'bronze' AS layer_name, issue_count = 0 AS passed, issue
 ORACLE["row_count_checks"] = """WITH expected(table_name, expected, actual) AS (
     SELECT 'customers', 99441, count(*) FROM customer UNION ALL SELECT 'orders', 99441, count(*) FROM orders
     UNION ALL SELECT 'order_items', 112650, count(*) FROM lineitem UNION ALL SELECT 'products', 32951, count(*) FROM part
-    UNION ALL SELECT 'sellers', 3095, count(*) FROM supplier)
-SELECT table_name, 'row_count' AS "check", CAST(expected AS BIGINT) AS expected, actual, actual = expected AS passed
+    UNION ALL SELECT 'sellers', 3095, count(*) FROM supplier UNION ALL SELECT 'events', NULL, count(*) FROM events
+    UNION ALL SELECT 'geography_master', 6333, NULL UNION ALL SELECT 'product_category_mapping', 73, NULL
+    UNION ALL SELECT 'geolocation', 1000163, NULL UNION ALL SELECT 'order_payments', 103886, NULL
+    UNION ALL SELECT 'order_reviews', 99224, NULL UNION ALL SELECT 'product_category_name_translation', 71, NULL)
+SELECT table_name, 'row_count' AS "check", CAST(expected AS BIGINT) AS expected, actual, actual = expected AS passed,
+       CASE WHEN expected IS NULL THEN 'skipped' WHEN actual IS NULL THEN 'missing' ELSE 'compared' END AS status
 FROM expected"""
 
 ORACLE["yearly_counts"] = """
@@ -385,7 +390,7 @@ SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS actual FROM order
 
 ORACLE["yearly_count_checks"] = f"""WITH {ORDERS}
 SELECT 'orders' AS table_name, concat('year_', s.y, '_count') AS "check", s.n AS expected, coalesce(o.n, 0) AS actual,
-       coalesce(o.n, 0) = s.n AS passed
+       coalesce(o.n, 0) = s.n AS passed, 'compared' AS status
 FROM (SELECT year(order_delivered_customer_date) AS y, count(*) AS n FROM ords
       WHERE order_delivered_customer_date IS NOT NULL GROUP BY 1) s
 LEFT JOIN (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) o ON s.y = o.y"""
@@ -417,10 +422,39 @@ UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey) FROM lineitem
 UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber) FROM lineitem
 UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem"""
 
-ORACLE["column_profile"] = "\nUNION ALL\n".join(
-    f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER (WHERE {c} IS NULL) AS null_count,
-    CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders"""
-    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+def _profile(table: str, kinds: dict[str, str]) -> str:
+    shown = {"timestamp_ntz": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "double": "CAST({0} AS DECIMAL(18,2))"}
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS column_name, '{kind}' AS data_type, count(*) AS row_count,
+    count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(DISTINCT {c}) AS n_distinct, true AS estimate_is_close,
+    CAST({shown.get(kind, "{0}").format(f"min({c})")} AS VARCHAR) AS min_value,
+    CAST({shown.get(kind, "{0}").format(f"max({c})")} AS VARCHAR) AS max_value FROM {table}"""
+        for c, kind in kinds.items()
+    )
+
+
+ORACLE["column_profile"] = _profile(
+    "orders",
+    {
+        "o_orderkey": "bigint",
+        "o_custkey": "bigint",
+        "o_orderstatus": "string",
+        "o_totalprice": "double",
+        "o_orderdate": "timestamp_ntz",
+        "o_orderpriority": "string",
+    },
+)
+ORACLE["column_profile_documents"] = _profile(
+    "documents", {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+)
+ORACLE["approx_distinct_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, true AS estimate_is_close FROM lineitem"
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+)
+ORACLE["example_values"] = "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, (SELECT string_agg(v, '|' ORDER BY v) FROM (
+    SELECT DISTINCT {c} AS v FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 20) WHERE length({c}) < 50 ORDER BY 1 LIMIT 5)) AS examples"""
+    for c in ("p_name", "p_brand", "p_type")
 )
 
 _SEQUENCES = """SELECT {key} AS k, count(*) = max({seq}) AND count(DISTINCT {seq}) = max({seq}) AND min({seq}) = 1
@@ -511,8 +545,9 @@ SELECT o_orderkey, md5(concat(o_orderkey, '|', coalesce(nullif(o_orderstatus, 'P
 FROM orders"""
 
 ORACLE["text_functions"] = """WITH padded AS (
-    SELECT doc_id, lang, concat('  ', CASE WHEN lang = 'es' THEN '' ELSE text END, ' ') AS t FROM documents)
+    SELECT doc_id, lang, concat('  ', text, ' ') AS t FROM documents)
 SELECT doc_id, md5(nullif(trim(t, ' '), '')) AS blank_to_null_md5, md5(lower(trim(t, ' '))) AS normalized_md5,
+       CASE WHEN lang <> 'es' THEN lang END AS lang_or_null,
        upper(lang) AS lang_code
 FROM padded"""
 
@@ -546,20 +581,17 @@ SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup', 'view') THEN va
 
 ORACLE["pivot_sum"] = """
 SELECT CAST(year(l_shipdate) AS INTEGER) AS ship_year, coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'A'), 0) AS A,
-       coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'N'), 0) AS N,
-       coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0) AS R
+       coalesce(sum(l_quantity) FILTER (WHERE l_returnflag = 'R'), 0) AS R,
+       coalesce(sum(l_quantity) FILTER (WHERE l_returnflag NOT IN ('A', 'R')), 0) AS other
 FROM lineitem GROUP BY 1"""
 
 ORACLE["multi_series"] = """WITH t AS (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders)
-SELECT o_orderpriority, CAST(coalesce(sum(p) FILTER (WHERE o_orderstatus = 'F'), 0) AS DOUBLE) AS F,
-       CAST(coalesce(sum(p) FILTER (WHERE o_orderstatus = 'O'), 0) AS DOUBLE) AS O,
-       CAST(coalesce(sum(p) FILTER (WHERE o_orderstatus = 'P'), 0) AS DOUBLE) AS P
-FROM t GROUP BY 1"""
+SELECT o_orderpriority, o_orderstatus, CAST(sum(p) AS DOUBLE) AS total FROM t GROUP BY 1, 2"""
 
 ORACLE["bounded_sql"] = f"""WITH {ALL_FOR_SALES}
 SELECT customer_state, product_category_name, payment_type, count(*) AS items, {money("sum(total_value)")} AS revenue
 FROM sales WHERE order_status = 'delivered' GROUP BY 1, 2, 3
-ORDER BY revenue DESC, customer_state, product_category_name, payment_type LIMIT 50"""
+ORDER BY revenue DESC, customer_state, product_category_name, payment_type LIMIT 150"""
 
 ORACLE["sample_rows"] = "SELECT * FROM customer ORDER BY c_custkey LIMIT 5"
 
@@ -691,7 +723,7 @@ WHERE rn = 1"""
 
 ORACLE["quality_issues"] = f"""WITH {ORDERS}, {LINES}, {PAYMENTS}
 SELECT 'unknown_customer' AS issue_type, 'orders' AS table_name, CAST(order_id AS VARCHAR) AS record_key FROM ords
-WHERE customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+WHERE order_id % 10 = 0 OR customer_id NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'delivered_before_purchase', 'orders', CAST(order_id AS VARCHAR) FROM ords
 WHERE order_delivered_customer_date < order_purchase_timestamp
 UNION ALL SELECT 'missing_id', 'orders', NULL FROM ords WHERE order_id IS NULL
@@ -702,14 +734,36 @@ WHERE payment_value < 0"""
 # --- landing, streaming, build ---------------------------------------------------------------------------------
 
 ORACLE["landed_customers"] = """
-SELECT CAST(c_custkey AS VARCHAR) AS customer_id, nullif(c_mktsegment, 'BUILDING') AS market_segment, c_name,
-       true AS has_file, true AS has_checksum, true AS has_time, 'run-1' AS _ingestion_run_id
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id,
+       CASE WHEN c_custkey % 3 <> 0 THEN nullif(c_mktsegment, 'BUILDING') END AS market_segment, c_name,
+       CASE WHEN c_custkey % 3 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation,
+       CASE c_custkey % 3 WHEN 1 THEN 'day one/customers/p.csv' WHEN 2 THEN 'day two/customers/p.csv'
+            ELSE 'day two/customers/q.csv' END AS source_folder,
+       true AS has_checksum, true AS has_time, 'run-1' AS _ingestion_run_id
 FROM customer"""
 
+ORACLE["file_checksums"] = """WITH lines AS (
+    SELECT s_nationkey % 5 AS r, concat_ws(',', s_suppkey, s_name, s_nationkey) AS v FROM supplier),
+sums AS (
+    SELECT r, count(*) AS n, sum(strlen(v) + 1) AS length,
+           sum(CAST(CAST('0x' || substr(md5(v), 1, 15) AS UBIGINT) AS HUGEINT)) AS a,
+           sum(CAST(CAST('0x' || substr(md5(v), 17, 15) AS UBIGINT) AS HUGEINT)) AS b
+    FROM lines GROUP BY r)
+SELECT 'r=' || r AS file, CAST(length AS BIGINT) AS length, md5(concat_ws('|', n, CAST(a AS HUGEINT), CAST(b AS HUGEINT))) AS checksum
+FROM sums"""
+
+ORACLE["second_ingest"] = """WITH kept AS (SELECT * FROM supplier WHERE s_suppkey % 4 <> 0 OR s_suppkey % 3 = 0)
+SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, CAST(s_nationkey AS VARCHAR) AS seller_zip_code_prefix,
+       CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE s_name END AS seller_city,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'S2' ELSE 'S1' END AS seller_state, CAST(0 AS BIGINT) AS files_left,
+       (SELECT count(*) FILTER (WHERE s_suppkey % 4 <> 0) + count(*) FILTER (WHERE s_suppkey % 3 = 0) FROM supplier) AS rows_logged
+FROM kept"""
+
 ORACLE["incremental_ingest"] = f"""WITH {ORDERS}
 SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id,
        CASE WHEN order_status = 'delivered' THEN order_status ELSE 're' || order_status END AS order_status,
-       order_purchase_timestamp, order_delivered_customer_date, order_estimated_delivery_date
+       order_purchase_timestamp, order_approved_at, order_delivered_carrier_date, order_delivered_customer_date,
+       order_estimated_delivery_date
 FROM ords"""
 
 ORACLE["warehouse_build"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD}

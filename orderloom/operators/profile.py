@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ def profile(df: DataFrame) -> DataFrame:
         simple = field.dataType.simpleString()
         comparable = not simple.startswith(("array", "map", "struct", "binary"))
         counted = c if comparable else F.xxhash64(c)
+        shown = _shown(simple)
         entries.append(
             F.struct(
                 F.lit(field.name).alias("column_name"),
@@ -35,15 +36,24 @@ def profile(df: DataFrame) -> DataFrame:
                 F.count("*").alias("row_count"),
                 F.count_if(c.isNull()).alias("null_count"),
                 F.approx_count_distinct(F.when(c.isNotNull(), counted)).alias("approx_distinct"),
-                (F.min(c).cast("string") if comparable else F.lit(None).cast("string")).alias("min_value"),
-                (F.max(c).cast("string") if comparable else F.lit(None).cast("string")).alias("max_value"),
+                (shown(F.min(c)) if comparable else F.lit(None).cast("string")).alias("min_value"),
+                (shown(F.max(c)) if comparable else F.lit(None).cast("string")).alias("max_value"),
             )
         )
     return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
 
 
-def example_values(df: DataFrame, rows: int = EXAMPLE_ROWS) -> DataFrame:
-    """Up to five short example values per text column, taken from a few rows (rows: column_name, examples)."""
+def _shown(kind: str) -> Callable[[Column], Column]:
+    """How a value of a type is written: times to the second, fractions to two places, the rest as it is cast."""
+    if kind.startswith("timestamp"):
+        return lambda c: F.date_format(c, TIMESTAMP_FORMAT)
+    if kind in ("double", "float"):
+        return lambda c: c.cast("decimal(18,2)").cast("string")
+    return lambda c: c.cast("string")
+
+
+def example_values(df: DataFrame, keys: Sequence[str], rows: int = EXAMPLE_ROWS) -> DataFrame:
+    """Up to five short example values per text column from the first rows in key order (column_name, examples)."""
     texts = [c for c, t in df.dtypes if t == "string"]
     sets = [
         F.struct(
@@ -54,7 +64,7 @@ def example_values(df: DataFrame, rows: int = EXAMPLE_ROWS) -> DataFrame:
         )
         for c in texts
     ]
-    return df.select(*texts).limit(rows).agg(F.array(*sets).alias("e")).select(F.inline("e"))
+    return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).limit(rows).select(*texts).agg(F.array(*sets).alias("e")).select(F.inline("e"))
 
 
 def table_columns(df: DataFrame) -> list[dict[str, object]]:

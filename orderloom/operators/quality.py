@@ -103,9 +103,10 @@ def yearly_counts(df: DataFrame, timestamp: str) -> DataFrame:
 
 
 def check_row_count(tables: Mapping[str, DataFrame], expected: DataFrame) -> DataFrame:
-    """Counts against expectations (table_name, row_count): rows of (table_name, check, expected, actual, passed).
+    """Counts against expectations (table_name, row_count): (table_name, check, expected, actual, passed, status).
 
-    A table without an expectation is skipped.
+    status is ``compared``, ``skipped`` for a table without an expectation or ``missing`` for one that is expected
+    and was not given; the last two have no verdict.
     """
     return _compare_counts(row_counts(tables).withColumn("check", F.lit("row_count")), expected)
 
@@ -121,17 +122,20 @@ def check_yearly_counts(df: DataFrame, timestamp: str, table_name: str, expected
         F.col("row_count").cast("long").alias("expected"),
         actual.alias("actual"),
         (actual == F.col("row_count")).alias("passed"),
+        F.lit("compared").alias("status"),
     )
 
 
 def _compare_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    joined = actual.join(expected.select("table_name", "row_count"), "table_name")
+    joined = actual.join(expected.select("table_name", "row_count"), "table_name", "full_outer")
+    status = F.when(F.col("row_count").isNull(), "skipped").when(F.col("actual").isNull(), "missing").otherwise("compared")
     return joined.select(
         "table_name",
-        "check",
+        F.coalesce("check", F.lit("row_count")).alias("check"),
         F.col("row_count").cast("long").alias("expected"),
         F.col("actual").cast("long").alias("actual"),
         (F.col("actual") == F.col("row_count")).alias("passed"),
+        status.alias("status"),
     )
 
 

@@ -58,7 +58,7 @@ def test_profile_and_examples(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (2, "a" * 60)], "n int, t string")
     got = {r["column_name"]: r for r in profile.profile(df).collect()}
     assert got["n"]["approx_distinct"] == 2 and got["t"]["null_count"] == 1 and got["n"]["max_value"] == "2"
-    assert profile.example_values(df).first()["examples"] == ["b"]
+    assert profile.example_values(df, ["n"]).first()["examples"] == ["b"]
     assert profile.table_columns(df)[0]["type"] == "int"
 
 
@@ -120,7 +120,9 @@ def test_row_and_year_expectations(spark):
     orders = spark.createDataFrame([("2017-01-01 00:00:00",), ("2018-05-05 10:00:00",), (None,)], "ts string")
     expected = quality.expectations_frame(spark, {"orders": 3, "other": 1}, "1.0.0")
     got = quality.check_row_count({"orders": orders, "unknown": orders}, expected).collect()
-    assert [tuple(r) for r in got] == [("orders", "row_count", 3, 3, True)]
+    assert {r["table_name"]: (r["expected"], r["actual"], r["passed"], r["status"]) for r in got} == {
+        "orders": (3, 3, True, "compared"), "unknown": (None, 3, None, "skipped"), "other": (1, None, None, "missing")
+    }
     years = spark.createDataFrame([("orders", 2016, 0), ("orders", 2017, 2)], "table_name string, year int, row_count bigint")
     got = {r["check"]: (r["actual"], r["passed"]) for r in quality.check_yearly_counts(orders, "ts", "orders", years).collect()}
     assert got == {"year_2016_count": (0, True), "year_2017_count": (1, False)}
@@ -129,18 +131,30 @@ def test_row_and_year_expectations(spark):
 def test_multi_series_fixture(spark):
     rows = [("2018-01", "health", 100), ("2018-02", "watches", 120), ("2018-01", "health", 5)]
     df = spark.createDataFrame(rows, "purchase_month string, category string, revenue bigint")
-    got = {r["purchase_month"]: (r["health"], r["watches"]) for r in results.multi_series(df).collect()}
+    wide = results.multi_series(df, ["health", "watches"])
+    got = {r["purchase_month"]: (r["health"], r["watches"], r["other"]) for r in wide.collect()}
+    assert got == {"2018-01": (105, 0, 0), "2018-02": (0, 120, 0)}
+    got = {r["purchase_month"]: (r["health"], r["other"]) for r in results.multi_series(df, ["health"]).collect()}
     assert got == {"2018-01": (105, 0), "2018-02": (0, 120)}
+    long = {tuple(r) for r in results.series_totals(df).collect()}
+    assert long == {("2018-01", "health", 105), ("2018-02", "watches", 120)}
     plain = df.select("category", "revenue")
-    assert results.multi_series(plain) is plain
-    with pytest.raises(ValueError, match="more than 1 series"):
-        results.multi_series(df, max_series=1)
+    assert results.multi_series(plain, ["health"]) is plain and results.series_totals(plain) is plain
+    with pytest.raises(ValueError, match="differ"):
+        results.multi_series(df, ["health", "other"])
 
 
 def test_bounded_sql_and_reuse(spark):
     spark.range(1000).createOrReplaceTempView("many_rows")
     assert results.bounded_sql(spark, "SELECT * FROM many_rows").count() == 100
     assert results.bounded_sql(spark, "SELECT * FROM many_rows LIMIT 7", 50).count() == 7
+    assert results.bounded_sql(spark, "SELECT * FROM many_rows LIMIT 300").count() == 300
+    assert results.bounded_sql(spark, "SELECT * FROM (SELECT * FROM many_rows LIMIT 300)").count() == 100
+    assert results.bounded_sql(spark, "SELECT * FROM {rows}", rows=spark.range(5)).count() == 5
+    one = results.reused_sql(spark, "SELECT * FROM many_rows LIMIT 3")
+    assert results.reused_sql(spark, " SELECT * FROM many_rows LIMIT 3 ") is one and one.count() == 3
+    results.forget_results()
+    assert results.reused_sql(spark, "SELECT * FROM many_rows LIMIT 3") is not one
     with pytest.raises(ValueError):
         results.bounded_sql(spark, "SELECT * FROM many_rows", 501)
     kept = results.reuse(spark.sql("SELECT count(*) AS n FROM many_rows"))
