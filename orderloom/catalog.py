@@ -519,7 +519,7 @@ def interval_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def event_value_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The same summary over the event values, whose quantiles fall between two values."""
-    summary = describe_values(Silver(spark, folder).raw("events"), "value", 10.0)
+    summary = describe_values(Silver(spark, folder).raw("events"), "value")
     return summary.select("stat", F.round("value", 6).alias("value"))
 
 
@@ -746,7 +746,7 @@ def customer_features(spark: SparkSession, folder: str) -> DataFrame:
 def seller_features(spark: SparkSession, folder: str) -> DataFrame:
     s = Silver(spark, folder)
     mart = gold.mart_seller_performance(s.sellers, s.order_items, s.orders, s.order_reviews)
-    return facts.seller_features(mart, s.order_items, s.order_heads, 1_000_000.0)
+    return facts.seller_features(mart, s.order_items, s.order_heads)
 
 
 @query
@@ -754,7 +754,7 @@ def customer_balance_rank(spark: SparkSession, folder: str) -> DataFrame:
     """RANK over all customers by whole hundreds of their balance (many ties)."""
     hundreds = F.floor(F.col("c_acctbal") / 100).cast("int")
     customers = Silver(spark, folder).raw("customer").withColumn("hundreds", hundreds)
-    return global_rank(customers, "hundreds", 10.0, "pos").select("c_custkey", "hundreds", "pos")
+    return global_rank(customers, "hundreds", "pos").select("c_custkey", "hundreds", "pos")
 
 
 @query

@@ -140,10 +140,10 @@ def date_order_rules() -> dict[str, Column]:
     }
 
 
-def interval_summary(df: DataFrame, seconds: Column, condition: Column, bucket_seconds: float = 86400.0) -> DataFrame:
+def interval_summary(df: DataFrame, seconds: Column, condition: Column) -> DataFrame:
     """describe() of a time gap in seconds over the rows that meet a condition."""
     gaps = df.filter(condition).select(seconds.alias("gap"))
-    return describe_values(gaps, "gap", bucket_seconds)
+    return describe_values(gaps, "gap")
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,10 +3,9 @@
 ``percentile`` keeps a map of every distinct value in one aggregation buffer, and a window without a partition
 key sorts the table in one task. Here the input is counted per distinct value once, which collapses hot values
 map-side; Spark computes that exchange once and reads it again for every later step. The values fall into
-buckets of a fixed width, the few bucket counts are accumulated, and positions are found inside single buckets.
-
-``bucket_width`` bounds the bucket table to (max - min) / width rows; choose it so that this is some ten
-thousand rows.
+``BUCKETS`` buckets of about as many distinct values each, whose bounds are estimated from the counted values; the few
+bucket counts are accumulated, and positions are found inside single buckets. What is found is exact wherever the
+bounds lie.
 """
 
 from __future__ import annotations
@@ -17,12 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BUCKETS = 256
+
 
-def _counted_values(df: DataFrame, value: Column, bucket_width: float) -> DataFrame:
-    """(bucket, value, n): each distinct value once, NULL left out."""
+def _counted_values(df: DataFrame, value: Column) -> DataFrame:
+    """(bucket, start, value, n): each distinct value once, NULL left out; start is near the bucket's values."""
     kept = df.select(value.alias("value")).filter(F.col("value").isNotNull())
-    bucket = F.floor(F.col("value").cast("double") / F.lit(float(bucket_width)))
-    return kept.groupBy(bucket.alias("bucket"), "value").agg(F.count("*").alias("n"))
+    counted = kept.groupBy("value").agg(F.count("*").alias("n"))
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    bounds = counted.agg(F.percentile_approx(F.col("value").cast("double"), shares, 20 * BUCKETS).alias("bounds"))
+    placed = counted.withColumn("bounds", bounds.scalar())
+    bucket = F.size(F.filter("bounds", lambda b: b < F.col("value").cast("double")))
+    placed = placed.withColumn("bucket", bucket)
+    start = F.get("bounds", F.least(F.col("bucket"), F.size("bounds") - 1))
+    return placed.select("bucket", start.alias("start"), "value", "n")
 
 
 def _quantiles(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
@@ -69,20 +76,21 @@ def _quantiles(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], bucket_width: float) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
     """Quantiles with linear interpolation between neighbours: rows of (probability, value)."""
-    return _quantiles(_counted_values(df, F.col(column).cast("double"), bucket_width), probabilities)
+    return _quantiles(_counted_values(df, F.col(column).cast("double")), probabilities)
 
 
-def _moments(counted: DataFrame, bucket_width: float) -> DataFrame:
+def _moments(counted: DataFrame) -> DataFrame:
     """One row of count, mean, std, min, max.
 
     Sums are taken of the offsets inside each bucket, and the buckets are put together around the overall
     mean, so large values far from zero do not cancel out.
     """
-    start = F.col("bucket") * F.lit(float(bucket_width))
+    start = F.col("start")
     offset = F.col("value") - start
     per_bucket = counted.groupBy("bucket").agg(
+        F.max("start").alias("start"),
         F.sum("n").alias("n"),
         F.sum(offset * F.col("n")).alias("s"),
         F.sum(offset * offset * F.col("n")).alias("q"),
@@ -106,23 +114,23 @@ def _moments(counted: DataFrame, bucket_width: float) -> DataFrame:
     )
 
 
-def describe_values(df: DataFrame, column: str, bucket_width: float) -> DataFrame:
+def describe_values(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max as rows of (stat, value); the input is read once."""
-    counted = _counted_values(df, F.col(column).cast("double"), bucket_width)
+    counted = _counted_values(df, F.col(column).cast("double"))
     stats = ["count", "mean", "std", "min", "max"]
-    basics = _moments(counted, bucket_width).unpivot([], stats, "stat", "value")
+    basics = _moments(counted).unpivot([], stats, "stat", "value")
     quartiles = _quantiles(counted, (0.25, 0.5, 0.75)).select(
         F.format_string("%d%%", (F.col("probability") * 100).cast("int")).alias("stat"), "value"
     )
     return basics.unionByName(quartiles)
 
 
-def global_rank(df: DataFrame, metric: str, bucket_width: float, output: str) -> DataFrame:
+def global_rank(df: DataFrame, metric: str, output: str) -> DataFrame:
     """Rank of every row by a metric, highest first, equal values sharing a rank (RANK without a partition).
 
     NULL metrics get no rank.
     """
-    counted = _counted_values(df, F.col(metric), bucket_width)
+    counted = _counted_values(df, F.col(metric))
     sized = counted.groupBy("bucket").agg(F.sum("n").alias("size"))
     higher = F.sum("size").over(W.orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1))
     placed = sized.select("bucket", F.coalesce(higher, F.lit(0)).alias("higher"))

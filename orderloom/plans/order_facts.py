@@ -89,7 +89,7 @@ def customer_features(customer_mart: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def seller_features(seller_mart: DataFrame, items: DataFrame, orders: DataFrame, revenue_bucket: float) -> DataFrame:
+def seller_features(seller_mart: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
     """The seller mart's revenue, late rate and review mean with distinct customers and the rank by revenue."""
     per_order = items.groupBy("order_id", "seller_id").agg(F.lit(1).alias("one"))
     buyers = (
@@ -99,7 +99,7 @@ def seller_features(seller_mart: DataFrame, items: DataFrame, orders: DataFrame,
         .groupBy("seller_id")
         .agg(F.count("customer_id").alias("unique_customers"))
     )
-    ranked = global_rank(seller_mart, "total_revenue", revenue_bucket, "revenue_rank")
+    ranked = global_rank(seller_mart, "total_revenue", "revenue_rank")
     return ranked.join(buyers, "seller_id", "left").select(
         "seller_id",
         "total_revenue",

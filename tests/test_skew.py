@@ -109,7 +109,7 @@ def test_sequences_and_quantiles(skewed):
     assert verdicts.count() - broken == 0 and broken == 1 + N - N // 3
     assert sequence_gaps(payments, "order_id", "payment_sequential").count() == N
     values = skewed["items"].select(F.when(F.col("order_id") == 0, 5).otherwise(F.col("order_id") % 10).alias("v"))
-    got = {r["probability"]: r["value"] for r in exact_quantiles(values, "v", (0.25, 0.5, 0.75), 2.0).collect()}
+    got = {r["probability"]: r["value"] for r in exact_quantiles(values, "v", (0.25, 0.5, 0.75)).collect()}
     ordered = sorted(5 if i % 3 == 0 else i % 10 for i in range(N))
     assert got == {p: pytest.approx(_quantile(ordered, p)) for p in got}
 
@@ -122,7 +122,7 @@ def _quantile(ordered, p):
 
 def test_global_rank_with_a_hot_value(skewed):
     df = skewed["items"].select("order_item_id", F.when(F.col("order_id") == 0, 500).otherwise(F.col("order_id") % 1000).alias("v"))
-    got = {r["v"]: r["pos"] for r in global_rank(df, "v", 100.0, "pos").select("v", "pos").distinct().collect()}
+    got = {r["v"]: r["pos"] for r in global_rank(df, "v", "pos").select("v", "pos").distinct().collect()}
     counts = {}
     for i in range(N):
         v = 500 if i % 3 == 0 else i % 1000
