@@ -24,12 +24,23 @@ def _counted_values(df: DataFrame, value: Column) -> DataFrame:
     kept = df.select(value.alias("value")).filter(F.col("value").isNotNull())
     counted = kept.groupBy("value").agg(F.count("*").alias("n"))
     shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = counted.agg(F.percentile_approx(F.col("value").cast("double"), shares, 20 * BUCKETS).alias("bounds"))
-    placed = counted.withColumn("bounds", bounds.scalar())
-    bucket = F.size(F.filter("bounds", lambda b: b < F.col("value").cast("double")))
-    placed = placed.withColumn("bucket", bucket)
-    start = F.get("bounds", F.least(F.col("bucket"), F.size("bounds") - 1))
-    return placed.select("bucket", start.alias("start"), "value", "n")
+    # At most BUCKETS - 1 numbers come to the driver.
+    bounds = counted.agg(F.percentile_approx(F.col("value").cast("double"), shares, 20 * BUCKETS)).first()[0] or [0.0]
+    bounds = sorted({float(b) for b in bounds})
+    at = F.col("value").cast("double")
+    bucket = _by_bounds(at, bounds, [*range(len(bounds) + 1)])
+    start = _by_bounds(at, bounds, [*bounds, bounds[-1]])
+    return counted.select(bucket.alias("bucket"), start.alias("start"), "value", "n")
+
+
+def _by_bounds(value: Column, bounds: Sequence[float], leaves: Sequence) -> Column:
+    """The leaf of the first bound that is not below the value, found by halving."""
+    if not bounds:
+        return F.lit(leaves[0])
+    mid = len(bounds) // 2
+    low = _by_bounds(value, bounds[:mid], leaves[: mid + 1])
+    high = _by_bounds(value, bounds[mid + 1 :], leaves[mid + 1 :])
+    return F.when(value <= bounds[mid], low).otherwise(high)
 
 
 def _quantiles(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
