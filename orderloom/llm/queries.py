@@ -11,7 +11,6 @@ from orderloom.llm import chat, decontaminate, katz, mixing, multi_index, pu_qua
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
