@@ -84,5 +84,5 @@ def test_scans_read_only_the_columns_they_need(spark, folder):
 
 
 def test_filters_reach_the_scan(spark, folder):
-    plan = plan_of(QUERIES["customer_match_count"](spark, folder))
-    assert "GreaterThan(c_acctbal,0.0)" in plan
+    plan = plan_of(QUERIES["merge_upsert"](spark, folder))
+    assert "Not(EqualTo(o_orderstatus,P))" in plan and "Not(EqualTo(o_orderstatus,F))" in plan
