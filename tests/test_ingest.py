@@ -218,6 +218,10 @@ def test_counts_are_validated(spark, tmp_path):
     put(tmp_path / "in" / "orders.csv", ",".join(columns) + f"\n{line}\n{line.replace('o1', 'o2')}\n")
     with pytest.raises(build.ValidationError, match="orders.row_count, orders.year_2017_count"):
         build.ingest_and_validate(spark, store, log, f"{tmp_path}/in", expected, {2017: 1})
+    put(tmp_path / "in2" / "orders.csv", "order_id,customer_id\no1,c1\n")
+    other = TableStore(spark, f"{tmp_path}/w2")
+    with pytest.raises(build.ValidationError, match="columns_orders"):
+        build.ingest_and_validate(spark, other, OpsLog(spark, f"{tmp_path}/w2"), f"{tmp_path}/in2", expected, {2017: 1})
     found = {r["layer_name"]: r["passed"] for r in checks.layer_presence(store.tables(), ("bronze", "gold")).collect()}
     assert found == {"bronze": True, "gold": False}
 

@@ -284,3 +284,13 @@ def test_update_lists():
         "total_revenue", "total_orders", "total_items_sold", "avg_review_score", "late_delivery_rate"
     ]
     assert len(S.FACT_SALES_ITEMS.update_cols) == 14
+
+
+def test_required_columns(spark):
+    from orderloom.plans import checks
+
+    raw = spark.createDataFrame([], ", ".join(f"{checks.RAW_SPELLING.get(c, c)} string" for c in S.PRODUCTS.columns))
+    got = {r["validation_name"]: (r["layer_name"], r["issue_count"]) for r in checks.required_columns({"products": raw}).collect()}
+    assert got == {"columns_products": ("silver", 2)}
+    landed = checks.required_columns({"products": raw, "sellers": raw}, landed=True).collect()
+    assert {r["validation_name"]: r["passed"] for r in landed} == {"columns_products": True, "columns_sellers": False}
