@@ -30,6 +30,12 @@ def rows_of_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def surplus_row_count(df: DataFrame) -> DataFrame:
-    """Number of rows that repeat an earlier, entirely equal row (one row, column ``surplus_rows``)."""
-    per_row = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    """Number of rows that repeat an earlier, entirely equal row (one row, column ``surplus_rows``).
+
+    Texts are compared by their SHA-256, so that whole texts do not move.
+    """
+    keys = [
+        F.unhex(F.sha2(F.col(c).cast("binary"), 256)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes
+    ]
+    per_row = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     return per_row.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("surplus_rows"))
