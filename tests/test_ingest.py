@@ -226,6 +226,17 @@ def test_counts_are_validated(spark, tmp_path):
     assert found == {"bronze": True, "gold": False}
 
 
+def test_expectations_are_stored(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    observed = spark.createDataFrame([("orders", 5)], "table_name string, actual bigint")
+    for version in ("1.1.1", "1.1.2"):
+        build.renew_stored_expectations(spark, store, observed)
+        rows = {r["table_name"]: r for r in store.read("ops", "expectations").collect()}
+        assert (rows["orders"]["row_count"], rows["orders"]["version"]) == (5, version)
+        assert rows["orders"]["last_updated"] is not None and rows["sellers"]["last_updated"] is None
+        assert set(rows) == set(S.EXPECTED_ROWS)
+
+
 def test_stream_equals_batch_merge(spark, tmp_path):
     store, spec = TableStore(spark, f"{tmp_path}/w"), S.SELLERS
     schema = bronze.text_schema(spec.columns)
