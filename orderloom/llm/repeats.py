@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import KEY, as_bytes, joined_to_texts, text_key, written
+from orderloom.llm.common import KEY, as_bytes, text_key, written
 
 MATCH, GRAM = 400, 50
 SPREAD = MATCH - GRAM + 1
@@ -285,7 +285,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     reps = contents.join(sizes, "gram").select("gram", "content", "contents", "one.*")
     reps = written(reps, "representatives")
     wanted = reps.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "content", "first", "last")).alias("wanted"))
-    cut = joined_to_texts(texts, written(wanted, "wanted"), "inner", F.size("wanted")).select("text", "wanted")
+    cut = texts.join(wanted, list(KEY)).select("text", "wanted")
     cut = cut.mapInArrow(_cut_segments, "gram long, content long, bytes binary").dropDuplicates(["gram", "content"])
     about = reps.select("gram", "content", "contents", (F.col("anchor") - F.col("first")).alias("ahead"))
     cut = written(cut.join(about, ["gram", "content"]), "segment-bytes")
@@ -335,7 +335,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.select("doc_id", "text", *text_key(F.col("text")))
-    joined = joined_to_texts(slim, written(repeated_spans(docs, text), "spans"), "left", F.size("starts"))
+    joined = slim.join(repeated_spans(docs, text), list(KEY), "left")
     schema = T.StructType([joined.schema["doc_id"], *T._parse_datatype_string(_KEPT).fields])
     if not with_bytes:
         schema = T.StructType(schema.fields[:-1])
