@@ -4,13 +4,14 @@ Ids are integer lists, which ORC stores run-length encoded; a row index every ``
 doc_id let a reader skip stripes for a document or a range, and the stripes of a file can be read apart. A row
 also holds the number of ids before it in its file, so that a place in the corpus is found from per-file sums.
 
-A text is encoded word by word through a table of the words seen last, which is exact for a tokenizer that drops
-white space before anything else looks across it; ``WordEncoder`` says what that asks of it.
+Plain text is encoded piece by piece through a table of the pieces seen last; ``Encoder`` says why that is exact.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import as_bytes, lengths_to_offsets
+from orderloom.llm.common import as_bytes, lengths_to_offsets, stretches, written
 from orderloom.sources.store import scratch_folder
 
 END_ID = 1
@@ -31,38 +32,94 @@ STRIPE_BYTES = 16 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
-class WordEncoder:
+# How the tokenizer splits normalised text, here for texts of plain characters only: printable ASCII,
+# tab, line ends and the letters of Latin-1, which no normalisation but lower case changes.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_ASCII = bytes([9, 10, 13, *range(32, 127)])
+_LETTERS = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+
+
+def is_plain(text: bytes) -> bool:
+    """Whether the text has plain characters only, and no token's name."""
+    return _LETTERS.fullmatch(text.translate(None, _ASCII)) is not None and b"<|" not in text
+
+
+def _byte_characters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: the byte's own, if visible, else the next free."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_CHARACTERS = _byte_characters()
+
+
+class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
-    The tokenizer must split at ASCII white space and drop it, with a normalisation that maps no character by its
-    neighbours across white space. Short words are kept in a table of at most ``keep`` entries, emptied when full.
+    Words of plain text, in lower case, are looked up in a bounded table of those seen last, and the pieces of words
+    that are not in it in another one. Pieces that are in neither go to the tokenizer's model alone, as they are
+    normalised and split already. Other text goes through the whole tokenizer. Long texts go a stretch at a time, which
+    changes nothing: the tokenizer splits at white space and drops it.
     """
 
-    def __init__(self, path: str, keep: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, words: int = 800_000, pieces: int = 500_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.longest, self.known = keep, longest, {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.limits, self.longest = (words, pieces), longest
+        self.model = self.tokenizer.model
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, table: dict[str, bytes], found: dict[str, bytes], limit: int) -> None:
+        if len(table) + len(found) > limit:
+            table.clear()
+        table.update((k, i) for k, i in found.items() if len(k) <= self.longest)
+
+    def _new_piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join([_CHARACTERS[b] for b in piece.encode()])
+        ids = [token.id for token in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new_words(self, words: set[str]) -> dict[str, bytes]:
+        split = {w: _PIECES.findall(w) for w in words if not w.isalpha()}  # letters alone are one piece
+        asked = {p for own in split.values() for p in own}
+        asked.update(w for w in words if w not in split)
+        ids = {p: i for p in asked if (i := self.pieces.get(p)) is not None}
+        if new := [p for p in asked if p not in ids]:
+            found = {p: self._new_piece(p) for p in new}
+            ids.update(found)
+            self._keep(self.pieces, found, self.limits[1])
+        return {w: b"".join([ids[p] for p in split[w]]) if w in split else ids[w] for w in words}
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        ids = dict(zip(new, self._encode(new)))
-        out = b"".join([known[w] if w in known else ids[w] for w in words])
-        if len(known) + len(new) > self.keep:
-            known.clear()
-        known.update((w, i) for w, i in ids.items() if len(w) <= self.longest)
-        return out
+        return b"".join(map(self._stretch, stretches(text)))
+
+    def _stretch(self, part: bytes) -> bytes:
+        if not is_plain(part):
+            return self._ids(part.decode()).tobytes()
+        words = part.decode().lower().split()
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            found = self._new_words({w for w, i in zip(words, ids) if i is None})
+            ids = [found[w] if i is None else i for w, i in zip(words, ids)]
+            self._keep(self.words, found, self.limits[0])
+        return b"".join(ids)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -78,7 +135,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, at = WordEncoder(tokenizer), np.array([END_ID], "<u4").tobytes(), 0
+        encoder, end, at = encoder_of(tokenizer), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:
             # A few rows at a time: the ids of very long texts need not lie side by side.
             for first in range(0, batch.num_rows, 1000):
@@ -135,9 +192,9 @@ def documents_of(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of rows that were read, start counting over all files."""
     fields = [rows.schema["doc_id"], rows.schema["file"], T.StructField("at", T.LongType())]
     fields += [T.StructField(n, T.LongType()) for n in ("n_tokens", "ids_crc32")]
-    seen = rows.mapInArrow(_crc, T.StructType(fields))
-    # One row a file; that they end where the next one's ids begin needs their sizes alone.
-    files = rows.groupBy("file").agg(F.sum(F.size("ids").cast("long")).alias("n"))
+    seen = written(rows.mapInArrow(_crc, T.StructType(fields)), "token-rows")
+    # One row a file.
+    files = seen.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files = files.select(F.col("file").alias("of_file"), before.alias("before"))
     out = seen.join(files, F.col("file") == F.col("of_file"))
