@@ -106,7 +106,9 @@ def _make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        words, tokens = np.unique(np.concatenate(pieces), return_inverse=True)
+        # END is asked for by every chunk, also by one that holds only the front of a text: its count is START's total.
+        words, tokens = np.unique(np.concatenate([*pieces, np.array([END], np.uint64)]), return_inverse=True)
+        tokens = tokens[:-1]
         columns = [
             pa.array([uuid.uuid4().int >> 65], pa.int64()),
             pa.array([rows], pa.list_(pa.int64())),
@@ -307,8 +309,7 @@ def _half_scores(model: Model, parts: int):
         ).astype(bool)
         words = model.word_probability(counts)
         totals = counts.copy()  # of a context: it is followed by something each time
-        for at in np.flatnonzero(chunk.words == START):
-            totals[at] = counts[np.searchsorted(chunk.words, END)] if END in chunk.words else 0
+        totals[chunk.words == START] = counts[np.searchsorted(chunk.words, END)]
         return _half(chunk, row, model, parts, counts, totals, words, place, number, pairs, owned)
 
     return run
@@ -360,7 +361,7 @@ def _alphas(table: pa.Table) -> pa.Table:
         for c in ("mass", "words_mass")
     ]
     totals = np.zeros(len(distinct), np.int64)
-    totals[number] = np.concatenate([restore(b, "<i8") for b in table["totals"].to_pylist()])
+    np.maximum.at(totals, number, np.concatenate([restore(b, "<i8") for b in table["totals"].to_pylist()]))
     alphas = np.log10((1 - sums[0] / (totals + 1)) / (1 - sums[1]))
     part, chunks = table["part"][0].as_py(), table["chunk"].to_pylist()
     out = [(part, c, squeeze(alphas[number[a:b]])) for c, a, b in zip(chunks, offsets, offsets[1:])]

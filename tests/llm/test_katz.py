@@ -103,6 +103,30 @@ def test_scores(spark, monkeypatch, n, chunk, piece):
     assert got == want
 
 
+@pytest.mark.parametrize("place", ["first", "last"])
+def test_text_longer_than_a_chunk(spark, monkeypatch, place):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 30, 300))
+    rest = [(i, " ".join(f"w{j}" for j in rng.integers(0, 30, 12))) for i in range(2, 30)]
+    rest += [(i, "never seen in front") for i in range(30, 60)]
+    rows = [(1, long), *rest] if place == "first" else [*rest, (1, long)]
+    assert not held(1) and any(held(i) for i, _ in rest)
+    plain, made = Plain([t for i, t in rows if not held(i)]), katz._rows_and_chunks
+
+    def small(batches):  # sent by value, so the limits are set in the worker
+        before = katz.CHUNK, katz.SLICE
+        katz.CHUNK, katz.SLICE = 50, 100
+        try:
+            yield from made(batches)
+        finally:
+            katz.CHUNK, katz.SLICE = before
+
+    monkeypatch.setattr(katz, "_rows_and_chunks", small)
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: round(r.score, 6) for r in got} == {i: round(plain.score(t), 6) for i, t in rows}
+
+
 def test_stretches_of_a_text(monkeypatch):
     text = ("Aa bb  ccc\n" * 50 + "x" * 300 + " y\tz ").encode()
     whole = [katz.word_key(w) for w in text.lower().split()]
