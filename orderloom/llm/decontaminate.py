@@ -1,13 +1,16 @@
 """Benchmark items in documents, also with other numbers, names or units.
 
-Texts become words without punctuation and case. In the template form numbers, units and names (words with one
-capital in front, not at the start of a sentence) are typed placeholders, and what stood there is kept as the
-slot's value. Windows of ``WINDOW`` words are hashed twice, as words and as template, and joined by hash: equal
-words are a match, and so are equal templates if the slots agree. They agree if along one alignment of document
-and item each value of the item always stands for one value of the document and the other way round.
+Texts become words without punctuation and case. In the template form numbers (digits or words, also before a
+hyphen), units and names (words with a capital in front and a small letter) are typed placeholders, and what stood
+there is kept as the slot's value. At the start of a sentence such a word may be a name or not, so its windows have
+a template of each kind; in documents it is only a word if it is common in lower case and no name elsewhere in the
+text. Windows of ``WINDOW`` words are hashed as words and as templates, and joined by hash: equal words are a match,
+and so are equal templates if the slots agree. They agree if along one alignment of document and item each value of
+the item always stands for one value of the document; windows with a value that stands for several are no match.
 
 A document holds an item if ``SHARE`` of the item's windows or more are matched. Windows with fewer than
-``LITERALS`` words that are no slots only count as words.
+``LITERALS`` words that are no slots are not looked up as templates; they also match where matched windows of the
+same alignment cover all their words.
 
 A bit map of fixed size over the item windows' hashes goes to the tasks and lets most document windows drop out
 before anything moves; what it lets through is joined on the whole hash, so more items only make it coarser.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,22 +43,56 @@ UNITS = frozenset(
     "hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur gbp percent "
     "mph kmh kph hz khz mhz ghz kb mb gb tb v volt volts w watt watts kw c f k celsius fahrenheit degree degrees".split()
 )
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
+    "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
+# Words that open sentences and are no names; the lower-case words of the benchmark are added.
+OPENERS = frozenset(
+    "a an the this that these those here there he she it we they you i his her its their our your my who whom whose what "
+    "which when where why how if then so but and or nor yet because since while although though after before until as at "
+    "by for from in into of off on onto out over to under up with without about is are was were be been am do does did "
+    "has have had can could may might must shall should will would not no yes all any both each every either neither "
+    "some many much more most few several other another such find calculate compute determine solve suppose assume given "
+    "let consider write show prove explain now also however therefore thus finally first next later once only even".split()
+)
+COMMON = 50_000  # lower-case words of the benchmark, the most frequent first
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 WITH_UNIT = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(\w{1,12})")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
-WORD, NUM, UNIT, NAME, DROP = range(5)
+WORD, NUM, UNIT, NAME, DROP, MAYBE = range(6)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MARKS = np.array([0, 11, 13, 17, 0], np.uint64) * _MIX  # what stands for a slot of each kind
 
 
+def _word_hash(low: str) -> int:
+    return xxhash.xxh64_intdigest(low.encode())
+
+
+def _number(low: str) -> str | None:
+    """What follows the number in a word that begins with one ('page' of '3-page'), units aside; None without one."""
+    if NUMBER.fullmatch(low) or low in NUMBER_WORDS or ((m := WITH_UNIT.fullmatch(low)) and m[1] in UNITS):
+        return ""
+    if "-" not in low:
+        return None
+    parts = low.split("-")
+    n = next((i for i, p in enumerate(parts) if not (p in NUMBER_WORDS or NUMBER.fullmatch(p))), len(parts))
+    rest = "-".join(parts[n:])
+    return None if not n else "" if rest in UNITS else rest
+
+
 class Words(dict):
-    """Numbers of the words seen, and by number their hash, kind and flags; emptied when too many."""
+    """Numbers of the words seen, and by number their hash, kind, mark and flags; emptied when too many.
+
+    Words of ``common`` hashes and OPENERS are no names at the start of a sentence, if common is not None.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, common: frozenset[int] | None = None) -> None:
         super().__init__()
-        self.rows: list[tuple[int, int, bool, bool]] = []
+        self.common = common
+        self.rows: list[tuple[int, int, int, bool, bool, bool]] = []
         self.arrays: tuple = ()
 
     def __missing__(self, raw: bytes) -> int:
@@ -64,23 +101,26 @@ class Words(dict):
         low = word.lower()
         if not low:
             kind = DROP
-        elif NUMBER.fullmatch(low) or ((m := WITH_UNIT.fullmatch(low)) and m[1] in UNITS):
+        elif (rest := _number(low)) is not None:
             kind = NUM
         elif low in UNITS:
             kind = UNIT
         else:
             kind = WORD
-        titled = kind == WORD and word[0].isupper() and word[1:] == low[1:] and len(word) > 1
+        titled = kind == WORD and word[0].isupper() and not word.isupper() and len(word) > 1
+        hashed = _word_hash(low)
+        plain = titled and self.common is not None and (low in OPENERS or hashed in self.common)
+        mark = _word_hash("-" + rest) if kind == NUM and rest else int(_MARKS[kind])
         ends = text.rstrip("\"')]}»”’").endswith((".", "!", "?"))
-        self.rows.append((xxhash.xxh64_intdigest(low.encode()), kind, titled, ends))
+        self.rows.append((hashed, kind, mark, titled, plain, ends))
         self[raw] = number = len(self.rows) - 1
         return number
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and kind of each word that is not mere punctuation."""
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, kind and mark as a slot of each word that is not mere punctuation."""
         words = text.split()
         if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
         if len(self) > KEEP_WORDS:
             self.clear()
             self.rows, self.arrays = [], ()
@@ -88,13 +128,17 @@ class Words(dict):
         if not self.arrays or len(self.arrays[0]) < len(self.rows):
             done = len(self.arrays[0]) if self.arrays else 0
             new = list(zip(*self.rows[done:]))
-            new = [np.array(c, t) for c, t in zip(new, (np.uint64, np.int8, bool, bool))]
+            new = [np.array(c, t) for c, t in zip(new, (np.uint64, np.int8, np.uint64, bool, bool, bool))]
             self._grow(done, new)
-        hashes, kinds, titled, ends = (a[numbers] for a in self.arrays)
-        start = np.concatenate([[True], ends[:-1]]) if len(ends) else ends
-        kinds = np.where(titled & ~start, NAME, kinds)
+        hashes, kinds, marks, titled, plain, ends = (a[numbers] for a in self.arrays)
+        start = np.concatenate([[True], ends[:-1]])
+        named, first = np.flatnonzero(titled & ~start), np.flatnonzero(titled & start)
+        if self.common is not None and len(first):
+            first = first[~plain[first] | np.isin(hashes[first], hashes[named])]
+        kinds[named], kinds[first] = NAME, MAYBE
+        marks[named] = marks[first] = _MARKS[NAME]
         kept = kinds != DROP
-        return hashes[kept], kinds[kept]
+        return hashes[kept], kinds[kept], marks[kept]
 
     def _grow(self, done: int, new: list[np.ndarray]) -> None:
         """Room doubles, so that adding words costs little however many there are."""
@@ -119,20 +163,31 @@ def _windows(values: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def window_hashes(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows as words and as templates; equal where there is no slot or too few words beside them."""
-    if len(hashes) < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    seed = np.uint64(size)
-    plain = _windows(hashes, size) ^ seed
+def readings(kinds: np.ndarray) -> list[np.ndarray]:
+    """The kinds with what may be a name as a word, and as a name."""
+    maybe = kinds == MAYBE
+    if not maybe.any():
+        return [kinds]
+    return [np.where(maybe, WORD, kinds), np.where(maybe, NAME, kinds)]
+
+
+def plain_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows as words."""
+    return _windows(hashes, size) ^ np.uint64(size) if len(hashes) >= size else np.zeros(0, np.uint64)
+
+
+def template_hashes(
+    plain: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, marks: np.ndarray, size: int
+) -> np.ndarray:
+    """Hashes of the windows as templates; the plain one where there is no slot or too few words beside them."""
     slots = kinds != WORD
-    if not slots.any():
-        return plain, plain
-    marked = np.where(slots, _MARKS[kinds], hashes)
+    if not len(plain) or not slots.any():
+        return plain
     inside = np.cumsum(np.concatenate([[0], slots]))
     inside = inside[size:] - inside[:-size]
     usable = (inside > 0) & (size - inside >= min(LITERALS, size - 1))
-    return plain, np.where(usable, _windows(marked, size) ^ seed ^ np.uint64(1 << 63), plain)
+    marked = np.where(slots, marks, hashes)
+    return np.where(usable, _windows(marked, size) ^ np.uint64(size) ^ np.uint64(1 << 63), plain)
 
 
 def _slots(hashes: np.ndarray, kinds: np.ndarray, at: int, size: int) -> list[int]:
@@ -156,15 +211,19 @@ def item_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_
         for batch in batches:
             out = []
             for item, content in zip(batch.column("item_id").to_pylist(), as_bytes(batch.column("text"))):
-                hashes, kinds = words.of(content)
+                hashes, kinds, marks = words.of(content)
                 size = min(WINDOW, len(hashes))
                 if not size:
                     continue
-                plain, template = window_hashes(hashes, kinds, size)
-                for at, (p, t) in enumerate(zip(plain.view(np.int64).tolist(), template.view(np.int64).tolist())):
-                    out.append((item, size, len(plain), at, p, None))
-                    if t != p:
-                        out.append((item, size, len(plain), at, t, _slots(hashes, kinds, at, size)))
+                before = [plain_hashes(hashes, size)]
+                plain = before[0].view(np.int64).tolist()
+                out += [(item, size, len(plain), at, p, None) for at, p in enumerate(plain)]
+                for read in readings(kinds):
+                    template = template_hashes(before[0], hashes, read, marks, size)
+                    for at in np.flatnonzero(np.all([template != b for b in before], axis=0)).tolist():
+                        t = int(template[at].view(np.int64))
+                        out.append((item, size, len(plain), at, t, _slots(hashes, read, at, size)))
+                    before.append(template)
             if out:
                 kinds_ = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds_)]
@@ -189,28 +248,40 @@ def _probe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _document_windows(texts: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+def common_words(benchmark: DataFrame, text: str = "text") -> frozenset[int]:
+    """Hashes of the words that stand in lower case in two items or more, COMMON at most."""
+    words = F.array_distinct(F.split(F.col(text), r"[^\p{L}\p{N}'-]+"))
+    rows = benchmark.select(F.explode(words).alias("w")).filter("w != '' AND w = lower(w)").groupBy("w").count()
+    rows = rows.filter("count > 1").orderBy(F.desc("count"), "w").limit(COMMON).collect()
+    return frozenset(_word_hash(r["w"]) for r in rows)
+
+
+def _document_windows(texts: DataFrame, bits: np.ndarray, sizes: list[int], common: frozenset[int]) -> DataFrame:
     """(k1, k2, hash, at, doc_slots): the windows that the bit map lets through."""
     schema = T.StructType(
         [*(texts.schema[c] for c in KEY), *T._parse_datatype_string("hash long, at long, doc_slots array<long>").fields]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(common)
         for batch in batches:
             rows, out = [], []
             for i, content in enumerate(as_bytes(batch.column("text"))):
-                hashes, kinds = words.of(content)
+                hashes, kinds, marks = words.of(content)
+                read = readings(kinds)
                 for size in sizes:
-                    plain, template = window_hashes(hashes, kinds, size)
+                    plain = plain_hashes(hashes, size)
                     for at in np.flatnonzero(_probe(bits, plain)).tolist():
                         rows.append(i)
                         out.append((int(plain[at].view(np.int64)), at, None))
-                    if template is not plain:
-                        slotted = template != plain
-                        for at in np.flatnonzero(slotted & _probe(bits, template)).tolist():
+                    before = plain
+                    for own in read:
+                        template = template_hashes(plain, hashes, own, marks, size)
+                        new = np.flatnonzero((template != plain) & (template != before))
+                        for at in new[_probe(bits, template[new])].tolist():
                             rows.append(i)
-                            out.append((int(template[at].view(np.int64)), at, _slots(hashes, kinds, at, size)))
+                            out.append((int(template[at].view(np.int64)), at, _slots(hashes, own, at, size)))
+                        before = template
             if out:
                 chosen = pa.array(rows, pa.int64())
                 columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int64())))]
@@ -226,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     items = written(item_windows(benchmark), "item-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # five values at most
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select("text", *text_key(F.col("text")))
-    found = _document_windows(texts.select(*KEY, "text"), bit_map(items), sizes)
+    found = _document_windows(texts.select(*KEY, "text"), bit_map(items), sizes, common_words(benchmark))
     pairs = found.join(items, "hash").select(
         *KEY, "item_id", "windows", "place", (F.col("at") - F.col("place")).alias("line"), "slots", "doc_slots"
     )
@@ -234,17 +305,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     by_line = [*KEY, "item_id", "line"]
     slotted = pairs.filter("slots IS NOT NULL AND doc_slots IS NOT NULL AND size(slots) = size(doc_slots)")
     values = slotted.select(*by_line, F.explode(F.arrays_zip("slots", "doc_slots")).alias("v"))
-    values = values.select(*by_line, F.col("v.slots").alias("own"), F.col("v.doc_slots").alias("other")).distinct()
-    # Each value of one side must go with one value of the other: as many pairs as values on either side.
-    clash = values.groupBy(*by_line).agg(
-        F.count("*").alias("pairs"), F.countDistinct("own").alias("a"), F.countDistinct("other").alias("b")
-    )
-    clash = clash.filter("pairs > a OR pairs > b").select(*by_line)
-    agreed = slotted.join(clash, by_line, "left_anti")
+    values = values.select(*by_line, F.col("v.slots").alias("own"), F.col("v.doc_slots").alias("other"))
+    # Each value of the item must go with one value of the document.
+    clash = values.groupBy(*by_line, "own").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a != b")
+    clash = clash.groupBy(*by_line).agg(F.collect_set("own").alias("clash"))
+    agreed = slotted.join(clash, by_line, "left").filter("clash IS NULL OR NOT arrays_overlap(slots, clash)")
     plain = pairs.filter("slots IS NULL AND doc_slots IS NULL")
-    matched = plain.select(*KEY, "item_id", "windows", "place").unionByName(
-        agreed.select(*KEY, "item_id", "windows", "place")
-    )
+    columns = [*by_line, "windows", "place"]
+    found = plain.select(*columns).unionByName(agreed.select(*columns)).distinct()
+    # All words of a window are covered if the matched windows around it overlap or touch.
+    after = F.lead("place").over(Window.partitionBy(*by_line).orderBy("place"))
+    found = found.withColumn("next", F.when(after - F.col("place") <= WINDOW, after))
+    places = F.sequence("place", F.greatest(F.coalesce("next", "place") - 1, "place"))
+    matched = found.select(*KEY, "item_id", "windows", F.explode(places).alias("place"))
     counted = matched.distinct().groupBy(*KEY, "item_id").agg(
         F.count("*").alias("matched"), F.max("windows").alias("windows")
     )

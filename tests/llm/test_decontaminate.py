@@ -86,3 +86,20 @@ def test_words_survive_a_full_table(monkeypatch):
         for words in (one, many):
             got, want = words.of(text), fresh.of(text)
             assert all((g == w).all() for g, w in zip(got, want))
+
+
+NAMES = "Tom has 5 apples. Ann has 7 apples. Bob has 9 apples. How many apples do they have?"
+NUMBERS = "A baker fills five trays with bread and sells two of them to the school, and then the McDonald family takes a 3-page list."
+
+
+def test_names_at_sentence_starts_number_words_and_coinciding_values(spark):
+    docs = [
+        (1, NAMES.replace("Tom", "Eve").replace("Ann", "Joe").replace("Bob", "Sue").replace("5", "3").replace("7", "8").replace("9", "4")),
+        (2, NAMES.replace("5", "6").replace("7", "6")),  # two values of the item become one
+        (3, NUMBERS.replace("five", "nine").replace("two", "four").replace("McDonald", "O'Brien").replace("3-page", "12-page")),
+        (4, NUMBERS.replace("3-page list", "3-line note").replace("trays", "boxes").replace("school", "shop")),  # other words
+        (5, "The has 5 apples. When has 7 apples. These has 9 apples. How many apples do they have?"),  # no names
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, NAMES), (2, NUMBERS)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dc.leaks(docs, items).collect()) == [(1, 1), (2, 1), (3, 2)]
