@@ -219,8 +219,11 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model accepts, with their columns as they were."""
+    """The documents that the model accepts, with their columns as they were; all of them if there is no model."""
+    network = train(docs, labels)
+    if network is None:
+        return docs
     name = "_score"
-    scored = score(docs.withColumnRenamed("score", "_own_score"), train(docs, labels)).withColumnRenamed("score", name)
+    scored = score(docs.withColumnRenamed("score", "_own_score"), network).withColumnRenamed("score", name)
     kept = scored.filter(F.col(name) >= THRESHOLD).drop(name).withColumnRenamed("_own_score", "score")
     return kept.select(*docs.columns)

@@ -52,3 +52,11 @@ def test_odd_rows(spark):
     none = labels.limit(0)
     assert {r.score for r in pu.score(docs, pu.train(docs, none)).collect()} == {0.5}
     assert pu.score(docs.limit(0), pu.train(docs.limit(0), labels)).collect() == []
+
+
+def test_without_a_model_all_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "a text", 3), (2, None, 4), (None, "no id", 5)], "doc_id long, text string, score long")
+    for rows in ([], [(1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        kept = pu.keep_good(docs, labels)
+        assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
