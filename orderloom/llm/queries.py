@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import chat, decontaminate, katz, mixing, multi_index, pu_quality, repeats, secret_scan, simhash, token_files
+from orderloom.llm import chat, decontaminate, katz, mixing, multi_index, pu_quality, repeats, secret_scan, simhash
+from orderloom.llm import spelling, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
+TYPOS = 97  # one in so many (document, word) of op13 is mistyped
 QUERIES: dict[str, Query] = {}
 
 
@@ -97,3 +99,9 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op10_katz(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document by a model of nine tenths of them."""
     return katz.score(table(spark, folder, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents, its neighbours one edit away and its usual spelling."""
+    return spelling.variants(table(spark, folder, "documents"), TYPOS)
