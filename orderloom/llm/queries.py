@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import chat, decontaminate, katz, mixing, multi_index, pii, pu_quality, repeats
-from orderloom.llm import secret_scan, simhash, spelling, token_files
+from orderloom.llm import chat, decontaminate, katz, mixing, multi_index, phrases, pii, pu_quality
+from orderloom.llm import repeats, secret_scan, simhash, spelling, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 TYPOS = 97  # one in so many (document, word) of op13 is mistyped
@@ -101,6 +101,12 @@ def op10_katz(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score(table(spark, folder, "documents"))
 
 
+@query
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of each language that stand together most."""
+    return phrases.phrases(table(spark, folder, "documents"))
+
+
 @query
 def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, from patterns and from a tagger trained on a sample of all of them."""

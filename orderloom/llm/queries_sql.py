@@ -48,3 +48,38 @@ SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) F
        sha256(coalesce(string_agg({_TOLD}, ',' ORDER BY s, place) FILTER (WHERE place < {_BASE}), '')) AS base_sha256,
        coalesce(string_agg({_TOLD}, ',' ORDER BY s, place) FILTER (WHERE place IS NOT NULL), '') AS spans
 FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+_PHRASE = {k: " || ' ' || ".join(["w", *(f"w{j}" for j in range(2, k + 1))]) for k in range(1, 6)}
+_COUNTED = " UNION ALL ".join(
+    f"SELECT lang, {phrase} AS phrase, {k} AS size, count(*) AS f FROM windows WHERE w{k if k > 1 else ''} IS NOT NULL GROUP BY ALL"
+    for k, phrase in _PHRASE.items()
+)
+_FOLLOWING = ", ".join(f"lead(w, {k - 1}) OVER piece AS w{k}" for k in range(2, 6))
+
+ORACLE["op11_phrases"] = f"""WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces
+    FROM documents),
+pieces AS (
+    SELECT d, lang, generate_subscripts(pieces, 1) AS p, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS words FROM docs),
+words AS (SELECT d, lang, p, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM pieces),
+windows AS MATERIALIZED (SELECT lang, w, {_FOLLOWING} FROM words WINDOW piece AS (PARTITION BY d, p ORDER BY i)),
+counts AS MATERIALIZED (SELECT * FROM ({_COUNTED}) WHERE f >= 100),
+totals AS (SELECT lang, count(*) AS n FROM windows GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size >= 2),
+cuts AS MATERIALIZED (
+    SELECT lang, phrase, a, j, array_to_string(words[1:j], ' ') AS lhs, array_to_string(words[j + 1:size], ' ') AS rhs
+    FROM (SELECT *, unnest(range(1, size)) AS j FROM candidates)),
+scores AS (
+    SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN totals t ON t.lang = c.lang
+    JOIN counts x ON x.lang = c.lang AND x.phrase = c.lhs JOIN counts y ON y.lang = c.lang AND y.phrase = c.rhs),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+    SELECT lang, array_to_string(words[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, size - m + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS m FROM candidates)) GROUP BY ALL),
+kept AS (
+    SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+    WHERE i.longer IS NULL OR 100 * i.longer < 100 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""

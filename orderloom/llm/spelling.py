@@ -67,6 +67,7 @@ def word_counts(docs: DataFrame, typos: int | None = None, text: str = "text", d
     counts as empty text. Rows with the same text and id count each. NULL and empty texts have no words.
     """
     slim = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text"))
+    most = HELD_WORDS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter]:
         held: Counter = Counter()
@@ -80,7 +81,7 @@ def word_counts(docs: DataFrame, typos: int | None = None, text: str = "text", d
                         for w, n in [(w, found.pop(w)) for w in hit]:
                             held[_mistyped(w, zlib.crc32(w, start))] += n
                     held.update(found)
-                    if len(held) > HELD_WORDS:
+                    if len(held) > most:
                         yield held
                         held = Counter()
         yield held
@@ -211,7 +212,7 @@ def _edits(points: np.ndarray, h: np.ndarray, alphabet: np.ndarray) -> Iterator[
 
 def _probed(vocabulary: DataFrame, shards: Shards, alphabet: np.ndarray, low: int, bits: np.ndarray) -> DataFrame:
     """The edits that pass the filter's blocks from ``low`` on."""
-    high = low + len(bits)
+    high, at_once = low + len(bits), PROBES
 
     def touched(length: int) -> bool:
         a, b = shards.range(length)
@@ -221,7 +222,7 @@ def _probed(vocabulary: DataFrame, shards: Shards, alphabet: np.ndarray, low: in
         for batch in batches:
             words = batch.column("word").to_pylist()
             known = batch.column("h").to_numpy().view(np.uint64)
-            step = max(1, PROBES // len(alphabet))
+            step = max(1, at_once // len(alphabet))
             for places, matrix in _by_length(words):
                 length = matrix.shape[1]
                 if not (touched(length) or touched(length - 1)):

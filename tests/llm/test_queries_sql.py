@@ -11,7 +11,7 @@ from orderloom.llm.queries_sql import ORACLE
 def test_all_are_registered():
     registered = entry_file.queries()
     assert set(QUERIES) | {"pipeline"} <= set(registered)
-    assert [sum(q.startswith(f"op{n}_") for q in registered) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in registered) for n in range(1, 14)] == [1] * 13
     assert set(ORACLE) <= set(entry_file.oracle_sql())
 
 
