@@ -1,11 +1,11 @@
 """Exact quantiles, a describe() summary and a global rank that no single task has to hold.
 
 ``percentile`` keeps a map of every distinct value in one aggregation buffer, and a window without a partition
-key sorts the table in one task. Here the input is counted per distinct value once, which collapses hot values
-map-side; Spark computes that exchange once and reads it again for every later step. The values fall into
-``BUCKETS`` buckets of about as many distinct values each, whose bounds are estimated from the counted values; the few
-bucket counts are accumulated, and positions are found inside single buckets. What is found is exact wherever the
-bounds lie.
+key sorts the table in one task. Here the input is counted per distinct value, which collapses hot values map-side.
+The values fall into ``BUCKETS`` buckets of about as many distinct values each; the few bucket counts are accumulated,
+and positions are found inside single buckets. What is found is exact wherever the buckets' bounds lie, so these may
+be estimates: a scalar subquery of the same plan, over the same counted values. Every step reads the one exchange of
+the counted values, so the input is computed once and no job runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -16,31 +16,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+STEPS = 8
+BUCKETS = 1 << STEPS
 
 
-def _counted_values(df: DataFrame, value: Column) -> DataFrame:
-    """(bucket, start, value, n): each distinct value once, NULL left out; start is near the bucket's values."""
-    kept = df.select(value.alias("value")).filter(F.col("value").isNotNull())
-    counted = kept.groupBy("value").agg(F.count("*").alias("n"))
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    # At most BUCKETS - 1 numbers come to the driver.
-    bounds = counted.agg(F.percentile_approx(F.col("value").cast("double"), shares, 20 * BUCKETS)).first()[0] or [0.0]
-    bounds = sorted({float(b) for b in bounds})
-    at = F.col("value").cast("double")
-    bucket = _by_bounds(at, bounds, [*range(len(bounds) + 1)])
-    start = _by_bounds(at, bounds, [*bounds, bounds[-1]])
-    return counted.select(bucket.alias("bucket"), start.alias("start"), "value", "n")
-
+def _counted_values(df: DataFrame, value: Column, whole_rows: bool = False) -> DataFrame:
+    """(bucket, start, value, n): each distinct value once, NULL left out; start is near the bucket's values.
 
-def _by_bounds(value: Column, bounds: Sequence[float], leaves: Sequence) -> Column:
-    """The leaf of the first bound that is not below the value, found by halving."""
-    if not bounds:
-        return F.lit(leaves[0])
-    mid = len(bounds) // 2
-    low = _by_bounds(value, bounds[:mid], leaves[: mid + 1])
-    high = _by_bounds(value, bounds[mid + 1 :], leaves[mid + 1 :])
-    return F.when(value <= bounds[mid], low).otherwise(high)
+    whole_rows: read all columns as well, so that what lies below the counting is the same as for the rows
+    themselves, and Spark computes it once for both.
+    """
+    measures = [F.count("*").alias("n")]
+    kept = df.select(value.alias("value"))
+    if whole_rows:
+        kept = df.select(value.alias("value"), F.xxhash64(*df.columns).alias("row"))
+        measures.append(F.max("row").alias("row"))
+    counted = kept.filter(F.col("value").isNotNull()).groupBy("value").agg(*measures)
+    if whole_rows:
+        counted = counted.filter(F.col("row").isNotNull()).drop("row")
+    at = F.col("value").cast("double")
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    # The count is named here as well: a column less would be another exchange.
+    bounds = counted.filter(F.col("n") > 0).agg(F.percentile_approx(at, shares, 20 * BUCKETS).alias("bounds")).scalar()
+    placed = counted.withColumn("bounds", bounds).withColumn("bucket", F.lit(0))
+    for step in reversed(range(STEPS)):  # how many bounds lie below the value, by halving
+        below = F.get("bounds", F.col("bucket") + ((1 << step) - 1)) < at
+        placed = placed.withColumn("bucket", F.col("bucket") + F.when(below, 1 << step).otherwise(0))
+    start = F.get("bounds", F.least("bucket", F.lit(BUCKETS - 2)))
+    return placed.select("bucket", start.alias("start"), "value", "n")
 
 
 def _quantiles(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
@@ -126,7 +129,7 @@ def _moments(counted: DataFrame) -> DataFrame:
 
 
 def describe_values(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, std, min, 25%, 50%, 75%, max as rows of (stat, value); the input is read once."""
+    """count, mean, std, min, 25%, 50%, 75%, max as rows of (stat, value); the input is computed once."""
     counted = _counted_values(df, F.col(column).cast("double"))
     stats = ["count", "mean", "std", "min", "max"]
     basics = _moments(counted).unpivot([], stats, "stat", "value")
@@ -139,9 +142,9 @@ def describe_values(df: DataFrame, column: str) -> DataFrame:
 def global_rank(df: DataFrame, metric: str, output: str) -> DataFrame:
     """Rank of every row by a metric, highest first, equal values sharing a rank (RANK without a partition).
 
-    NULL metrics get no rank.
+    NULL metrics get no rank. All columns of ``df`` are read for the ranks too, so give those that are wanted.
     """
-    counted = _counted_values(df, F.col(metric))
+    counted = _counted_values(df, F.col(metric), whole_rows=True)
     sized = counted.groupBy("bucket").agg(F.sum("n").alias("size"))
     higher = F.sum("size").over(W.orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1))
     placed = sized.select("bucket", F.coalesce(higher, F.lit(0)).alias("higher"))

@@ -99,7 +99,8 @@ def seller_features(seller_mart: DataFrame, items: DataFrame, orders: DataFrame)
         .groupBy("seller_id")
         .agg(F.count("customer_id").alias("unique_customers"))
     )
-    ranked = global_rank(seller_mart, "total_revenue", "revenue_rank")
+    wanted = seller_mart.select("seller_id", "total_revenue", "late_delivery_rate", "avg_review_score")
+    ranked = global_rank(wanted, "total_revenue", "revenue_rank")
     return ranked.join(buyers, "seller_id", "left").select(
         "seller_id",
         "total_revenue",
