@@ -7,6 +7,7 @@ Each query takes (spark, folder) and returns a lazy DataFrame, except the few wh
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -930,7 +931,7 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
         text.filter(status != "PROCESSING"),
         text.filter(status != "DELIVERED").withColumn("order_status", F.concat(F.lit("re"), status)),
     ]
-    spec = S.TableSpec("silver", "orders", ("order_id",), S.ORDERS.columns, kept=("order_estimated_delivery_date",))
+    spec = replace(S.ORDERS, kept=("order_estimated_delivery_date",))
 
     for rows in arrivals:
         rows.write.mode("append").options(

@@ -22,6 +22,7 @@ class TableSpec:
 
     ``kept``: columns that keep their first value when a row is merged again. ``sorted_by``: order of the rows
     inside each written file, so that a filter on these columns skips row groups by their minimum and maximum.
+    ``by_month``: the timestamp by whose month the table is kept, so that a merge writes only the months it changes.
     """
 
     layer: str
@@ -30,6 +31,7 @@ class TableSpec:
     columns: dict[str, str]
     kept: tuple[str, ...] = ()
     sorted_by: tuple[str, ...] = ()
+    by_month: str | None = None
     comments: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -107,6 +109,7 @@ ORDERS = TableSpec(
         "order_estimated_delivery_date": TS,
     },
     sorted_by=("order_purchase_timestamp",),
+    by_month="order_purchase_timestamp",
     comments={"order_status": "created, approved, invoiced, processing, shipped, delivered, unavailable or canceled."},
 )
 ORDER_ITEMS = TableSpec(
@@ -178,6 +181,7 @@ FACT_SALES_ITEMS = TableSpec(
     },
     kept=("order_id", "product_id", "seller_id", "seller_state", "customer_id", "customer_state"),
     sorted_by=("order_purchase_timestamp",),
+    by_month="order_purchase_timestamp",
     comments={
         "order_item_key": "order_id-order_item_id.",
         "payment_type": "Type of the order's largest payment.",
@@ -224,6 +228,7 @@ FACT_ORDER_FULFILLMENT = TableSpec(
         "processing_days",
     ),
     sorted_by=("order_purchase_timestamp",),
+    by_month="order_purchase_timestamp",
     comments={"seller_id": "Seller of the order's most expensive item.", "review_score": "Rounded mean of 1 to 5."},
 )
 MART_CUSTOMER = TableSpec(

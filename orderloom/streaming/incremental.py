@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.operators.dedupe import dedupe_first
-from orderloom.operators.merge import merge_upsert
+from orderloom.plans.upsert import merge_into
 from orderloom.schemas import TableSpec
 from orderloom.sources.bronze import CSV_OPTIONS, missing_to_null
 from orderloom.sources.store import TableStore
@@ -85,11 +85,7 @@ def merge_changes(spark: SparkSession, store: TableStore, spec: TableSpec, folde
             continue
         own = staged.filter((F.col(STREAM) == row[STREAM]) & (F.col(BATCH) > mark))
         last = dedupe_first(own, spec.keys, [F.col(BATCH).desc()]).select(*spec.columns)
-        if store.exists(spec.layer, spec.name):
-            last = merge_upsert(
-                store.read(spec.layer, spec.name), last, spec.keys, spec.update_cols, source_is_unique=True
-            )
-        store.publish(last, spec.layer, spec.name, mark=int(row["newest"]), marked_by=row[STREAM])
+        merge_into(store, spec, last, spec.update_cols, unique=True, mark=int(row["newest"]), marked_by=row[STREAM])
         merged = True
     return merged
 
