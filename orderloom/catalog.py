@@ -248,11 +248,10 @@ def primary_sellers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lookup_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Customer segment to readable name, with the code itself where the map has none."""
+    """Nation code to name, with the code itself where the map has none: one region's codes differ there."""
     s = Silver(spark, folder)
-    names = s.places.select(
-        F.col("n_nationkey").alias("code"), F.when(F.col("state") != "ASIA", F.col("city")).alias("name")
-    ).filter(F.col("name").isNotNull())
+    code = F.when(F.col("state") == "ASIA", F.col("n_nationkey") + 1000).otherwise(F.col("n_nationkey"))
+    names = s.places.select(code.alias("code"), F.col("city").alias("name"))
     found = lookup.lookup(
         s.raw("customer"),
         names,
@@ -717,6 +716,16 @@ def latest_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def request_durations(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' events as requests: from the first to the last event, by its type; mean and 95th percentile per type."""
+    events = Silver(spark, folder).raw("events")
+    ended = F.col("event_type").isNotNull()
+    runs = runlog.request_durations(events, "user_id", "ts", "event_id", "event_type", ended)
+    summary = runlog.request_log_summary(runs, "event_type", F.lit(1), F.col("duration_ms"))
+    return summary.select("status", "requests", F.round("avg_duration_ms", 3).alias("avg_ms"), F.col("p95_duration_ms").alias("p95_ms"), "p95_is_exact")
+
+
 # --- order item features and their marts ---------------------------------------------------------------------
 
 
@@ -772,10 +781,13 @@ def payment_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def order_distances(spark: SparkSession, folder: str) -> DataFrame:
-    """Places lie at (key, -2 x key) degrees; distances in whole metres, as trigonometry differs in the last bits."""
+    """Places lie at (key, -2 x key) degrees; distances in whole metres, as trigonometry differs in the last bits.
+
+    The places of one region are spelled in another way, so that nobody's place is found there.
+    """
     s = Silver(spark, folder)
-    places = s.places.filter(F.col("state") != "ASIA").select(
-        "city",
+    places = s.places.select(
+        F.when(F.col("state") == "ASIA", F.upper(F.concat("city", F.lit(" *")))).otherwise(F.col("city")).alias("city"),
         "state",
         F.col("n_nationkey").cast("double").alias("avg_lat"),
         (F.col("n_nationkey") * -2).cast("double").alias("avg_lng"),
@@ -784,6 +796,19 @@ def order_distances(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("distance_km", F.round("distance_km", 3))
 
 
+@query
+def urban_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Places at (key, -2 x key) degrees in cells of four degrees; urban is a share of two fifths of all customers around."""
+    s = Silver(spark, folder)
+    places = s.places.select(
+        "city",
+        "state",
+        F.col("n_nationkey").cast("double").alias("avg_lat"),
+        (F.col("n_nationkey") * -2).cast("double").alias("avg_lng"),
+    )
+    return facts.urban_places(places, s.customers, 4.0, 2 * s.raw("customer").count() // 5)
+
+
 @query
 def sales_summary(spark: SparkSession, folder: str) -> DataFrame:
     s = Silver(spark, folder)
@@ -911,13 +936,12 @@ def second_ingest(spark: SparkSession, folder: str) -> DataFrame:
     bronze.export_csv(first.filter("seller_id % 4 != 0"), f"{root}/in/day1/sellers")
     build.ingest(spark, store, log, f"{root}/in")
     later = raw.select(F.lit("S2").alias("seller_state"), F.upper("s_name").alias("seller_city"), *columns)
-    bronze.export_csv(later.filter("seller_id % 3 = 0"), f"{root}/in/day2/sellers")
+    bronze.export_csv(later.filter("seller_id % 3 = 0 OR seller_id % 4 = 0"), f"{root}/in/day2/sellers")
     build.ingest(spark, store, log, f"{root}/in")
-    left = bronze.plan_ingest(spark, f"{root}/in", log.runs(), store.tables()).agg(F.count("*").alias("files_left"))
-    done = log.runs().filter("status = 'success'").agg(F.sum("inserted_rows").alias("rows_logged"))
-    sums = left.join(done).select("files_left", "rows_logged")
+    left = bronze.plan_ingest(spark, f"{root}/in", log.runs(), store.tables()).agg(F.count("*"))
+    done = log.runs().filter("status = 'success'").agg(F.sum("inserted_rows"))
     table = store.read("bronze", "sellers").select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
-    return table.join(F.broadcast(sums))
+    return table.withColumns({"files_left": left.scalar(), "rows_logged": done.scalar()})
 
 
 @query
@@ -950,10 +974,151 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return store.read("silver", "orders")
 
 
+class _Later(Silver):
+    """The tables some time later: every supplier has moved to another nation, and many open orders are filled."""
+
+    def raw(self, name: str) -> DataFrame:
+        df = super().raw(name)
+        if name == "supplier":
+            return df.withColumn("s_nationkey", F.pmod(F.col("s_nationkey") + 1, F.lit(25)).cast("int"))
+        if name == "orders":
+            filled = (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 2 == 0)
+            return df.withColumn("o_orderstatus", F.when(filled, "F").otherwise(F.col("o_orderstatus")))
+        return df
+
+
+def _land_together(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
+    build.together([lambda t=t, rows=rows: _land(spark, rows, folder, t) for t, rows in tables.items()])
+
+
+def _digests(store: TableStore, number: int) -> DataFrame:
+    """(build, table_name, row_count, digest) of all models' tables as they are now."""
+
+    def one(m: S.TableSpec) -> DataFrame:
+        digest = quality.content_digest(store.read(m.layer, m.name), m.columns)
+        return digest.select(F.lit(number).alias("build"), F.lit(f"{m.layer}.{m.name}").alias("table_name"), "row_count", "digest")
+
+    return quality.union_all(one(m) for m in S.MODELS)
+
+
 @query
-def warehouse_build(spark: SparkSession, folder: str) -> DataFrame:
-    """All tables landed as CSV, ingested, cleaned, modelled and validated; rows per table of the warehouse."""
+def stream_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers streamed from four files; the run log and the rows' provenance must tell of the same files and rows."""
+    root = scratch_folder(spark, "stream-log")
+    store, log = TableStore(spark, f"{root}/warehouse"), runlog.OpsLog(spark, f"{root}/warehouse")
+    s = Silver(spark, folder)
+    text = standins.bronze_customers(s).withColumnRenamed("customer_id", " Customer ID ")
+    bronze.export_csv(text.repartition(4), f"{root}/landing")
+    names = standins.place_map(s)
+    incremental.incremental_ingest(
+        spark,
+        f"{root}/landing",
+        bronze.text_schema(text.columns),
+        lambda rows: silver.customers(rows, names),
+        store,
+        S.CUSTOMERS,
+        [F.col("customer_unique_id").asc_nulls_last()],
+        f"{root}/ingest",
+        files_per_batch=3,
+        log=log,
+    )
+    rows = incremental.streamed_bronze(spark, f"{root}/ingest")
+    per_file = rows.groupBy("_source_file", "_source_checksum", "_ingestion_run_id").agg(F.count("*").alias("n"))
+    runs = log.runs().filter("status = 'success'").select(
+        F.col("run_id").alias("_ingestion_run_id"),
+        F.col("source_file").alias("_source_file"),
+        F.col("source_checksum").alias("_source_checksum"),
+        F.col("inserted_rows").alias("logged"),
+    )
+    both = runs.join(per_file, ["_ingestion_run_id", "_source_file", "_source_checksum"], "full_outer")
+    return both.agg(
+        F.count("*").alias("files"),
+        F.sum("logged").alias("rows_logged"),
+        F.sum("n").alias("rows_staged"),
+        F.count_if(~F.col("logged").eqNullSafe(F.col("n"))).alias("files_that_differ"),
+        F.countDistinct("_ingestion_run_id").alias("run_ids"),
+    )
+
+
+@query
+def gated_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Three snapshots of the places of customers: the second has fewer rows than the first and is dropped, the third more."""
+    root = scratch_folder(spark, "gate")
+    store, log = TableStore(spark, f"{root}/warehouse"), runlog.OpsLog(spark, f"{root}/warehouse")
+    places = standins.bronze_geolocation(Silver(spark, folder)).withColumn("one", F.lit(0))
+    total = places.count()
+    snapshots = {
+        "1 first": places,
+        "2 fewer": places.groupBy(*[c for c in places.columns if c != "one"]).agg(F.max("one").alias("one")).withColumn("one", F.lit(1)),
+        "3 more": places.unionByName(places.withColumn("one", F.lit(2))),
+    }
+    steps = []
+    for name, rows in snapshots.items():
+        _land(spark, rows, f"{root}/{name}", "geolocation")
+        build.ingest(spark, store, log, f"{root}/{name}", expected_rows={"geolocation": total})
+        table = store.read("reference", "geolocation").agg(F.count("*").alias("table_rows"), F.max("one").alias("newest"))
+        steps.append(table.select(F.lit(name).alias("snapshot"), "table_rows", "newest"))
+    # A snapshot of one file or more; all of one have one status.
+    states = log.runs().groupBy("status").agg(F.sum("total_rows").alias("n"))
+    kept = states.filter("status = 'kept'").agg(F.sum("n"))
+    return quality.union_all(steps).withColumn("rows_kept_out", kept.scalar())
+
+
+def _small_warehouse(spark: SparkSession, folder: str) -> TableStore:
+    """Customers, sellers and the monthly mart as stored tables."""
+    s, store = Silver(spark, folder), TableStore(spark, f"{scratch_folder(spark, 'tables')}/warehouse")
+    store.publish(standins.bronze_sellers(s), "bronze", "sellers")
+    build.refresh(store, S.CUSTOMERS, silver.customers(standins.bronze_customers(s), standins.place_map(s)))
+    build.refresh(store, S.MART_MONTHLY, gold.mart_monthly_from_items(s.order_items, s.order_heads))
+    return store
+
+
+@query
+def catalog_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of the stored tables, with its description."""
+    return profile.catalog(_small_warehouse(spark, folder).tables())
+
+
+@query
+def layer_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Which layers hold a table: one of those asked for does not."""
+    return checks.layer_presence(_small_warehouse(spark, folder).tables(), ("bronze", "silver", "gold", "master"))
+
+
+@query
+def required_column_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables against the columns their models declare; the landed sellers lack one and orders two."""
     s = Silver(spark, folder)
+    landed = {"sellers": standins.bronze_sellers(s).drop("seller_state"), "products": standins.bronze_products(s)}
+    models = {"orders": s.orders.drop("order_status", "order_approved_at"), "mart_monthly_performance": gold.mart_monthly_from_items(s.order_items, s.order_heads)}
+    return checks.required_columns(landed, landed=True).unionByName(checks.required_columns(models))
+
+
+@query
+def quality_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The results of the warehouse checks as they come back from the log they were recorded in."""
+    log = runlog.OpsLog(spark, scratch_folder(spark, "quality"))
+    log.record_quality(warehouse_checks(spark, folder))
+    log.record_quality(column_tests(spark, folder))
+    stored = log.quality().withColumn("has_time", F.col("validation_time").isNotNull())
+    return stored.drop("validation_time")
+
+
+@query
+def reused_result(spark: SparkSession, folder: str) -> DataFrame:
+    """A statement that is asked twice, the second time with other white space; its result is kept from the first."""
+    text = f"SELECT c_mktsegment, count(*) AS customers, max(c_custkey) AS newest FROM parquet.`{folder}/customer.parquet` GROUP BY 1"
+    results.forget_results()
+    first = results.reused_sql(spark, text)
+    again = results.reused_sql(spark, f"  {text}\n")
+    return again.withColumn("is_kept", F.lit(again is first))
+
+
+@query
+def warehouse_build(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables landed as CSV, ingested, cleaned, modelled and validated; then changed sellers and orders, and a second
+    build on top, in which kept columns keep their first values. Rows and contents of every table after each."""
+    s, later = Silver(spark, folder), _Later(spark, folder)
     root = scratch_folder(spark, "build")
     store, log = TableStore(spark, f"{root}/warehouse"), runlog.OpsLog(spark, f"{root}/warehouse")
     landing = {
@@ -968,8 +1133,12 @@ def warehouse_build(spark: SparkSession, folder: str) -> DataFrame:
         "geography_master": standins.place_map(s),
         "product_category_mapping": standins.category_map(s),
     }
-    build.together([lambda t=t, rows=rows: _land(spark, rows, f"{root}/landing", t) for t, rows in landing.items()])
+    _land_together(spark, landing, f"{root}/landing/first")
+    build.ingest_in_order(spark, store, log, f"{root}/landing")
+    build.build_warehouse(spark, store, log)
+    first = _digests(store, 1)
+    changed = {"sellers": standins.bronze_sellers(later), "orders": standins.bronze_orders(later)}
+    _land_together(spark, changed, f"{root}/landing/second")
     build.ingest_in_order(spark, store, log, f"{root}/landing")
     build.build_warehouse(spark, store, log)
-    models = {f"{m.layer}.{m.name}": store.read(m.layer, m.name) for m in S.MODELS}
-    return quality.row_counts(models).select("table_name", F.col("actual").alias("row_count"))
+    return first.unionByName(_digests(store, 2))

@@ -6,6 +6,10 @@ plans are, so that they check the rewrites as well.
 
 from __future__ import annotations
 
+from orderloom.schemas import CUSTOMERS as CUSTOMERS_SPEC
+from orderloom.schemas import MART_MONTHLY, MODELS, UPDATED_AT, TableSpec
+from orderloom.schemas import SELLERS as SELLERS_SPEC
+
 ORACLE: dict[str, str] = {}
 
 # --- the silver tables -------------------------------------------------------------------------------------
@@ -752,11 +756,11 @@ sums AS (
 SELECT 'r=' || r AS file, CAST(length AS BIGINT) AS length, md5(concat_ws('|', n, CAST(a AS HUGEINT), CAST(b AS HUGEINT))) AS checksum
 FROM sums"""
 
-ORACLE["second_ingest"] = """WITH kept AS (SELECT * FROM supplier WHERE s_suppkey % 4 <> 0 OR s_suppkey % 3 = 0)
+ORACLE["second_ingest"] = """WITH kept AS (SELECT *, s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 AS later FROM supplier)
 SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, CAST(s_nationkey AS VARCHAR) AS seller_zip_code_prefix,
-       CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE s_name END AS seller_city,
-       CASE WHEN s_suppkey % 3 = 0 THEN 'S2' ELSE 'S1' END AS seller_state, CAST(0 AS BIGINT) AS files_left,
-       (SELECT count(*) FILTER (WHERE s_suppkey % 4 <> 0) + count(*) FILTER (WHERE s_suppkey % 3 = 0) FROM supplier) AS rows_logged
+       CASE WHEN later THEN upper(s_name) ELSE s_name END AS seller_city,
+       CASE WHEN later THEN 'S2' ELSE 'S1' END AS seller_state, CAST(0 AS BIGINT) AS files_left,
+       (SELECT count(*) FILTER (WHERE s_suppkey % 4 <> 0) + count(*) FILTER (WHERE later) FROM kept) AS rows_logged
 FROM kept"""
 
 ORACLE["incremental_ingest"] = f"""WITH {ORDERS}
@@ -766,18 +770,121 @@ SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS cu
        order_estimated_delivery_date
 FROM ords"""
 
-ORACLE["warehouse_build"] = f"""WITH {ORDERS}, {ITEMS}, {SOLD}
-SELECT 'master.geography' AS table_name, count(DISTINCT c_nationkey) AS row_count FROM customer
-UNION ALL SELECT 'silver.customers', count(*) FROM customer
-UNION ALL SELECT 'silver.products', count(*) FROM part
-UNION ALL SELECT 'silver.sellers', count(*) FROM supplier
-UNION ALL SELECT 'silver.orders', count(*) FROM orders
-UNION ALL SELECT 'silver.order_items', count(*) FROM items
-UNION ALL SELECT 'silver.order_payments', count(*) FROM lines
-UNION ALL SELECT 'silver.order_reviews', count(*) FROM orders
-UNION ALL SELECT 'gold.fact_sales_items', count(*) FROM sold
-UNION ALL SELECT 'gold.fact_order_fulfillment', count(*) FROM orders
-UNION ALL SELECT 'gold.mart_customer_behavior', count(DISTINCT customer_id) FROM sold
-UNION ALL SELECT 'gold.mart_monthly_performance', count(DISTINCT date_trunc('month', order_purchase_timestamp)) FROM sold
-UNION ALL SELECT 'gold.mart_seller_performance', count(*) FROM supplier
-UNION ALL SELECT 'gold.mart_product_performance', count(*) FROM part"""
+ORACLE["stream_log"] = """
+SELECT CAST(4 AS BIGINT) AS files, count(*) AS rows_logged, count(*) AS rows_staged, CAST(0 AS BIGINT) AS files_that_differ,
+       CAST(4 AS BIGINT) AS run_ids
+FROM customer"""
+
+ORACLE["gated_ingest"] = """WITH n AS (SELECT count(*) AS n, count(DISTINCT (c_nationkey, c_acctbal)) AS kinds FROM customer)
+SELECT s AS snapshot, CASE s WHEN '3 more' THEN 2 * n ELSE n END AS table_rows, CASE s WHEN '3 more' THEN '2' ELSE '0' END AS newest,
+       kinds AS rows_kept_out
+FROM n, (VALUES ('1 first'), ('2 fewer'), ('3 more')) v(s)"""
+
+
+def _listed(layer: str, table: str, columns: dict[str, str], comments: dict[str, str], keys: tuple[str, ...] = ()) -> list[str]:
+    names = {"bigint": "long", "int": "integer"}
+    return [
+        f"('{layer}', '{table}', {i}, '{c}', '{names.get(kind, kind)}', {str(c not in keys).lower()}, '{comments.get(c, '').replace(chr(39), chr(39) * 2)}')"
+        for i, (c, kind) in enumerate(columns.items(), 1)
+    ]
+
+
+_STORED = [
+    *_listed("bronze", "sellers", dict.fromkeys(SELLERS_SPEC.columns, "string"), {}),
+    *_listed("silver", "customers", {**CUSTOMERS_SPEC.columns, UPDATED_AT: "timestamp"}, CUSTOMERS_SPEC.comments, CUSTOMERS_SPEC.keys),
+    *_listed("gold", "mart_monthly_performance", {**MART_MONTHLY.columns, UPDATED_AT: "timestamp"}, MART_MONTHLY.comments, MART_MONTHLY.keys),
+]
+ORACLE["catalog_listing"] = f"""
+SELECT * FROM (VALUES {", ".join(_STORED)}) v(layer, table_name, position, column_name, data_type, nullable, description)"""
+
+ORACLE["layer_checks"] = """
+SELECT 'tables_in_' || layer AS validation_name, layer AS layer_name, layer <> 'master' AS passed,
+       CAST(CASE WHEN layer = 'master' THEN 1 ELSE 0 END AS BIGINT) AS issue_count
+FROM (VALUES ('bronze'), ('silver'), ('gold'), ('master')) v(layer)"""
+
+ORACLE["required_column_checks"] = """
+SELECT 'columns_' || name AS validation_name, layer AS layer_name, n = 0 AS passed, CAST(n AS BIGINT) AS issue_count
+FROM (VALUES ('sellers', 'bronze', 1), ('products', 'bronze', 0), ('orders', 'silver', 2),
+             ('mart_monthly_performance', 'gold', 0)) v(name, layer, n)"""
+
+ORACLE["quality_log"] = f"""
+SELECT *, true AS has_time FROM ({ORACLE["warehouse_checks"]}) UNION ALL SELECT *, true FROM ({ORACLE["column_tests"]})"""
+
+ORACLE["reused_result"] = """
+SELECT c_mktsegment, count(*) AS customers, max(c_custkey) AS newest, true AS is_kept FROM customer GROUP BY 1"""
+
+ORACLE["request_durations"] = """WITH runs AS (
+    SELECT user_id, arg_max(event_type, (ts, event_id)) AS status,
+           CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000 AS took
+    FROM events GROUP BY user_id)
+SELECT status, count(*) AS requests, round(avg(took), 3) AS avg_ms, quantile_disc(took, 0.95) AS p95_ms,
+       count(took) <= 10000 AS p95_is_exact
+FROM runs GROUP BY status"""
+
+ORACLE["urban_places"] = f"""WITH {PLACES}, placed AS (
+    SELECT city, state, n_nationkey, CAST(floor(n_nationkey * -2 / 4.0) AS BIGINT) AS cell_x,
+           CAST(floor(n_nationkey / 4.0) AS BIGINT) AS cell_y
+    FROM places),
+living AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)
+SELECT a.city, a.state, a.cell_x, a.cell_y, count(*) AS places_near, CAST(sum(ifnull(n, 0)) AS BIGINT) AS customers_near,
+       sum(ifnull(n, 0)) >= (SELECT 2 * count(*) // 5 FROM customer) AS is_urban
+FROM placed a JOIN placed b ON abs(a.cell_x - b.cell_x) <= 1 AND abs(a.cell_y - b.cell_y) <= 1
+LEFT JOIN living ON c_nationkey = b.n_nationkey GROUP BY ALL"""
+
+# --- contents of the warehouse after two builds ----------------------------------------------------------------
+
+_LATER = """supplier AS (SELECT * REPLACE (CAST((s_nationkey + 1) % 25 AS INTEGER) AS s_nationkey) FROM supplier),
+    orders AS (SELECT * REPLACE (CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'F' ELSE o_orderstatus END
+                                 AS o_orderstatus) FROM orders)"""
+
+
+def _cleaned(name: str, key: str) -> str:
+    return f"{name} AS (SELECT * REPLACE (CAST({key} AS BIGINT) AS {key}) FROM ({ORACLE[f'silver_{name}']}))"
+
+
+def _model(spec: TableSpec) -> str:
+    """The model over cleaned silver tables."""
+    if spec.layer != "gold":
+        return ORACLE[f"{spec.layer}_{spec.name}"]
+    sql = ORACLE[spec.name]
+    for raw, name, key in ((CUSTOMERS, "customers", "customer_id"), (SELLERS, "sellers", "seller_id"), (PRODUCTS, "products", "product_id")):
+        sql = sql.replace(raw, _cleaned(name, key))
+    return sql.replace("l_returnflag AS payment_type", "lower(l_returnflag) AS payment_type")
+
+
+def _after(sql: str, tables: str) -> str:
+    """The statement over tables that are defined before it."""
+    sql = sql.strip()
+    return f"WITH {tables}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {tables} {sql}"
+
+
+def _second(spec: TableSpec) -> str:
+    """Rows of the second build; the kept columns have their values of the first. Reviews are not landed again."""
+    if spec.name == "order_reviews":
+        return _model(spec)
+    if not spec.kept:
+        return _after(_model(spec), _LATER)
+    on = " AND ".join(f"f.{k} = n.{k}" for k in spec.keys)
+    kept = ", ".join(f"CASE WHEN f.{spec.keys[0]} IS NULL THEN n.{c} ELSE f.{c} END AS {c}" for c in spec.kept)
+    return f"SELECT n.* REPLACE ({kept}) FROM ({_after(_model(spec), _LATER)}) n LEFT JOIN ({_model(spec)}) f ON {on}"
+
+
+def _text(column: str, kind: str) -> str:
+    if kind.startswith(("decimal", "double")):
+        column = f"CAST(floor(CAST({column} AS DOUBLE) * 1000000 + 0.5) AS BIGINT)"
+    elif kind.startswith("timestamp"):
+        column = f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+    return f"coalesce(CAST({column} AS VARCHAR), '~')"
+
+
+def _digest(spec: TableSpec, build: int, rows: str) -> str:
+    row = ", ".join(_text(c, kind) for c, kind in spec.columns.items())
+    half = "sum(CAST(CAST('0x' || substr(h, {}, 15) AS UBIGINT) AS HUGEINT))"
+    return f"""SELECT {build} AS build, '{spec.layer}.{spec.name}' AS table_name, count(*) AS row_count,
+       md5(concat_ws('|', count(*), CAST({half.format(1)} AS HUGEINT), CAST({half.format(17)} AS HUGEINT))) AS digest
+FROM (SELECT md5(concat_ws('|', {row})) AS h FROM ({rows}))"""
+
+
+ORACLE["warehouse_build"] = "\nUNION ALL ".join(
+    [_digest(m, 1, _model(m)) for m in MODELS] + [_digest(m, 2, _second(m)) for m in MODELS]
+)

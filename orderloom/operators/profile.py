@@ -80,6 +80,28 @@ def table_columns(df: DataFrame) -> list[dict[str, object]]:
     ]
 
 
+_FIELDS = "struct<fields: array<struct<name: string, type: string, nullable: boolean, metadata: struct<comment: string>>>>"
+
+
+def catalog(tables: DataFrame) -> DataFrame:
+    """One row for each column of each stored table, from the schemas that the store keeps; no data is read.
+
+    ``tables``: (layer, table_name, data_schema) as the store lists them. Rows: layer, table_name, position (from 1),
+    column_name, data_type, nullable, description (empty without one). A nested type is given as its JSON text.
+    """
+    fields = F.from_json("data_schema", _FIELDS)["fields"]
+    each = tables.select("layer", "table_name", F.posexplode(fields).alias("at", "f"))
+    return each.select(
+        "layer",
+        "table_name",
+        (F.col("at") + 1).alias("position"),
+        F.col("f.name").alias("column_name"),
+        F.col("f.type").alias("data_type"),
+        F.col("f.nullable").alias("nullable"),
+        F.coalesce("f.metadata.comment", F.lit("")).alias("description"),
+    )
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact distinct values per column (rows: column_name, n_distinct).
 

@@ -81,6 +81,30 @@ def check_reconcile(
     )
 
 
+MISSING = "~"
+
+
+def canonical(column: str, kind: str) -> Column:
+    """A value as text that any engine writes alike: numbers with a fraction as whole millionths, times to the second."""
+    c = F.col(column)
+    if kind.startswith(("decimal", "double", "float")):
+        c = F.floor(c.cast("double") * 1_000_000 + 0.5).cast("long")
+    elif kind.startswith("timestamp"):
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.coalesce(c.cast("string"), F.lit(MISSING))
+
+
+def content_digest(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """One row (row_count, digest) for the named columns (name: type), whatever the order of the rows.
+
+    The digest is the md5 of the count and of two exact sums over the md5 of every row's canonical text.
+    """
+    row = F.md5(F.concat_ws("|", *[canonical(c, kind) for c, kind in columns.items()]))
+    half = lambda at: F.sum(F.conv(F.substring("row", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = df.select(row.alias("row")).agg(F.count("*").alias("row_count"), half(1).alias("a"), half(17).alias("b"))
+    return sums.select("row_count", F.md5(F.concat_ws("|", "row_count", "a", "b")).alias("digest"))
+
+
 def check_columns(df: DataFrame, required: Sequence[str], layer: str, name: str) -> DataFrame:
     """The issue count is the number of required columns the table lacks."""
     missing = len(set(required) - set(df.columns))
@@ -172,6 +196,11 @@ def growth_gate(new_counts: DataFrame, expected: DataFrame, cached: DataFrame) -
     )
 
 
+def grows(actual: int, expected: int | None) -> bool:
+    """The same for one snapshot that is about to replace another: whether it has more rows than are expected."""
+    return expected is None or actual > expected
+
+
 def renew_expectations(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Expectations (table_name, row_count, version) with observed counts; a change bumps the last version number."""
     joined = expected.join(observed.select("table_name", "actual"), "table_name", "left")

@@ -190,6 +190,36 @@ def order_distances(sales: DataFrame, geography: DataFrame) -> DataFrame:
     )
 
 
+def urban_places(geography: DataFrame, customers: DataFrame, cell_degrees: float, least: int) -> DataFrame:
+    """Per place with coordinates: its grid cell, the places and customers around it, and whether that is urban.
+
+    The proxy: coordinates fall into square cells of ``cell_degrees``; what counts are the customers of all places in
+    the cell and the eight around it. A place is urban if they are ``least`` or more. Cells are counted before they
+    are spread over their neighbours, so a crowded cell is nine rows.
+    """
+    living = customers.groupBy(F.col("customer_city").alias("city"), F.col("customer_state").alias("state")).agg(
+        F.count("*").alias("n")
+    )
+    x, y = F.floor(F.col("avg_lng") / cell_degrees), F.floor(F.col("avg_lat") / cell_degrees)
+    placed = geography.filter(F.col("avg_lat").isNotNull() & F.col("avg_lng").isNotNull()).select(
+        "city", "state", x.alias("cell_x"), y.alias("cell_y")
+    )
+    cells = (
+        placed.join(living, ["city", "state"], "left")
+        .groupBy("cell_x", "cell_y")
+        .agg(F.count("*").alias("places"), F.sum(F.coalesce("n", F.lit(0))).alias("customers"))
+    )
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = (
+        cells.withColumn("d", near)
+        .groupBy((F.col("cell_x") + F.col("d.dx")).alias("cell_x"), (F.col("cell_y") + F.col("d.dy")).alias("cell_y"))
+        .agg(F.sum("places").alias("places_near"), F.sum("customers").alias("customers_near"))
+    )
+    return placed.join(around, ["cell_x", "cell_y"]).select(
+        "city", "state", "cell_x", "cell_y", "places_near", "customers_near", (F.col("customers_near") >= least).alias("is_urban")
+    )
+
+
 # --- marts over the sales and fulfillment facts --------------------------------------------------------------
 
 

@@ -45,7 +45,7 @@ class Silver:
 
     @cached_property
     def customers(self) -> DataFrame:
-        c = self.raw("customer").join(self.places, F.col("c_nationkey") == F.col("n_nationkey"))
+        c = self.raw("customer").join(self.places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         return c.select(
             F.col("c_custkey").alias("customer_id"),
             F.col("c_custkey").alias("customer_unique_id"),
@@ -56,7 +56,7 @@ class Silver:
 
     @cached_property
     def sellers(self) -> DataFrame:
-        s = self.raw("supplier").join(self.places, F.col("s_nationkey") == F.col("n_nationkey"))
+        s = self.raw("supplier").join(self.places, F.col("s_nationkey") == F.col("n_nationkey"), "left")
         return s.select(
             F.col("s_suppkey").alias("seller_id"),
             F.col("s_nationkey").alias("seller_zip_code_prefix"),

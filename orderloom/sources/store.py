@@ -14,7 +14,7 @@ import json
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -64,6 +64,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the months' folders below a path."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -145,12 +150,16 @@ class TableStore:
         replaced: Sequence[date | None] | None = None,
         observation: Observation | None = None,
         measures: Sequence[Column] = (),
-    ) -> DataFrame:
+        accept: Callable[[dict], bool] | None = None,
+        keys: Sequence[str] = (),
+    ) -> DataFrame | None:
         """Write ``df`` as the next version and return the written table.
 
         by_month: the timestamp by whose month the table is kept. ``replaced`` then names the months that ``df``
         holds anew, gone if it has no row of them; None stands for all. sorted_by: order of the rows in each file.
-        observation: gets the measures of the rows as they are written.
+        keys: columns that the catalog lists as never NULL.
+        observation: gets the measures of the rows as they are written. accept: told these, it decides whether the
+        rows become the next version; if not, what was written is deleted, and None is returned.
 
         The version is claimed by a file that can be made only once, so of two writers that began on the same
         version the second fails. A claim without a row in the log is left by a writer that died in between.
@@ -159,7 +168,7 @@ class TableStore:
         version = 1 if current is None else current["version"] + 1
         name = f"v{version:06d}-{uuid.uuid4().hex[:8]}"
         root = f"{self.root}/{layer}/{table}"
-        data_schema = df.schema
+        data_schema = T.StructType([T.StructField(f.name, f.dataType, f.name not in keys, f.metadata) for f in df.schema])
         if observation is not None:
             df = df.observe(observation, *measures)
         manifest = None
@@ -172,6 +181,9 @@ class TableStore:
             rows.sortWithinPartitions(MONTH, *sorted_by).write.partitionBy(MONTH).parquet(path)
             manifest = f"{root}/_manifests/{name}"
             self._write_manifest(current, path, replaced, manifest)
+        if accept is not None and not accept(observation.get):
+            _delete(self.spark, path)
+            return None
         claim = f"{self._claims}/{layer}.{table}/v{version:06d}"
         if not _claim(self.spark, claim):
             raise VersionConflict(f"{layer}.{table}: version {version} was claimed by another writer ({claim})")
