@@ -1,24 +1,25 @@
 """Phrases that stand together: counts from suffix subtrees that are built prefix group by prefix group.
 
 Texts are split into pieces and those into words; a suffix is cut off at its piece's end and at ``LONGEST`` words. The
-suffix tree of a language is never built as a whole. Prefixes are extended word by word while more than ``BUDGET``
-suffixes begin with them; the prefixes then fall to tasks, where neighbouring ones share a group up to the budget, and
-each group's subtree is built alone, from its sorted suffixes: where the first d words change, a node of depth d ends,
-and the total over its leaves is its phrase's count. Nodes above a group's prefix have leaves in several groups; their
-totals are added up.
+suffix tree of a language is never built as a whole. A prefix of one word is extended by further words while more than
+``BUDGET`` suffixes begin with it; the prefixes then fall to as many groups as hold ``BUDGET`` suffixes each. Every task
+counts the suffixes of its texts and hands them on in one block a group, and each group's subtree is built alone, from
+its sorted suffixes: where the first d words change, a node of depth d ends, and the total over its leaves is its
+phrase's count. Nodes above a group's prefix have leaves in several groups; their totals are added up.
 
 A phrase counts only if it occurs ``LEAST`` times, and then so do its parts. Words, and shorter phrases up to
 ``FILTERED`` words by their hashes, are therefore counted first, and suffixes are cut where they cannot be part of
-such a phrase. That is a bit map of fixed size, 2^MAP_BITS bits for each length: a bit set by another phrase costs
-work and changes no count, since suffixes are strings from there on.
+such a phrase; the same counts tell which prefixes are extended. Both go to the tasks as bit maps of fixed size,
+2^MAP_BITS bits for each length: a bit set by another phrase costs work, or splits a prefix that could be whole, and
+changes no count, since suffixes are strings from there on.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import BROADCAST_CELLS, as_bytes, stretches, written
+from orderloom.llm.common import as_bytes, lengths_to_offsets, stretches, written
 
 LONGEST = 5
 LEAST = 100
 SHARE = 100  # a longer phrase with this percentage of a phrase's count takes its place
 TOP = 2000
-BUDGET = 100_000
+BUDGET = 250_000
 FILTERED = 3
 MAP_BITS = 26
 HELD = 200_000  # entries that a task counts before it hands them on
@@ -121,14 +122,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _bit_map(hashes: DataFrame) -> np.ndarray:
-    """2^MAP_BITS bits, one set for each hash; 2^MAP_BITS / 64 numbers come to the driver at most."""
+def _bit_maps(counted: DataFrame, least: int, budget: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of (h, n): bits of the hashes that occur ``least`` times, of those above the budget, and the former's sum of n.
+
+    2^MAP_BITS / 64 rows of three numbers come to the driver at most.
+    """
     place = F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    rows = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
+    heavy = F.when(F.col("n") > budget, bit).otherwise(F.lit(0).cast("long"))
+    grouped = counted.filter(F.col("n") >= least).groupBy(F.shiftright(place, 6).alias("word"))
+    rows = grouped.agg(F.bit_or(bit).alias("bits"), F.bit_or(heavy).alias("heavy"), F.sum("n").alias("n")).toArrow()
+    out = []
+    for name in ("bits", "heavy"):
+        own = np.zeros(1 << (MAP_BITS - 6), np.int64)
+        own[rows["word"].to_numpy()] = rows[name].to_numpy()
+        out.append(own.view(np.uint64))
+    return *out, int(rows["n"].to_numpy().sum())
 
 
 def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -137,16 +146,16 @@ def _set(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Filters:
-    """maps[k - 1]: the bit map of phrases of k words."""
+    """maps[k - 1]: the bit map of frequent phrases of k words; heavy[k - 1]: of those with too many suffixes."""
 
-    def __init__(self, maps: list[np.ndarray]):
-        self.maps = maps
+    def __init__(self, maps: list[np.ndarray], heavy: list[np.ndarray], held: int):
+        self.maps, self.heavy, self.held = maps, heavy, held
         self.known: dict[str, dict[bytes, int]] = {}
 
     def words(self, language: str, some: list[bytes]) -> np.ndarray:
         """Hashes of the tokens; 0 for a break and a word that is not frequent."""
         known = self.known.setdefault(language, {})
-        if sum(map(len, self.known.values())) > HELD:
+        if sum(map(len, self.known.values())) > self.held:
             self.known = {language: (known := {})}
         new = [w for w in set(some) if w not in known]
         if new:
@@ -170,6 +179,21 @@ class Filters:
                 good[places] = _set(self.maps[k - 1], h[places])
             yield h, tried, good
 
+    def suffixes(self, language: str, some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: words of the suffix there that may be part of one phrase, and its prefix: words and hash."""
+        words = self.words(language, some)
+        length, prefix = (words != 0).astype(np.int64), words.copy()
+        depth = np.ones(len(some), np.uint8)
+        deeper = (words != 0) & _set(self.heavy[0], _mixed(words))
+        for k, (h, _, good) in enumerate(self.passing(language, some, LONGEST), 2):
+            length[: len(good)] += good
+            longer = np.flatnonzero(deeper[: len(good)] & good)
+            prefix[longer] = h[longer]
+            depth[deeper] = k  # also of a suffix that ends here, since others go on
+            deeper = np.zeros(len(some), bool)
+            deeper[longer] = _set(self.heavy[k - 1], h[longer]) if k <= len(self.heavy) else True
+        return length, depth, prefix
+
 
 def _phrase_hashes(texts: DataFrame, maps: list[np.ndarray], size: int) -> DataFrame:
     """(h, n): hashes of the phrases of this size whose parts pass."""
@@ -180,7 +204,7 @@ def _phrase_hashes(texts: DataFrame, maps: list[np.ndarray], size: int) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, held, room = Filters(maps), [], 0
+        filters, held, room = Filters(maps, [], most), [], 0
         for language, some, n in parts(batches, part):
             for h, tried, _ in filters.passing(language, some, size):
                 pass
@@ -196,124 +220,119 @@ def _phrase_hashes(texts: DataFrame, maps: list[np.ndarray], size: int) -> DataF
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def filters_of(texts: DataFrame, words: DataFrame, least: int, filtered: int = FILTERED) -> list[np.ndarray]:
-    """Bit maps of the frequent words, and of the frequent phrases of 2 to ``filtered`` words by hash."""
+def filters_of(
+    texts: DataFrame, words: DataFrame, least: int, budget: int, filtered: int = FILTERED
+) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """The bit maps of words and of phrases of 2 to ``filtered`` words, the heavy ones, and how many suffixes there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("lang").to_pylist(), as_bytes(batch.column("word")))
             h = _mixed(np.array([_word_hash(language, w) for language, w in pairs], np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("n")], ["h", "n"])
+
+    counted = words.select("lang", "word", "n").mapInArrow(run, "h long, n long")
+    maps, heavy, suffixes = [], [], 0
+    for size in range(1, filtered + 1):
+        bits, above, n = _bit_maps(_phrase_hashes(texts, maps, size) if size > 1 else counted, least, budget)
+        maps.append(bits)
+        heavy.append(above)
+        suffixes = n if size <= 2 else suffixes  # those of two words or more
+    return maps, heavy, suffixes
 
-    maps = [_bit_map(words.select("lang", "word").mapInArrow(run, "h long"))]
-    for size in range(2, filtered + 1):
-        maps.append(_bit_map(_phrase_hashes(texts, maps, size).filter(F.col("n") >= least)))
-    return maps
+
+# --- subtrees by prefix group -----------------------------------------------------------------------------------
+
+_BLOCKS = "group int, depth int, lang string, suffixes array<string>, n array<long>"
 
 
-def suffixes(texts: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """(lang, suffix, n): the words from each place on that may be part of one frequent phrase, two or more."""
+def blocks(texts: DataFrame, maps: list[np.ndarray], heavy: list[np.ndarray], groups: int) -> DataFrame:
+    """(group, depth, lang, suffixes, n): a task's counted suffixes of two words or more, by prefix group.
+
+    depth is the length of the prefixes; the suffixes of one prefix all have the same.
+    """
     part, most = PART, HELD
 
+    def emitted(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for language, own in counts.items():
+            # The first bytes of a key are its group and its depth.
+            for head, some in groupby(sorted(own), key=lambda k: k[:5]):
+                some = list(some)
+                ends = pa.array(lengths_to_offsets(np.array([len(some)])), pa.int32())
+                texts_ = pa.array([k[5:] for k in some], pa.binary()).cast(pa.string())
+                n = pa.array([own[k] for k in some], pa.int64())
+                columns = [pa.array([int.from_bytes(head[:4], "big")], pa.int32()), pa.array([head[4]], pa.int32())]
+                columns += [pa.array([language], pa.string()), *(pa.ListArray.from_arrays(ends, c) for c in (texts_, n))]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "depth", "lang", "suffixes", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, counts = Filters(maps), defaultdict(Counter)
+        filters, counts = Filters(maps, heavy, most), defaultdict(Counter)
         for language, some, n in parts(batches, part):
-            length = np.ones(len(some), np.int64)
-            for _, _, good in filters.passing(language, some, LONGEST):
-                length[: len(good)] += good
+            length, depth, prefix = filters.suffixes(language, some)
             places = np.flatnonzero(length[:n] > 1)
-            own = counts[language]
-            own.update([b" ".join(some[i : i + k]) for i, k in zip(places.tolist(), length[places].tolist())])
+            heads = np.zeros(len(places), [("group", ">u4"), ("depth", "u1")])
+            heads["group"], heads["depth"] = _mixed(prefix[places]) % np.uint64(groups), depth[places]
+            head = heads.tobytes()
+            own = zip(places.tolist(), length[places].tolist())
+            counts[language].update([head[5 * j : 5 * j + 5] + b" ".join(some[i : i + k]) for j, (i, k) in enumerate(own)])
             if sum(map(len, counts.values())) > most:
-                yield from _emitted(counts, "suffix")
+                yield from emitted(counts)
                 counts.clear()
-        yield from _emitted(counts, "suffix")
-
-    rows = texts.mapInArrow(run, "lang string, suffix string, n long")
-    return rows.groupBy("lang", "suffix").agg(F.sum("n").alias("n"))
-
-
-# --- subtrees by prefix group -----------------------------------------------------------------------------------
-
-
-def _prefix(depth: int | str) -> Column:
-    return F.expr(f"substring_index(suffix, ' ', {depth})")
+        yield from emitted(counts)
 
+    return texts.mapInArrow(run, _BLOCKS)
 
-def with_prefixes(rows: DataFrame, budget: int) -> DataFrame:
-    """Adds ``depth`` and ``prefix``: the shortest one that at most ``budget`` suffixes begin with.
 
-    The heavy prefixes, one for each ``budget`` rows and length at most, are broadcast if they are counted and few.
-    """
-    rows = rows.withColumn("depth", F.lit(1))
-    for depth in range(1, LONGEST):
-        own = rows.filter(F.col("depth") == depth) if depth > 1 else rows
-        sized = own.groupBy("lang", _prefix(depth).alias("prefix")).agg(F.count("*").alias("size"))
-        heavy = written(sized.filter(F.col("size") > budget).select("lang", "prefix", F.lit(1).alias("heavy")), "heavy-prefixes")
-        n = heavy.count()
-        if not n:
-            break
-        heavy = F.broadcast(heavy) if n <= BROADCAST_CELLS else heavy
-        deeper = F.when((F.col("depth") == depth) & F.col("heavy").isNotNull(), depth + 1).otherwise(F.col("depth"))
-        rows = rows.withColumn("prefix", _prefix(depth)).join(heavy, ["lang", "prefix"], "left").withColumn("depth", deeper).drop("prefix", "heavy")
-    return rows.withColumn("prefix", _prefix("depth"))
-
-
-def subtree(languages: list[str], rows: list[list[str]], n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def subtree(rows: list[list[str]], n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(depth, a leaf's row, total over the leaves) of each node of 2 words or more.
 
     Words are numbered in the order met: leaves of one node must only lie side by side, in whatever order.
     """
-    numbers: dict = {}
-    table = np.full((len(rows), LONGEST + 1), -1, np.int64)
-    for i, (language, words) in enumerate(zip(languages, rows)):
-        table[i, : len(words) + 1] = [numbers.setdefault(w, len(numbers)) for w in ((language,), *words)]
+    numbers: dict[str, int] = {}
+    table = np.full((len(rows), LONGEST), -1, np.int64)
+    for i, words in enumerate(rows):
+        table[i, : len(words)] = [numbers.setdefault(w, len(numbers)) for w in words]
     order = np.lexsort(table.T[::-1])
     table, n = table[order], n[order]
     changed = np.ones(len(table), bool)
-    changed[1:] = (table[1:, :2] != table[:-1, :2]).any(axis=1)
+    changed[1:] = table[1:, 0] != table[:-1, 0]
     for depth in range(2, LONGEST + 1):
-        changed[1:] |= table[1:, depth] != table[:-1, depth]
+        changed[1:] |= table[1:, depth - 1] != table[:-1, depth - 1]
         starts = np.flatnonzero(changed)
         totals = np.add.reduceat(n, starts) if len(starts) else n
-        real = table[starts, depth] >= 0
+        real = table[starts, depth - 1] >= 0
         yield depth, order[starts[real]], totals[real]
 
 
-def node_counts(rows: DataFrame, least: int, budget: int) -> DataFrame:
-    """(lang, phrase, a): phrases of two words or more that occur ``least`` times, from suffixes with their prefixes."""
+def node_counts(dealt: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, a): phrases of two words or more that occur ``least`` times, from the groups' blocks."""
 
-    def grown(held: list[tuple]) -> pa.RecordBatch:
-        languages, texts, n, depths = zip(*held)
-        words = [t.split(" ") for t in texts]
-        out = []
-        for depth, leaves, totals in subtree(languages, words, np.array(n, np.int64)):
-            for leaf, total in zip(leaves.tolist(), totals.tolist()):
-                # Above its group's prefix a node has further leaves elsewhere.
-                if total >= least or depth < depths[leaf]:
-                    out.append((languages[leaf], " ".join(words[leaf][:depth]), total))
-        columns = list(zip(*out)) or [(), (), ()]
-        kinds = (pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "phrase", "n"])
+    def grown(language: str, prefix: int, counts: Counter) -> Iterator[pa.RecordBatch]:
+        rows = [k.split(" ") for k in counts]
+        for depth, leaves, totals in subtree(rows, np.array(list(counts.values()), np.int64)):
+            # Above its group's prefixes a node has further leaves elsewhere.
+            kept = totals >= (least if depth >= prefix else 1)
+            phrases_ = [" ".join(rows[i][:depth]) for i in leaves[kept].tolist()]
+            if phrases_:
+                columns = [pa.array([language] * len(phrases_), pa.string()), pa.array(phrases_, pa.string()), pa.array(totals[kept])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        whole, last = 0, None  # rows of prefixes that are complete, and the prefix that is being read
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lang", "suffix", "n", "depth", "prefix")]
-            for language, text, n, depth, prefix in zip(*columns):
-                if (language, prefix) != last:
-                    whole, last = len(held), (language, prefix)
-                held.append((language, text, n, depth))
-                if len(held) > budget and whole:
-                    yield grown(held[:whole])
-                    held, whole = held[whole:], 0
-        if held:
-            yield grown(held)
-
-    dealt = rows.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
-    dealt = dealt.select("lang", "suffix", "n", "depth", "prefix")
-    nodes = dealt.mapInArrow(run, "lang string, phrase string, n long")
+        def rows() -> Iterable[tuple]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    yield (row["group"], row["depth"], row["lang"]), zip(row["suffixes"], row["n"])
+
+        for (_, depth, language), own in groupby(rows(), key=lambda r: r[0]):
+            counts: Counter = Counter()
+            for _, pairs in own:
+                for suffix, n in pairs:
+                    counts[suffix] += n
+            yield from grown(language, depth, counts)
+
+    grouped = dealt.repartition("group", "depth", "lang").sortWithinPartitions("group", "depth", "lang")
+    nodes = grouped.mapInArrow(run, "lang string, phrase string, n long")
     counts = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     return counts.filter(F.col("a") >= least)
 
@@ -379,9 +398,9 @@ def phrases(
     counted = written(word_counts(texts), "phrase-words")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = counted.filter(F.col("n") >= least)
-    maps = filters_of(texts, words, least, filtered)
-    rows = written(suffixes(texts, maps), "phrase-suffixes")
-    found = written(node_counts(with_prefixes(rows, budget), least, budget), "phrase-counts")
+    maps, heavy, suffixes = filters_of(texts, words, least, budget, filtered)
+    dealt = blocks(texts, maps, heavy, max(1, -(-suffixes // budget)))
+    found = written(node_counts(dealt, least), "phrase-counts")
     kept = scored(found, words, totals).join(longer_counts(found), ["lang", "phrase"], "left")
     kept = kept.filter(~F.coalesce(100 * _exact("longer") >= share * _exact("a"), F.lit(False)))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]

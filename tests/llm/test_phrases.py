@@ -98,7 +98,7 @@ def test_products_beyond_64_bits(spark):
 
 def test_subtree_totals():
     rows = [["a", "b"], ["a", "b", "c"], ["a", "c"], ["a", "b", "c", "d", "e"], ["b", "a"]]
-    found = {(depth, tuple(rows[i][:depth])): t for depth, leaves, totals in phrases.subtree(["en"] * 5, rows, np.array([1, 2, 4, 8, 16])) for i, t in zip(leaves.tolist(), totals.tolist())}
+    found = {(depth, tuple(rows[i][:depth])): t for depth, leaves, totals in phrases.subtree(rows, np.array([1, 2, 4, 8, 16])) for i, t in zip(leaves.tolist(), totals.tolist())}
     assert found[2, ("a", "b")] == 11 and found[3, ("a", "b", "c")] == 10 and found[5, tuple("abcde")] == 8 and len(found) == 6
 
 
