@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,15 @@ def stretches(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
         at = end
 
 
+def give_back() -> None:
+    """Hand what this worker no longer uses back to the system: it lives on through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string")) % modulus
@@ -59,6 +69,16 @@ def lengths_to_offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores behind it that the table has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias(KEY[0]), F.hash(text).alias(KEY[1])]
 

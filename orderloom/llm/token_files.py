@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import as_bytes, lengths_to_offsets, stretches, written
+from orderloom.llm.common import as_bytes, give_back, lengths_to_offsets, stretches, written
 from orderloom.sources.store import scratch_folder
 
 END_ID = 1
@@ -63,7 +63,7 @@ class Encoder:
     changes nothing: the tokenizer splits at white space and drops it.
     """
 
-    def __init__(self, path: str, words: int = 800_000, pieces: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, words: int = 500_000, pieces: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
@@ -90,11 +90,12 @@ class Encoder:
         split = {w: _PIECES.findall(w) for w in words if not w.isalpha()}  # letters alone are one piece
         asked = {p for own in split.values() for p in own}
         asked.update(w for w in words if w not in split)
-        ids = {p: i for p in asked if (i := self.pieces.get(p)) is not None}
+        ids = {p: i for p in asked if (i := self.pieces.get(p) or self.words.get(p)) is not None}
         if new := [p for p in asked if p not in ids]:
             found = {p: self._new_piece(p) for p in new}
             ids.update(found)
-            self._keep(self.pieces, found, self.limits[1])
+            # A piece that is a word of its own is held once, among the words.
+            self._keep(self.pieces, {p: i for p, i in found.items() if p not in words}, self.limits[1])
         return {w: b"".join([ids[p] for p in split[w]]) if w in split else ids[w] for w in words}
 
     def encode(self, text: bytes) -> bytes:
@@ -135,6 +136,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder, end, at = encoder_of(tokenizer), np.array([END_ID], "<u4").tobytes(), 0
         for batch in batches:
             # A few rows at a time: the ids of very long texts need not lie side by side.
@@ -148,6 +150,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
                     [rows.column("doc_id"), pa.array(at + offsets[:-1]), listed], ["doc_id", "at", "ids"]
                 )
                 at += int(offsets[-1])
+        give_back()
 
     return ordered.mapInArrow(run, schema)
 
