@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import BROADCAST_CELLS, KEY, as_bytes, joined_to_texts, text_key, written
+from orderloom.llm.common import BROADCAST_CELLS, KEY, as_bytes, joined_to_texts, text_key, unused, written
 
 WINDOW = 5
 SHARE = 0.8
@@ -340,9 +340,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no item, with their columns as they were."""
     held = written(contaminated(docs, benchmark, text).select(*KEY).distinct(), "held")
-    held = held.select(*(F.col(c).alias(f"_held_{c}") for c in KEY))
-    marked = docs.withColumn("_text_or_empty", F.coalesce(F.col(text), F.lit("")))
-    one, two = text_key(F.col("_text_or_empty"))
-    marked = marked.withColumn("_held_k1", one).withColumn("_held_k2", two)
+    whole, *names = unused(docs, "_text_or_empty", *(f"_held_{c}" for c in KEY))
+    held = held.select(*(F.col(c).alias(n) for c, n in zip(KEY, names)))
+    marked = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    marked = marked.withColumns(dict(zip(names, text_key(F.col(whole)))))
     small = F.broadcast(held) if held.count() <= BROADCAST_CELLS else held
-    return marked.join(small, ["_held_k1", "_held_k2"], "left_anti").select(*docs.columns)
+    return marked.join(small, names, "left_anti").select(*docs.columns)

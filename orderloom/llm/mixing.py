@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import WORD, unit_hash, written
+from orderloom.llm.common import WORD, unit_hash, unused, written
 
 EPOCHS = 3.0
 SEED = "mixing"
@@ -159,9 +159,9 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     Only the table of sources is joined to the documents.
     """
     shares = _shares(_sized(docs, text, doc_id, source)).select("mix_source", "whole", "cut")
-    shares = shares.select(*(F.col(c).alias(f"_{c}") for c in shares.columns))
-    out = docs.join(shares, F.col(source).eqNullSafe(F.col("_mix_source")))
-    extra = F.when(_place(_row(doc_id, text, source)) < F.col("_cut"), 1).otherwise(0)
-    times = (F.col("_whole") + extra).cast("int")
-    out = out.withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    own, whole, cut, times, again = unused(docs, "_mix_source", "_whole", "_cut", "_times", "_again")
+    shares = shares.select(*(F.col(c).alias(n) for c, n in zip(shares.columns, (own, whole, cut))))
+    out = docs.join(shares, F.col(source).eqNullSafe(F.col(own)))
+    extra = F.when(_place(_row(doc_id, text, source)) < F.col(cut), 1).otherwise(0)
+    out = out.withColumn(times, (F.col(whole) + extra).cast("int")).filter(F.col(times) > 0)
+    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import as_bytes, crc_mod, unit_hash
+from orderloom.llm.common import as_bytes, crc_mod, unit_hash, unused
 
 SAMPLE = 8192
 FOLDS, HELD_OUT = 4, 2
@@ -223,7 +223,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     network = train(docs, labels)
     if network is None:
         return docs
-    name = "_score"
-    scored = score(docs.withColumnRenamed("score", "_own_score"), network).withColumnRenamed("score", name)
-    kept = scored.filter(F.col(name) >= THRESHOLD).drop(name).withColumnRenamed("_own_score", "score")
+    (own,) = unused(docs, "_own_score")
+    scored = score(docs.withColumnRenamed("score", own), network)
+    kept = scored.filter(F.col("score") >= THRESHOLD).drop("score").withColumnRenamed(own, "score")
     return kept.select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import as_bytes, written
+from orderloom.llm.common import as_bytes, unused, written
 from orderloom.llm.graphs import components
 
 SHINGLE = 4
@@ -254,10 +254,9 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     groups = near_duplicates(docs, text, doc_id)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     chosen = groups.groupBy("component").agg(F.min(order).alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-    marked = docs.withColumn("_row_digest", F.xxhash64(F.col(text)))
-    kept = marked.join(
-        chosen, marked[doc_id].eqNullSafe(chosen["_id"]) & (marked["_row_digest"] == chosen["_digest"]), "left_semi"
-    )
-    return kept.dropDuplicates([doc_id, "_row_digest"]).select(*docs.columns)
+    first_id, first_digest, digest = unused(docs, "_id", "_digest", "_row_digest")
+    chosen = chosen.select(F.col("first.doc_id").alias(first_id), F.col("first.digest").alias(first_digest))
+    marked = docs.withColumn(digest, F.xxhash64(F.col(text)))
+    kept = marked.join(chosen, F.col(doc_id).eqNullSafe(F.col(first_id)) & (F.col(digest) == F.col(first_digest)), "left_semi")
+    return kept.dropDuplicates([doc_id, digest]).select(*docs.columns)
 

@@ -57,3 +57,15 @@ def test_mix_and_tokens(stages):
     for r in rows:
         assert r.start == at
         at += r.n_tokens
+
+
+def test_columns_that_are_called_like_the_stages_own_come_out_as_they_were(spark, stages):
+    folder, (docs, *_) = stages
+    names = ["_held_k1", "_held_k2_", "_text_or_empty", "_row_digest", "_id", "_digest", "_cut", "_whole", "_times", "_again", "_mix_source", "score", "_own_score", "_SCORE"]
+    marked = docs.limit(200).withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in names})
+    for i, (_, stage) in enumerate(cp.STAGES[:-1]):
+        marked = cp.written(stage(spark, marked, folder), f"clash-{i}")
+        assert marked.columns == [*docs.columns, *names]
+    rows = marked.collect()
+    assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+    assert cp.STAGES[-1][1](spark, marked, folder).count() == len(rows)
