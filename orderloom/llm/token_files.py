@@ -9,6 +9,7 @@ Plain text is encoded piece by piece through a table of the pieces seen last; ``
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -35,6 +36,24 @@ TOKENIZER = "word_bpe_49k.json"
 # How the tokenizer splits normalised text, here for texts of plain characters only: printable ASCII,
 # tab, line ends and the letters of Latin-1, which no normalisation but lower case changes.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _ASCII = bytes([9, 10, 13, *range(32, 127)])
 _LETTERS = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
 
@@ -54,9 +73,17 @@ def _byte_characters() -> list[str]:
 _CHARACTERS = _byte_characters()
 
 
+def splits_so(tokenizer) -> bool:
+    """Whether the tokenizer has the settings under which plain text falls into those pieces."""
+    told = json.loads(tokenizer.to_str())
+    return all(told.get(k) == v for k, v in _SETTINGS.items()) and all("<|" in t["content"] for t in told["added_tokens"])
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
+    A tokenizer with other settings than ``_SETTINGS`` gets every text whole, and nothing is looked up.
+
     Words of plain text, in lower case, are looked up in a bounded table of those seen last, and the pieces of words
     that are not in it in another one. Pieces that are in neither go to the tokenizer's model alone, as they are
     normalised and split already. Other text goes through the whole tokenizer. Long texts go a stretch at a time, which
@@ -72,6 +99,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.limits, self.longest = (words, pieces), longest
         self.model = self.tokenizer.model
+        self.by_pieces = splits_so(self.tokenizer)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -99,6 +127,8 @@ class Encoder:
         return {w: b"".join([ids[p] for p in split[w]]) if w in split else ids[w] for w in words}
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_pieces:
+            return self._ids(text.decode()).tobytes()
         return b"".join(map(self._stretch, stretches(text)))
 
     def _stretch(self, part: bytes) -> bytes:

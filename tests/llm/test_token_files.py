@@ -26,6 +26,18 @@ def test_word_by_word_is_the_whole(text):
     assert np.frombuffer(WORDS.encode(text.encode()), "<u4").tolist() == ids(text)
 
 
+def test_a_tokenizer_with_other_rules_gets_texts_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    texts = ["Hello World, it's 2024 ...", "two  spaces\n\n\ttab", "", "É naïve <|endoftext|> x", "a b " * 3000, "word " * 2_000_000]
+    assert tf.Encoder(PATH).by_pieces and not tf.Encoder(path).by_pieces
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tf.through_files(docs, path).collect(), key=lambda r: r.doc_id)
+    for row, text in zip(got, texts):
+        own = [*other.encode(text, add_special_tokens=False).ids, tf.END_ID]
+        assert (row.n_tokens, row.ids_crc32) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+
+
 def test_round_trip(spark):
     odd = ["", None, "One two  three", "z" * 100_000, "a b " * 40_000, "naïve café <|endoftext|> x", "it's (Well...) ÉTÉ! ×÷ a_b c-d 1st", "\x00"]
     rows = [((i * 7919) % 997, odd[i % len(odd)] if i % 3 else f"text number {i}") for i in range(400)]
