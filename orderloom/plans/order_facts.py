@@ -224,13 +224,20 @@ def urban_places(geography: DataFrame, customers: DataFrame, cell_degrees: float
 
 
 def _sales_by(sales: DataFrame, key: Column | str) -> DataFrame:
-    """Items, distinct orders, revenue and mean item value per key; items are summed per (key, order) first."""
-    per_order = sales.groupBy(key, "order_id").agg(
-        F.count("*").alias("n_items"), F.sum("total_value").alias("value_sum"), F.count("total_value").alias("n_values")
+    """Items, distinct orders, revenue and mean item value per key; items are summed per (key, order) first.
+
+    There are about as many (key, order) as items, so no map of them is to be held: with a text among the measures
+    Spark sorts the items by order, as they mostly are, and folds each order's rows as they come.
+    """
+    per_order = sales.groupBy("order_id", key).agg(
+        F.max(F.col("order_id").cast("string")).alias("order_text"),
+        F.count("*").alias("n_items"),
+        F.sum("total_value").alias("value_sum"),
+        F.count("total_value").alias("n_values"),
     )
-    name = per_order.columns[0]
+    name = per_order.columns[1]
     grouped = per_order.groupBy(name).agg(
-        F.count("order_id").alias("orders"),
+        F.count("order_text").alias("orders"),
         F.sum("n_items").alias("items"),
         F.sum("value_sum").alias("revenue"),
         F.sum("n_values").alias("n_values"),
