@@ -19,7 +19,8 @@ before anything moves; what it lets through is joined on the whole hash, so more
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import BROADCAST_CELLS, KEY, as_bytes, joined_to_texts, text_key, unused, written
+from orderloom.llm.common import BROADCAST_CELLS, KEY, as_bytes, give_back, joined_to_texts, text_key, unused, written
 
 WINDOW = 5
 SHARE = 0.8
 LITERALS = 3
 MAP_BITS = 24
 KEEP_WORDS = 400_000
+TOGETHER = 1 << 19
 
 # Fixed values.
 UNITS = frozenset(
@@ -118,27 +120,34 @@ class Words(dict):
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, kind and mark as a slot of each word that is not mere punctuation."""
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        return self.of_texts([text])[:3]
+
+    def of_texts(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the words of several texts behind each other, and the number of each word's text."""
         if len(self) > KEEP_WORDS:
             self.clear()
             self.rows, self.arrays = [], ()
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        split = [text.split() for text in texts]
+        lengths = [len(words) for words in split]
+        if not any(lengths):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
+        text_of = np.repeat(np.arange(len(split)), lengths)
         if not self.arrays or len(self.arrays[0]) < len(self.rows):
             done = len(self.arrays[0]) if self.arrays else 0
             new = list(zip(*self.rows[done:]))
             new = [np.array(c, t) for c, t in zip(new, (np.uint64, np.int8, np.uint64, bool, bool, bool))]
             self._grow(done, new)
         hashes, kinds, marks, titled, plain, ends = (a[numbers] for a in self.arrays)
-        start = np.concatenate([[True], ends[:-1]])
+        start = np.concatenate([[True], ends[:-1] | (text_of[1:] != text_of[:-1])])
         named, first = np.flatnonzero(titled & ~start), np.flatnonzero(titled & start)
         if self.common is not None and len(first):
-            first = first[~plain[first] | np.isin(hashes[first], hashes[named])]
+            own = lambda at: hashes[at] + text_of[at].astype(np.uint64) * _STEP  # noqa: E731  a name of the same text
+            first = first[~plain[first] | np.isin(own(first), own(named))]
         kinds[named], kinds[first] = NAME, MAYBE
         marks[named] = marks[first] = _MARKS[NAME]
         kept = kinds != DROP
-        return hashes[kept], kinds[kept], marks[kept]
+        return hashes[kept], kinds[kept], marks[kept], text_of[kept]
 
     def _grow(self, done: int, new: list[np.ndarray]) -> None:
         """Room doubles, so that adding words costs little however many there are."""
@@ -256,6 +265,20 @@ def common_words(benchmark: DataFrame, text: str = "text") -> frozenset[int]:
     return frozenset(_word_hash(r["w"]) for r in rows)
 
 
+def _together(texts: Iterator[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts that follow each other, some TOGETHER bytes at a time, and the number of the first: arrays of short
+    texts cost more to make than to fill."""
+    begin, held, size = 0, [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield begin, held
+            begin, held, size = begin + len(held), [], 0
+    if held:
+        yield begin, held
+
+
 def _document_windows(texts: DataFrame, bits: np.ndarray, sizes: list[int], common: frozenset[int]) -> DataFrame:
     """(k1, k2, hash, at, doc_slots): the windows that the bit map lets through."""
     schema = T.StructType(
@@ -266,21 +289,24 @@ def _document_windows(texts: DataFrame, bits: np.ndarray, sizes: list[int], comm
         words = Words(common)
         for batch in batches:
             rows, out = [], []
-            for i, content in enumerate(as_bytes(batch.column("text"))):
-                hashes, kinds, marks = words.of(content)
+            for begin, texts_ in _together(as_bytes(batch.column("text"))):
+                hashes, kinds, marks, of = words.of_texts(texts_)
+                starts = np.searchsorted(of, np.arange(len(texts_)))
                 read = readings(kinds)
                 for size in sizes:
                     plain = plain_hashes(hashes, size)
-                    for at in np.flatnonzero(_probe(bits, plain)).tolist():
-                        rows.append(i)
-                        out.append((int(plain[at].view(np.int64)), at, None))
+                    whole = of[: len(plain)] == of[len(of) - len(plain) :]  # the window lies in one text
+                    at = np.flatnonzero(_probe(bits, plain) & whole)
+                    rows += (begin + of[at]).tolist()
+                    out += [(h, p, None) for h, p in zip(plain[at].view(np.int64).tolist(), (at - starts[of[at]]).tolist())]
                     before = plain
                     for own in read:
                         template = template_hashes(plain, hashes, own, marks, size)
-                        new = np.flatnonzero((template != plain) & (template != before))
-                        for at in new[_probe(bits, template[new])].tolist():
-                            rows.append(i)
-                            out.append((int(template[at].view(np.int64)), at, _slots(hashes, own, at, size)))
+                        new = np.flatnonzero((template != plain) & (template != before) & whole)
+                        at = new[_probe(bits, template[new])]
+                        rows += (begin + of[at]).tolist()
+                        places = zip(template[at].view(np.int64).tolist(), (at - starts[of[at]]).tolist(), at.tolist())
+                        out += [(h, p, _slots(hashes, own, i, size)) for h, p, i in places]
                         before = template
             if out:
                 chosen = pa.array(rows, pa.int64())
@@ -288,6 +314,8 @@ def _document_windows(texts: DataFrame, bits: np.ndarray, sizes: list[int], comm
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).take(chosen) for c in KEY), *columns], [*KEY, "hash", "at", "doc_slots"]
                 )
+        del words
+        give_back()
 
     return texts.mapInArrow(run, schema)
 
