@@ -90,7 +90,7 @@ class Encoder:
     changes nothing: the tokenizer splits at white space and drops it.
     """
 
-    def __init__(self, path: str, words: int = 500_000, pieces: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, words: int = 120_000, pieces: int = 40_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
@@ -210,6 +210,9 @@ def read_ids(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # All ids are in the files: the tables of a worker that encoded before must not lie beside what the readers hold.
+    _ENCODERS.clear()
+    give_back()
     for batch in batches:
         ids = batch.column("ids")
         offsets = ids.offsets.to_numpy()
