@@ -4,7 +4,8 @@ Ids are integer lists, which ORC stores run-length encoded; a row index every ``
 doc_id let a reader skip stripes for a document or a range, and the stripes of a file can be read apart. A row
 also holds the number of ids before it in its file, so that a place in the corpus is found from per-file sums.
 
-Plain text is encoded piece by piece through a table of the pieces seen last; ``Encoder`` says why that is exact.
+Plain text is encoded by its different pieces, a stretch at a time, through a table of those seen last; ``Encoder``
+says why that is exact.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,7 +37,6 @@ TOKENIZER = "word_bpe_49k.json"
 
 # How the tokenizer splits normalised text, here for texts of plain characters only: printable ASCII,
 # tab, line ends and the letters of Latin-1, which no normalisation but lower case changes.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _SETTINGS = {
     "normalizer": {
         "type": "Sequence",
@@ -56,6 +57,16 @@ _SETTINGS = {
 }
 _ASCII = bytes([9, 10, 13, *range(32, 127)])
 _LETTERS = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+# Of the bytes of plain text: the lower-case one, and what it is part of.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or (128 <= b <= 158 and b != 151) else b for b in range(256))
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[[*range(97, 123), *range(128, 192), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+# So much plain text is split and looked up at a time.
+TOGETHER = 2 << 20
+_NONE = np.zeros(0, "<u4")
 
 
 def is_plain(text: bytes) -> bool:
@@ -79,68 +90,147 @@ def splits_so(tokenizer) -> bool:
     return all(told.get(k) == v for k, v in _SETTINGS.items()) and all("<|" in t["content"] for t in told["added_tokens"])
 
 
+def pieces_of(texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces of plain texts, one after the other, and how many there are before each text and in all.
+
+    Pieces are 's 't 're 've 'm 'll 'd, runs of letters, single digits and runs of other characters but white space; an
+    apostrophe inside a run of others begins nothing.
+    """
+    joined = b" ".join(texts)
+    data = np.frombuffer(joined.translate(_LOWER), np.uint8)
+    kind = _KIND[data]
+    filled = kind != _SPACE
+    begins = kind == _DIGIT
+    begins[:1] |= filled[:1]
+    begins[1:] |= filled[1:] & (kind[1:] != kind[:-1])
+    at = np.flatnonzero(data == ord("'"))
+    if len(at):
+        at = at[(at == 0) | (kind[at - 1] != _OTHER)]
+        near = np.concatenate([data, np.zeros(2, np.uint8)])
+        second, third = near[at + 1], near[at + 2]
+        size = np.where(np.isin(second, list(b"stmd")), 2, 0)
+        size[np.isin(second, list(b"rv")) & (third == ord("e")) | (second == ord("l")) & (third == ord("l"))] = 3
+        at, behind = at[size > 0], (at + size)[size > 0]
+        begins[at + 1] = False
+        behind = behind[behind < len(data)]
+        begins[behind] = filled[behind]
+    packed = data[filled]
+    offsets = np.append(np.flatnonzero(begins[filled]), len(packed)).astype(np.int32)
+    starts = lengths_to_offsets(np.array([len(t) + 1 for t in texts]))
+    pieces = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(packed))
+    return pieces, np.searchsorted(np.flatnonzero(begins), starts)
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted ones of lists that lie one after the other."""
+    own = sizes[wanted]
+    ends = np.cumsum(own)
+    first = (np.cumsum(sizes) - sizes)[wanted] - (ends - own)
+    return values[np.repeat(first.astype(np.int32), own) + np.arange(own.sum(), dtype=np.int32)]
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
     A tokenizer with other settings than ``_SETTINGS`` gets every text whole, and nothing is looked up.
 
-    Words of plain text, in lower case, are looked up in a bounded table of those seen last, and the pieces of words
-    that are not in it in another one. Pieces that are in neither go to the tokenizer's model alone, as they are
-    normalised and split already. Other text goes through the whole tokenizer. Long texts go a stretch at a time, which
-    changes nothing: the tokenizer splits at white space and drops it.
+    The different pieces of a stretch of plain texts are looked up in a bounded table of those seen last: arrays of
+    names, numbers of ids and ids, of some 40 bytes a piece. Of more than ``words`` pieces those used last stay,
+    ``pieces`` of them; none of over ``longest`` bytes stays. Pieces that are not in the table go to the tokenizer's
+    model alone, as they are normalised and split already. Other text goes through the whole tokenizer. Long texts go
+    a stretch at a time, which changes nothing: the tokenizer splits at white space and drops it.
     """
 
-    def __init__(self, path: str, words: int = 120_000, pieces: int = 40_000, longest: int = 64):
+    def __init__(self, path: str, words: int = 300_000, pieces: int = 200_000, longest: int = 32):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.limits, self.longest = (words, pieces), longest
+        self.names = pa.array([], pa.string())
+        self.sizes, self.used, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self.round = 0
         self.model = self.tokenizer.model
         self.by_pieces = splits_so(self.tokenizer)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    @property
+    def words(self) -> dict[str, bytes]:
+        """The pieces in the table, with their ids."""
+        ends = np.cumsum(self.sizes)
+        spans = zip((ends - self.sizes).tolist(), ends.tolist())
+        return {p: self.ids[a:b].tobytes() for p, (a, b) in zip(self.names.to_pylist(), spans)}
 
-    def _keep(self, table: dict[str, bytes], found: dict[str, bytes], limit: int) -> None:
-        if len(table) + len(found) > limit:
-            table.clear()
-        table.update((k, i) for k, i in found.items() if len(k) <= self.longest)
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _new_piece(self, piece: str) -> bytes:
+    def _new_piece(self, piece: str) -> list[int]:
         text = piece if piece.isascii() else "".join([_CHARACTERS[b] for b in piece.encode()])
-        ids = [token.id for token in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _new_words(self, words: set[str]) -> dict[str, bytes]:
-        split = {w: _PIECES.findall(w) for w in words if not w.isalpha()}  # letters alone are one piece
-        asked = {p for own in split.values() for p in own}
-        asked.update(w for w in words if w not in split)
-        ids = {p: i for p in asked if (i := self.pieces.get(p) or self.words.get(p)) is not None}
-        if new := [p for p in asked if p not in ids]:
-            found = {p: self._new_piece(p) for p in new}
-            ids.update(found)
-            # A piece that is a word of its own is held once, among the words.
-            self._keep(self.pieces, {p: i for p, i in found.items() if p not in words}, self.limits[1])
-        return {w: b"".join([ids[p] for p in split[w]]) if w in split else ids[w] for w in words}
-
-    def encode(self, text: bytes) -> bytes:
+        return [token.id for token in self.model.tokenize(text)]
+
+    def _places(self, asked: pa.StringArray) -> np.ndarray:
+        """Where the table has each of these different pieces; new ones come behind the others."""
+        at = pc.fill_null(pc.index_in(asked, value_set=self.names), -1).to_numpy().copy()
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = len(self.names) + np.arange(len(missing))
+            new = asked.take(pa.array(missing))
+            found = [self._new_piece(p) for p in new.to_numpy(zero_copy_only=False).tolist()]
+            self.names = pa.concat_arrays([self.names, new])
+            self.sizes = np.concatenate([self.sizes, np.array([len(i) for i in found], np.int32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u4")])
+            self.used = np.concatenate([self.used, np.zeros(len(found), np.int32)])
+        self.round += 1
+        self.used[at] = self.round
+        return at
+
+    def _forget(self) -> None:
+        short = pc.less_equal(pc.binary_length(self.names), self.longest).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero(short)
+        if len(kept) > self.limits[0]:
+            kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[: self.limits[1]]])
+        if len(kept) < len(self.names):
+            self.ids = _gathered(self.ids, self.sizes, kept)
+            self.names, self.sizes, self.used = self.names.take(pa.array(kept)), self.sizes[kept], self.used[kept]
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        pieces, bounds = pieces_of(texts)
+        coded = pieces.dictionary_encode()
+        wanted = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        ids = _gathered(self.ids, self.sizes, wanted)
+        bounds = lengths_to_offsets(self.sizes[wanted])[bounds].tolist()
+        self._forget()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         if not self.by_pieces:
-            return self._ids(text.decode()).tobytes()
-        return b"".join(map(self._stretch, stretches(text)))
+            return [self._whole(t.decode()) for t in texts]
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, int, bytes]] = []
+
+        def look_up() -> None:
+            for (i, k, _), ids in zip(held, self._plain([part for _, _, part in held])):
+                parts[i][k] = ids
+            held.clear()
+
+        weight = 0
+        for i, text in enumerate(texts):
+            for k, part in enumerate(stretches(text, TOGETHER // 2)):
+                if is_plain(part):
+                    parts[i].append(_NONE)
+                    held.append((i, k, part))
+                    weight += len(part)
+                    if weight >= TOGETHER:
+                        look_up()
+                        weight = 0
+                else:
+                    parts[i].append(self._whole(part.decode()))
+        if held:
+            look_up()
+        return [own[0] if len(own) == 1 else np.concatenate([_NONE, *own]) for own in parts]
 
-    def _stretch(self, part: bytes) -> bytes:
-        if not is_plain(part):
-            return self._ids(part.decode()).tobytes()
-        words = part.decode().lower().split()
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            found = self._new_words({w for w, i in zip(words, ids) if i is None})
-            ids = [found[w] if i is None else i for w, i in zip(words, ids)]
-            self._keep(self.words, found, self.limits[0])
-        return b"".join(ids)
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -167,15 +257,15 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        encoder, end, at = encoder_of(tokenizer), np.array([END_ID], "<u4").tobytes(), 0
+        encoder, end, at = encoder_of(tokenizer), np.array([END_ID], "<u4"), 0
         for batch in batches:
             # A few rows at a time: the ids of very long texts need not lie side by side.
             for first in range(0, batch.num_rows, 1000):
                 rows = batch.slice(first, 1000)
-                ids = [encoder.encode(t) + end for t in as_bytes(rows.column("text"))]
-                offsets = lengths_to_offsets(np.array([len(i) // 4 for i in ids]))
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                ids = encoder.encode_all(list(as_bytes(rows.column("text"))))
+                offsets = lengths_to_offsets(np.array([len(i) + 1 for i in ids]))
+                values = np.concatenate([a for i in ids for a in (i, end)])
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view("<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(at + offsets[:-1]), listed], ["doc_id", "at", "ids"]
                 )

@@ -1,5 +1,6 @@
 """Ids against the tokenizer itself, and what the files say."""
 
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +27,43 @@ def test_word_by_word_is_the_whole(text):
     assert np.frombuffer(WORDS.encode(text.encode()), "<u4").tolist() == ids(text)
 
 
+TEXTS = st.lists(st.sampled_from(["it's", "''s", "'s's", "x'd'd!", "!'s", "'", "'l", "'ll", "'re", "É'VE", "×'m", "ß", " ", "\n", "Ab9", "99", "日本", "<|endoftext|>"])).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXTS))
+def test_texts_together_are_each_alone(texts):
+    got = [i.tolist() for i in WORDS.encode_all([t.encode() for t in texts])]
+    assert got == [ids(t) for t in texts]
+    plain = [t for t in texts if tf.is_plain(t.encode())]
+    pieces, bounds = tf.pieces_of([t.encode() for t in plain]) if plain else (None, [0])
+    split = tf._SETTINGS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
+    assert [pieces[a:b].to_pylist() for a, b in zip(bounds, bounds[1:])] == [re.findall(split, t.lower()) for t in plain]
+
+
+def names(first, count):
+    return ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(first, first + count)]
+
+
+def test_pieces_that_come_again_are_not_asked_again():
+    encoder, asked = tf.Encoder(PATH), []
+    model = encoder._new_piece
+    encoder._new_piece = lambda piece: asked.append(piece) or model(piece)
+    texts = [" ".join(names(first, 10_000)).encode() for first in range(0, 150_000, 10_000)]
+    once = [encoder.encode(t) for t in texts]
+    assert [encoder.encode(t) for t in texts] == once
+    assert len(asked) == 150_000
+
+
+def test_the_table_forgets_what_was_used_longest_ago():
+    encoder = tf.Encoder(PATH, words=1000, pieces=600)
+    texts = [" ".join(["always", "z" * 100, *names(300 * i, 300)]) for i in range(20)]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids(text)
+        assert len(encoder.words) <= 1000 and "always" in encoder.words and "z" * 100 not in encoder.words
+    assert np.frombuffer(encoder.words["always"], "<u4").tolist() == ids("always")
+
+
 def test_a_tokenizer_with_other_rules_gets_texts_whole(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     other = Tokenizer.from_file(path)
