@@ -6,12 +6,13 @@ same two samples: a plain classifier of P against U, trained on one half, orders
 the top shares the least ratio of U's share to P's share bounds the prior, since hardly any negative is left there.
 
 Features are counts over a text's bytes and words, so a text of any length is read whole and costs one pass.
-``SAMPLE`` bounds the rows that either sample sends to the driver; scoring reads every row.
+``SAMPLE`` bounds the rows that either sample sends to the driver, which reads them one after the other into one array
+and trains on that array in place; scoring reads every row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderloom.llm.common import as_bytes, crc_mod, unit_hash, unused
+from orderloom.llm.common import as_bytes, crc_mod, give_back, unit_hash, unused
 
 SAMPLE = 8192
 FOLDS, HELD_OUT = 4, 2
@@ -28,6 +29,7 @@ HIDDEN = 24
 EPOCHS, PLAIN_EPOCHS = 40, 8
 PAIRS = 256
 WIDTH = 256 + PAIRS + 13
+COLUMNS = 64
 
 
 def features(text: bytes) -> np.ndarray:
@@ -81,14 +83,16 @@ class Network:
         ]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.margin_of(np.clip((x - self.mean) / self.scale, -8, 8))
+
+    def margin_of(self, z: np.ndarray) -> np.ndarray:
+        """The same of rows that are standardised already."""
         w, b, v, c = self.weights
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.tanh(z @ w + b) @ v + c
 
-    def train(self, x: np.ndarray, pull: np.ndarray | None, positive: np.ndarray, prior: float, seed: int, epochs: int) -> None:
-        """Adam over mini-batches. pull: fixed targets of a plain classifier; None for the risk named above."""
+    def train(self, z: np.ndarray, pull: np.ndarray | None, positive: np.ndarray, prior: float, seed: int, epochs: int) -> None:
+        """Adam over mini-batches of standardised rows. pull: fixed targets of a plain classifier; None for the risk named above."""
         rng, moments, step = np.random.default_rng(seed), [(np.zeros_like(p), np.zeros_like(p)) for p in self.weights], 0
-        z = np.clip((x - self.mean) / self.scale, -8, 8).astype(np.float32)
         for epoch in range(epochs):
             for rows in np.array_split(rng.permutation(len(z)), max(1, len(z) // 1024)):
                 w, b, v, c = self.weights
@@ -130,25 +134,33 @@ def class_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min(ratios), 0.05, 0.98))
 
 
-def fit(x: np.ndarray, positive: np.ndarray, seed: int = 11) -> Network | None:
-    """x: rows of either sample; positive: which of them are trusted. None without both."""
+def fit(x: np.ndarray, positive: np.ndarray, seed: int = 11, in_place: bool = False) -> Network | None:
+    """x: rows of either sample; positive: which of them are trusted. None without both.
+
+    With in_place the rows, of 32-bit floats, are overwritten by their standardised form, which saves a copy of them.
+    """
     if not positive.any() or positive.all():
         return None
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    # Some columns at a time: a deviation takes a copy of what it is of.
+    spread = [x[:, at : at + COLUMNS].std(0) for at in range(0, x.shape[1], COLUMNS)]
+    mean, scale = x.mean(0), np.maximum(np.concatenate(spread), 1e-3)
+    z = np.subtract(x, mean, out=x if in_place else None)
+    z /= scale
+    z = np.clip(z, -8, 8, out=z).astype(np.float32, copy=False)
     network = Network(mean, scale, seed + 1)
-    network.train(x, None, positive, estimated_prior(x, positive, mean, scale, seed), seed + 1, EPOCHS)
+    network.train(z, None, positive, estimated_prior(z, positive, mean, scale, seed), seed + 1, EPOCHS)
     return network
 
 
-def estimated_prior(x: np.ndarray, positive: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int) -> float:
-    half = np.random.default_rng(seed).random(len(x)) < 0.5
+def estimated_prior(z: np.ndarray, positive: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int) -> float:
+    half = np.random.default_rng(seed).random(len(z)) < 0.5
     found = []
     for own in (half, ~half):
         p = positive[~own]
         if positive[own].any() and not positive[own].all() and p.any() and not p.all():
             plain = Network(mean, scale, seed)
-            plain.train(x[own], positive[own].astype(np.float32), positive[own], 0.5, seed, PLAIN_EPOCHS)
-            margin = plain.margin(x[~own])
+            plain.train(z[own], positive[own].astype(np.float32), positive[own], 0.5, seed, PLAIN_EPOCHS)
+            margin = plain.margin_of(z[~own])
             found.append(class_prior(margin[p], margin[~p]))
     return float(np.mean(found)) if found else 0.5
 
@@ -189,13 +201,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
         (spread <= cut_u).alias("u"),
     )
     # Twice the bound is far above what the cuts let through, and holds whatever ids repeat.
-    rows = _featured(drawn.filter("p or u").limit(4 * sample), ["p", "u"]).collect()
-    if not rows:
+    rows = _featured(drawn.filter("p or u").limit(4 * sample), ["p", "u"])
+    network = _fit_rows((r.x, r.p, r.u) for r in rows.toLocalIterator())
+    give_back()
+    return network
+
+
+def _fit_rows(rows: Iterable[tuple[bytes, bool, bool]]) -> Network | None:
+    """A model from rows (packed features, trusted, unlabelled), of which one is held at a time beside the array they go to."""
+    both, unlabelled = bytearray(), bytearray()
+    for x, p, u in rows:
+        if p:
+            both += x
+        if u:
+            unlabelled += x
+    n = len(both) // (4 * WIDTH)
+    both += unlabelled
+    del unlabelled
+    if not both:
         return None
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
-    p, u = (np.array([r[c] for r in rows], bool) for c in ("p", "u"))
-    both = np.concatenate([x[p], x[u]])
-    return fit(both, np.arange(len(both)) < p.sum())
+    x = np.frombuffer(both, np.float32).reshape(-1, WIDTH)
+    return fit(x, np.arange(len(x)) < n, in_place=True)
 
 
 def score(docs: DataFrame, network: Network | None) -> DataFrame:

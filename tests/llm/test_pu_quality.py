@@ -1,4 +1,6 @@
-"""Quality scores: held-out accuracy, the prior, and odd rows."""
+"""Quality scores: held-out accuracy, the prior, odd rows, and what the driver holds."""
+
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -60,3 +62,31 @@ def test_without_a_model_all_documents_stay(spark):
         labels = spark.createDataFrame(rows, "doc_id long, quality int")
         kept = pu.keep_good(docs, labels)
         assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_the_driver_holds_its_sample_little_more_than_once(spark):
+    text = F.concat_ws(" ", *(F.md5((F.col("id") * k).cast("string")) for k in range(1, 6)))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    n = docs.filter(~pu.held_out(F.col("doc_id"))).count()
+    tracemalloc.start()
+    try:
+        assert pu.train(docs, labels) is not None
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2.2 * (2 * n * 4 * pu.WIDTH)  # every row is in both samples
+
+
+def test_training_in_place_gives_the_same_model():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (900, 150)).astype(np.float32)
+    x[:400] += 0.5
+    before, positive = x.copy(), np.arange(900) < 400
+    apart = pu.fit(x, positive)
+    assert np.array_equal(x, before)
+    within = pu.fit(x, positive, in_place=True)
+    assert not np.array_equal(x, before)
+    assert all(np.array_equal(a, b) for a, b in zip(apart.weights, within.weights))
+    assert np.array_equal(apart.mean, within.mean) and np.array_equal(apart.scale, within.scale)
+    assert np.array_equal(apart.scale, np.maximum(before.std(0), 1e-3))
