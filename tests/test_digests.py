@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import quality
 from orderloom.sources import bronze
+from orderloom.sources.registry import REGISTRY
 
 
 def _plan(df):
@@ -44,3 +45,28 @@ def test_digest_sums_are_longs(spark):
     assert tuple(digest.first()) == (1000, hashlib.md5(told.encode()).hexdigest())
     empty = quality.content_digest(df.filter("k is null"), {"k": "string"})
     assert tuple(empty.first()) == (0, hashlib.md5(b"0").hexdigest())
+
+
+def test_lines_are_read_once_and_files_named_once_they_are_summed(spark, tmp_path):
+    # More files in a task than an aggregate keeps in its map.
+    folder = tmp_path / "day 1+1%20é"
+    for i in range(20):
+        (folder / f"{i}" / "sellers").mkdir(parents=True)
+        (folder / f"{i}" / "sellers" / "p q.csv").write_text(f"h{i},seller_id\n" + "a,1\n" * i)
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "2")
+    try:
+        files = bronze.file_checksums(spark, str(folder), bronze.landing_files(spark, str(folder)))
+        plan = _plan(files)
+        assert plan.count("Scan text") == 1 and "decode" in plan
+        assert "decode" not in plan[plan.rindex("ObjectHashAggregate") :]
+        got = files.collect()
+    finally:
+        spark.conf.unset("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    assert {r["file_name"]: r["header"] for r in got} == {f"{i}/sellers/p q.csv": f"h{i},seller_id" for i in range(20)}
+
+    listed = [r.asDict() for r in got]
+    marks = spark.createDataFrame([{"uri": r["uri"], "file_no": i} for i, r in enumerate(listed)], "uri string, file_no int")
+    rows = bronze.read_numbered(spark, [(r["path"], r["header"]) for r in listed], REGISTRY["sellers"], marks)
+    assert "decode" not in _plan(rows)
+    counted = {r["_source_no"]: r["count"] for r in rows.groupBy("_source_no").count().collect()}
+    assert {listed[no]["file_name"]: n for no, n in counted.items()} == {f"{i}/sellers/p q.csv": i for i in range(1, 20)}

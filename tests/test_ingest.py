@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderloom import schemas as S
 from orderloom.plans import build, checks, silver
 from orderloom.sources import bronze, standins
+from orderloom.sources import store as table_store
 from orderloom.sources.registry import REGISTRY, Landing, target_layer
 from orderloom.sources.runlog import OpsLog, latest_runs
 from orderloom.sources.store import TableStore, VersionConflict, shared_folder
@@ -321,3 +322,16 @@ def test_build_twice_gives_the_same_tables(spark, tmp_path, folder):
     assert run["status"] == "success" and run["executed_files"] == first["executed_files"]
     assert log.quality().count() == 8
     assert REGISTRY["order_reviews"].multi_line
+
+
+def test_a_store_is_empty_until_its_first_claim_has_a_log_row(spark, tmp_path, monkeypatch):
+    store, claim = TableStore(spark, str(tmp_path)), table_store._claim
+
+    def claimed(spark, path):
+        done = claim(spark, path)
+        assert not store.exists("gold", "u")  # what another job asks at that moment
+        return done
+
+    monkeypatch.setattr(table_store, "_claim", claimed)
+    store.publish(spark.range(3), "gold", "t")
+    assert store.read("gold", "t").count() == 3
